@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash
+from . import langid, mixing, packing, pii, simhash, topk
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": lambda spark, d: mixing.mix(read(spark, d, "documents")),
+    "op3_pii_surrogates": lambda spark, d: pii.surrogates(read(spark, d, "documents")),
     "op4_simhash": lambda spark, d: simhash.report(read(spark, d, "documents")),
     "op6_language_id": lambda spark, d: langid.identify(read(spark, d, "documents")),
+    "op7_exact_topk": lambda spark, d: topk.report(read(spark, d, "embeddings")),
+    "op8_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op7_exact_topk": topk.ORACLE}

@@ -1,0 +1,90 @@
+import re
+
+from pyspark.sql import functions as F
+
+from corrobora.llm import pii
+
+DOC = "doc_id long, text string, kinds string"
+
+
+def luhn_ok(n):
+    d = [int(c) for c in reversed(n)]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def texts(spark, rows, **kw):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOC)
+    return {r["doc_id"]: r for r in pii.surrogates(df, **kw).collect()}
+
+
+def test_formats_and_coreference(spark):
+    got = texts(
+        spark,
+        [
+            "card 4539 1488 0343 6467, again 4539148803436467 and 4539-1488-0343-6467.",
+            "write to John.Doe99@mail.example.com or JOHN.DOE99@MAIL.EXAMPLE.COM; amy@mail.example.com!",
+            "hosts 10.1.2.3, 192.168.7.9, 8.8.8.8 and 2001:0db8:0000:0000:0000:ff00:0042:8329",
+            'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" sk-abcdefABCDEF0123456789',
+            "call +1 (743) 555-3824 or (743) 555-3824, ssn 078-05-1120, iban DE89 3704 0044 0532 0130 00.",
+            "Mrs. Smith met Mr. John Smith, SARAH and Sarah Smith. Господин Иванов и г-жа Иванова. Mr. JONES",
+            "no entity 12 or 3.14, 2024-01-02",
+        ],
+    )
+    cards = re.findall(r"\d[\d -]+\d", got[0]["text"])
+    assert len({re.sub(r"\D", "", c) for c in cards}) == 1 and cards[0].count(" ") == 3 and cards[2].count("-") == 3
+    assert luhn_ok(re.sub(r"\D", "", cards[0])) and cards[1] != "4539148803436467" and cards[1][0] == "4"
+    a, b, c = re.findall(r"[\w.]+@[\w.]+\w", got[1]["text"])
+    assert a == b.lower() and b == b.upper() and c.split("@")[1] == a.split("@")[1] and c.split("@")[0] != a.split("@")[0]
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}\d\d@[a-z]{4}\.[a-z]{7}\.com", a) and a != "john.doe99@mail.example.com"
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", got[2]["text"])
+    assert ips[0].startswith("10.") and ips[1].startswith("192.168.") and ips[2] != "8.8.8.8" and not set(ips) & {"10.1.2.3", "192.168.7.9"}
+    assert "2001:0db8" not in got[2]["text"] and got[2]["kinds"] == "ipv4,ipv6"
+    assert "24be6443" not in got[3]["text"] and re.search(r'token = "[0-9a-f]{40}" sk-a[A-Za-z]{11}\d{10}', got[3]["text"])
+    assert re.match(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \(\d{3}\) \d{3}-\d{4}, ssn \d{3}-\d\d-\d{4}, iban DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d\.$", got[4]["text"])
+    iban = re.sub(" ", "", re.search(r"DE[\d ]+\d", got[4]["text"])[0])
+    assert int("".join(str(int(ch, 36)) for ch in iban[4:] + iban[:4])) % 97 == 1
+    assert got[6]["n_entities"] == 0 and got[6]["text"].startswith("no entity")
+
+
+def test_names_keep_gender_script_and_case(spark):
+    got = texts(spark, ["Mrs. Smith met Mr. John Smith and Sarah Smith.", "господин Иванов и г-жа Иванов", "Mr. JONES", "The Mr and the Smith"])
+    m = re.fullmatch(r"Mrs\. (\w+) met Mr\. (\w+) (\w+) and (\w+) (\w+)\.", got[0]["text"])
+    assert m[1] == m[3] == m[5] != "Smith" and m[2].endswith("n") and m[4].endswith("na")
+    m = re.fullmatch(r"господин (\w+) и г-жа (\w+)", got[1]["text"])
+    assert m[1] == m[2] != "Иванов" and re.fullmatch("[А-Яа-я]+", m[1])
+    assert re.fullmatch(r"Mr\. [A-Z]+", got[2]["text"]) and "JONES" not in got[2]["text"]
+    assert got[3]["n_entities"] == 0
+
+
+def test_collisions_are_resolved(spark):
+    rows = [f"host 9.9.9.{i}" for i in range(20)]
+
+    def few(entities, key):  # at first all collide, some with an entity that occurs
+        h = F.abs(F.hash("norm")) % 3
+        return entities.withColumn("other", F.when(F.col("attempt") < 2, F.concat(F.lit("9.9.9."), h.cast("string"))).otherwise(F.concat_ws("-", "norm", "attempt")))
+
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOC)
+    late = pii.collisions(df, drawer=few).collect()
+    assert {(r["norm"], r["attempt"]) for r in late} == {(f"9.9.9.{i}", 2) for i in range(20)}
+    table = spark.createDataFrame([("ipv4", "9.9.9.3", 5)], "kind string, norm string, attempt int")
+    base = {r["doc_id"]: r["text"] for r in pii.surrogates(df).collect()}
+    other = {r["doc_id"]: r["text"] for r in pii.rewritten(df, late=table).collect()}
+    assert {i for i in base if base[i] != other[i]} == {3}
+
+
+def test_distinct_entities_stay_distinct(spark):
+    rows = [f"n +1 (200) 555-{i:04d} h 77.1.{i % 256}.{i // 256} m u{i}@x.example.com" for i in range(600)]
+    got = texts(spark, rows)
+    for pattern in (r"\+\d \(\d+\) [\d-]+", r"\d+\.\d+\.\d+\.\d+", r"\S+@\S+"):
+        new = {re.search(pattern, r["text"])[0] for r in got.values()}
+        old = {re.search(pattern, t)[0] for t in rows}
+        assert len(new) == 600 and not new & old
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "mail a1@b.example.com", "c"), (3, "x " * 200000 + "8.8.4.4", "d"), (3, "y", "e"), (3, "y", "e")], DOC)
+    got = pii.anonymised(df).collect()
+    assert len(got) == 6 and pii.anonymised(df).columns == df.columns
+    by = {r["kinds"]: r["text"] for r in got}
+    assert by["a"] is None and by["b"] == "" and "a1@b" not in by["c"] and by["d"].startswith("x x ") and not by["d"].endswith("8.8.4.4")
+    assert pii.surrogates(df.limit(0)).count() == 0
