@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +49,14 @@ class LanguageModel:
         return len(self.weights) - 1
 
 
-@cache
-def letter_table() -> np.ndarray:
-    """For each code point: itself if it is a letter, else a blank."""
-    out = np.full(0x110000, 32, np.uint32)
-    letters = np.fromiter((c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()), np.uint32)
-    out[letters] = letters
-    return out
+def letter_table(memo: dict = {}) -> np.ndarray:  # noqa: B006  made once in a worker
+    """For each code point: itself if it is a letter, else a blank; letters end within the first four planes."""
+    if not memo:
+        out = np.full(0x110000, 32, np.uint32)
+        letters = np.fromiter((c for c in range(0x40000) if chr(c).isalpha()), np.uint32)
+        out[letters] = letters
+        memo[0] = out
+    return memo[0]
 
 
 def grams(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
