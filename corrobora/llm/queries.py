@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pii, runindex, simhash, topk, toxicity
+from . import langid, mixing, packing, pii, runindex, sharding, simhash, topk, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": lambda spark, d: toxicity.report(read(spark, d, "documents"), read(spark, d, "labels")),
     "op3_pii_surrogates": lambda spark, d: pii.surrogates(read(spark, d, "documents")),
     "op4_simhash": lambda spark, d: simhash.report(read(spark, d, "documents")),
+    "op5_sharding": lambda spark, d: sharding.report(read(spark, d, "documents")),
     "op6_language_id": lambda spark, d: langid.identify(read(spark, d, "documents")),
     "op7_exact_topk": lambda spark, d: topk.report(read(spark, d, "embeddings")),
     "op8_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
