@@ -102,14 +102,23 @@ def test_topk_blocks_agree(spark, monkeypatch):
     assert sorted(map(tuple, topk.report(df).collect())) == whole
 
 
-def test_chunks_encode_as_whole_texts(spark):
-    encoder = packing.ChunkEncoder(packing.tokenizer_path())
-    odd = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "don't we'll", "x y z", "a b c", "\u001c a \u0085 b", "naïve 日本 語 12 34", "a\tb  \n\n c d", "<|endoftext|> x <|endoftext|>", "a\x1fb \x1f c", "  lead", "tail  "]
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def test_encoder_gives_the_ids_of_the_tokenizer(spark):
+    encoder = packing.Encoder(packing.tokenizer_path())
+    odd = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "don't we'll", "x\u2003y\u00a0 z", "\u001c a \u0085 b", "naïve 日本 語 12 34", "a\tb  \n\n c d", "<|endoftext|> x <|endoftext|>", "a\x1fb \x1f c", "  lead", "tail  ", "DON'T we'LL"]
     rng = random.Random(1)
-    odd += ["".join(rng.choice(" \n\tab1.,é 　'") for _ in range(60)) for _ in range(300)]
+    odd += ["".join(rng.choice(" \n\tab1.,é\u00a0\u3000'") for _ in range(60)) for _ in range(300)]
+    points = [c for c in range(0x32400) if not 0xD800 <= c < 0xE000]
+    odd += ["".join(chr(c) + rng.choice(["", " ", "a", "1"]) for c in points[at : at + 64]) for at in range(0, len(points), 64)]
     odd += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(odd, add_special_tokens=False)]
-    assert encoder.encode(odd) == want
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(odd, add_special_tokens=False)]
+    got = encoder.encode(odd)
+    assert [t for t, a, b in zip(odd, got, want, strict=True) if a != b] == []
 
 
 def check_packing(rows, texts, encode):
@@ -137,7 +146,7 @@ def check_packing(rows, texts, encode):
 
 def test_packing_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    tok = packing.ChunkEncoder(packing.tokenizer_path()).tokenizer
+    tok = tokenizer()
     used, least = check_packing(QUERIES["op8_packing"](spark, SF).collect(), texts, lambda t: tok.encode(t, add_special_tokens=False).ids)
     assert used <= least * 1.02 + 1
 
@@ -145,7 +154,7 @@ def test_packing_query(spark):
 def test_packing_odd_rows(spark):
     texts = {1: None, 2: "", 3: "word " * 5000, 4: "a" * 10000, 5: "x", 6: "x"}
     df = spark.createDataFrame([(d, t, "en", None, 1) for d, t in texts.items()], DOC).selectExpr("*", "1 as length", "2 as at")
-    tok = packing.ChunkEncoder(packing.tokenizer_path()).tokenizer
+    tok = tokenizer()
     check_packing(packing.pack(df).collect(), texts, lambda t: tok.encode(t, add_special_tokens=False).ids)
     twice = packing.pack(df.unionByName(df)).collect()
     assert len(twice) == 2 * packing.pack(df).count() and len({(r["sequence_id"], r["offset"]) for r in twice}) == len(twice)
