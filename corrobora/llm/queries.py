@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pii, runindex, sharding, simhash, topk, toxicity
+from . import langid, media, mixing, packing, pii, runindex, sharding, simhash, topk, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_topk": lambda spark, d: topk.report(read(spark, d, "embeddings")),
     "op8_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
     "op9_run_index": lambda spark, d: runindex.report(read(spark, d, "documents")),
+    "op10_media_copies": lambda spark, d: media.report(read(spark, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op7_exact_topk": topk.ORACLE}
