@@ -17,11 +17,13 @@ document with a smaller id.  Texts are bytes; matches never cross documents.
 3. Matching statistics.  All segments are streamed backwards through the runs in
    step, a mapping step a byte; a row's group says whether a match of LENGTH bytes
    goes to a smaller document.
+   Texts that a smaller id has as a whole are known by their hash before and take
+   no part.
 4. Matches become intervals, intervals are merged by document, and what is left of
    each text is digested.
 
 Window hashes only select what is indexed, and tell equal segments (two 64-bit
-hashes and the length); the matches themselves come from the sorted bytes.
+hashes and the length), as a 64-bit hash tells equal texts; the matches themselves come from the sorted bytes.
 
 Defined results
 * a null text is empty; texts shorter than LENGTH lose nothing;
@@ -43,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import checked_broadcast, cut, slices
 
 LENGTH = 50
 #: Bytes of the strings whose hashes route a window.
@@ -58,22 +60,30 @@ BROADCAST_BYTES = 32 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def rolling(data: np.ndarray, length: int, kind: type) -> np.ndarray:
-    """Polynomial hash of the ``length`` bytes from each place on, by doubling."""
+def rolling(data: np.ndarray, length: int, kind: type, block: int = 1 << 16) -> np.ndarray:
+    """Polynomial hash of the ``length`` bytes from each place on, by doubling, in blocks that a cache holds."""
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, kind)
-    m = MULTIPLIER & (2 ** (8 * np.dtype(kind).itemsize) - 1)
-    wrap = lambda e: kind(pow(m, e, 2 ** (8 * np.dtype(kind).itemsize)))
-    part, size, out, have = data.astype(kind) + kind(1), 1, None, 0
-    while True:
-        if length & size:
-            out = part[:n].copy() if out is None else out[:n] * wrap(size) + part[have : have + n]
-            have += size
-        if size * 2 > length:
-            return out
-        part = part[:-size] * wrap(size) + part[size:]
-        size *= 2
+    full = 2 ** (8 * np.dtype(kind).itemsize)
+    wrap = lambda e: kind(pow(MULTIPLIER % full, e, full))
+    out = np.empty(n, kind)
+    for at in range(0, n, block):
+        m = min(block, n - at)
+        part, size, have = data[at : at + m + length - 1].astype(kind) + kind(1), 1, 0
+        while True:
+            if length & size:
+                if have:
+                    out[at : at + m] *= wrap(size)
+                    out[at : at + m] += part[have : have + m]
+                else:
+                    out[at : at + m] = part[:m]
+                have += size
+            if size * 2 > length:
+                break
+            part = part[:-size] * wrap(size) + part[size:]
+            size *= 2
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -149,7 +159,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(*columns: np.ndarray) -> bytes:
     head = struct.pack("<B", len(columns)) + b"".join(struct.pack("<2sQ", c.dtype.str[1:].encode(), c.nbytes) for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.tobytes() for c in columns))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(c.tobytes() for c in columns))
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -179,6 +189,7 @@ def route(buckets: int) -> Callable:
             first, number = distinct(identity(rolling(data, LENGTH, np.uint64), at, n))
             bucket = (mixed(least) % np.uint32(buckets)).astype(np.int64)
             owner = np.searchsorted(starts, at, "right") - 1
+            first = np.sort(first)
             kept = first[np.argsort(bucket[first], kind="stable")]
             place = np.empty(len(first), np.int64)  # of a distinct segment in its bucket's row
             place[number[kept]] = np.arange(len(kept))
@@ -190,7 +201,7 @@ def route(buckets: int) -> Callable:
                 s, o = kept[cuts[0][k] : cuts[1][k]], found[marks[0][k] : marks[1][k]]
                 docs, doc = np.unique(owner[o], return_inverse=True)
                 rows.append(packed(
-                    data[joined(at[s], n[s] + LENGTH - 1)], n[s].astype(np.uint8), (place[number[o]] - cuts[0][k]).astype(np.uint32),
+                    data[joined(at[s], n[s] + LENGTH - 1)], n[s].astype(np.uint8), np.diff(place[number[o]] - cuts[0][k], prepend=0).astype(np.int32),
                     np.diff(doc, prepend=0).astype(np.int32), (at[o] - starts[owner[o]]).astype(np.uint32), ids[docs].astype(np.int64), prints[docs],
                 ))
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
@@ -288,7 +299,7 @@ def merge_bucket(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
     data = np.concatenate([p[0] for p in parts])
     windows = np.concatenate([p[1] for p in parts]).astype(np.int64)
     shift = np.cumsum([0, *[len(p[1]) for p in parts]])[:-1]
-    held = np.concatenate([p[2].astype(np.int64) + s for p, s in zip(parts, shift, strict=True)])
+    held = np.concatenate([np.cumsum(p[2], dtype=np.int64) + s for p, s in zip(parts, shift, strict=True)])
     doc = np.concatenate([p[5][np.cumsum(p[3])] for p in parts])
     name = np.concatenate([p[6][np.cumsum(p[3])] for p in parts])
     place = np.concatenate([p[4] for p in parts]).astype(np.int64)
@@ -409,35 +420,50 @@ def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(__id, __print, __spans): the removed runs of each id and text (told by its 64-bit hash) that loses some."""
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(__text, __least): the hash of each text that several rows have, and their smallest id; broadcast while they are few."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("__text"))
+    found = cut(rows.groupBy("__text").agg(F.min("id").alias("__least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__text", "__least"), "copies")
+    return checked_broadcast(found, found.count())
+
+
+def repeats(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(__id, __print, __spans): the removed runs of each id and text (told by its 64-bit hash) that loses some.
+
+    Texts that a smaller id has as a whole are left out; they lose all.
+    """
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    single = rows.join(copies, F.xxhash64("text") == F.col("__text"), "left").where("__least is null or __least = doc_id")
+    bytes_ = single.select("doc_id", F.col("text").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // BUCKET_BYTES))
     width = max(parts, buckets // 8)
-    routed = rows.mapInArrow(route(buckets), "bucket int, blob binary")
+    routed = bytes_.mapInArrow(route(buckets), "bucket int, blob binary")
     found = routed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(mark(width), "part int, blob binary")
     return cut(found.repartition(width, "part").sortWithinPartitions("part").mapInArrow(unite, "__id long, __print long, __spans binary"), "repeats")
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): whole texts as bytes with the runs that go."""
-    spans = repeats(docs)
+    """(doc_id, text, whole, spans): texts as bytes with the runs that go, or whether they go as a whole."""
+    copies = whole_copies(docs)
+    spans = repeats(docs, copies)
     size = spans.agg(F.sum(F.octet_length("__spans") + 40).alias("n")).first()["n"] or 0
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.withColumn("__key", F.xxhash64("text"))
-    return keyed.join(side, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__print")), "left").select("doc_id", F.col("text").cast("binary").alias("text"), F.col("__spans").alias("spans"))
+    keyed = rows.withColumn("__key", F.xxhash64("text")).join(copies, F.col("__key") == F.col("__text"), "left")
+    marked = keyed.join(side, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__print")), "left")
+    whole = (F.octet_length("text") >= LENGTH) & F.coalesce(F.col("__least") < F.col("doc_id"), F.lit(False))
+    return marked.select("doc_id", F.col("text").cast("binary").alias("text"), whole.alias("whole"), F.col("__spans").alias("spans"))
 
 
 def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, gone, runs, sha = [], [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+        for text, whole, spans in zip(batch.column("text"), batch.column("whole").to_pylist(), batch.column("spans"), strict=True):
             raw = memoryview(text.as_buffer())
-            pairs = np.frombuffer(spans.as_py() or b"", "<i4").reshape(-1, 2)
+            pairs = np.array([[0, len(raw)]]) if whole else np.frombuffer(spans.as_py() or b"", "<i4").reshape(-1, 2)
             d, at = hashlib.sha256(), 0
             for a, b in pairs.tolist():
                 d.update(raw[at:a])
