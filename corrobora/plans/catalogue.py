@@ -2,10 +2,314 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    """Count of candidate pairs by corpus and verdict."""
-    raise NotImplementedError
+from ..functions import facts as S
+from ..functions import text as T
+from ..functions import units as U
+from ..functions.dialect import DuckDB as D
+from ..functions.dialect import Spark, holds
+from ..operators import consensus as C
+from ..operators import extraction, pages
+from ..operators import facts as ops
+from ..operators import store
+from ..sources import fixture
+from .oracles import over
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    return ops.enrich(fixture.facts(spark, d))
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(fixture.DOCUMENTS, facts=facts(spark, d))
+
+
+def gated(spark: SparkSession, d: str) -> DataFrame:
+    return ops.gate(ops.pairs(facts(spark, d)))
+
+
+def rel(spark: SparkSession, d: str) -> DataFrame:
+    return ops.relationships(gated(spark, d))
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def register(name: str, query: Query, oracle: str | None = None) -> None:
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = oracle
+
+
+def scalar(name: str, source: str, key: str, **columns) -> None:
+    """A projection of scalars over a table; each column is a function of the dialect."""
+    register(
+        name,
+        lambda spark, d: table(spark, d, source).select(key, *[F.expr(f(Spark)).alias(c) for c, f in columns.items()]),
+        f"SELECT {key}, " + ", ".join(f"{f(D)} AS {c}" for c, f in columns.items()) + f" FROM {source}",
+    )
+
+
+def fact_scalar(name: str, **columns) -> None:
+    """A projection of scalars over the enriched facts."""
+    register(
+        name,
+        lambda spark, d: facts(spark, d).select("fact_id", *[F.expr(f(Spark)).alias(c) for c, f in columns.items()]),
+        over("SELECT fact_id, " + ", ".join(f"{f(D)} AS {c}" for c, f in columns.items()) + " FROM facts"),
+    )
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count of candidate pairs by corpus, verdict and shift."""
+    return gated(spark, sf_dir).groupBy("corpus", "verdict", "shift_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- text ---------------------------------------------------------------------------------------------------------
+register(
+    "docs_catalog_ids",
+    lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"), F.expr(Spark.digest("CAST(doc_id AS STRING) || ':' || sha2(text, 256)", 12)).alias("catalog_id")),
+    "SELECT doc_id, sha256(text) AS checksum, substr(sha256(doc_id::VARCHAR || ':' || sha256(text)), 1, 12) AS catalog_id FROM documents",
+)
+scalar("page_normalize", "documents", "doc_id", page=lambda d: T.normal_page(d, "text"))
+scalar("boilerplate_filter", "documents", "doc_id", boilerplate=lambda d: T.is_boilerplate(d, "text"))
+scalar("strip_citations", "documents", "doc_id", stripped=lambda d: T.strip_citations(d, "text || ' (Table 3, Figures 4 and 5) see Box 1 and Appendix II.'"))
+scalar("strip_footnotes", "documents", "doc_id", stripped=lambda d: T.strip_footnotes(d, "text || ' 3/ as [1, 2] and (1,5) in FY2025/26 or 2024/25.'"))
+scalar("strip_numbering", "documents", "doc_id", stripped=lambda d: T.strip_numbering(d, "'7. Growth slowed. 10. Prices rose. ' || text"))
+scalar("clean_text", "documents", "doc_id", cleaned=lambda d: T.clean(d, "text"))
+scalar("factual_signal", "documents", "doc_id", signal=lambda d: T.has_signal(d, "text"))
+scalar("reject_pattern", "documents", "doc_id", rejected=lambda d: T.is_rejected(d, "text"))
+scalar("token_counts", "documents", "doc_id", tokens=lambda d: T.token_count(d, "text"))
+scalar("section_titles", "documents", "doc_id", section_title=lambda d: pages.section_title(d, "text"))
+scalar("clean_punct_year", "events", "event_id", stripped=lambda d: T.strip_edges(d, "' (' || CAST(user_id + 1950 AS VARCHAR(9)) || '). '"), bare_year=lambda d: T.is_bare_year(d, "' (' || CAST(user_id + 1950 AS VARCHAR(9)) || '). '"))
+scalar("has_data_pages", "documents", "doc_id", has_data=lambda d: d.rx("text", r"\d", False))
+scalar("temporal_detect", "documents", "doc_id", period=lambda d: T.period(d, pages.stamped()))
+scalar("scope_detect", "documents", "doc_id", scope=lambda d: T.scope(d, pages.stamped()))
+scalar("entity_detect", "documents", "doc_id", entity=lambda d: S.entity(d, pages.filename(), pages.sample()))
+register("sentence_units", lambda spark, d: pages.sentence_units(table(spark, d, "documents")), pages.SENTENCE_ORACLE)
+register("clause_split", lambda spark, d: pages.clause_counts(table(spark, d, "documents")), f"SELECT doc_id, len({T.clauses(D, 'text')}) AS n_clauses FROM documents")
+register("md_table_nation", lambda spark, d: pages.nation_table(table(spark, d, "nation"), table(spark, d, "region")), pages.NATION_ORACLE)
+register("html_text_pages", lambda spark, d: pages.html_text(table(spark, d, "pages")))
+register("greedy_chunks", lambda spark, d: pages.chunks(table(spark, d, "documents")))
+register("conversation_context", lambda spark, d: pages.with_neighbours(table(spark, d, "conversations")), pages.NEIGHBOUR_ORACLE)
+register("anchor_cosine", lambda spark, d: pages.anchor_scores(table(spark, d, "embeddings")), pages.ANCHOR_ORACLE)
+
+# --- numbers and entities -----------------------------------------------------------------------------------------
+fact_scalar("unit_scale", scale=lambda d: U.scale(d, "value", "unit"))
+fact_scalar("clean_number", number=lambda d: U.plain_number(d, "value"))
+fact_scalar("canonical_number", number=lambda d: U.canonical_number(d, "value", "unit"))
+fact_scalar("multilateral_sovereign_flags", multilateral=lambda d: S.is_multilateral("metric"), sovereign=lambda d: S.is_sovereign("entity"))
+fact_scalar("canonical_def", canonical_def=lambda d: S.canonical(), metric=lambda d: "metric")
+fact_scalar("corpus_resolve", resolved=lambda d: S.corpus("document_id", "entity"))
+register(
+    "fact_enrich",
+    lambda spark, d: facts(spark, d).select("fact_id", "corpus", "document_id", "page_number", "metric", "metric_type", "value_nature", "temporal_nature", "is_header_metadata", "canonical_def"),
+    over("SELECT fact_id, corpus, document_id, page_number, metric, metric_type, value_nature, temporal_nature, is_header_metadata, canonical_def FROM facts"),
+)
+_EXPLAIN = ("a_value", "a_unit", "b_value", "b_unit", "a_number", "b_number", "a_scale", "b_scale")
+register(
+    "values_equivalent",
+    lambda spark, d: ops.pairs(facts(spark, d)).select("a_fact_id", "b_fact_id", F.expr(S.values_equal(Spark)).alias("equivalent")),
+    over(f"SELECT a_fact_id, b_fact_id, {S.values_equal(D)} AS equivalent FROM pairs"),
+)
+register(
+    "unit_explain",
+    lambda spark, d: ops.pairs(facts(spark, d)).select("a_fact_id", "b_fact_id", F.expr(U.explanation(Spark, *_EXPLAIN)).alias("explanation")),
+    over(f"SELECT a_fact_id, b_fact_id, {U.explanation(D, *_EXPLAIN)} AS explanation FROM pairs"),
+)
+
+# --- store --------------------------------------------------------------------------------------------------------
+register(
+    "facts_with_docs",
+    lambda spark, d: store.with_documents(facts(spark, d), documents(spark, d)).select("fact_id", "document_key", "document_id", "page_number"),
+    over("SELECT fact_id, coalesce(d.doc_id, f.document_id) AS document_key, f.document_id, page_number FROM facts f LEFT JOIN docs d ON d.filename = f.document_id"),
+)
+register("facts_by_entity", lambda spark, d: store.by_entity(facts(spark, d), "republic").select("fact_id", "entity", "metric", "page_number"), over("SELECT fact_id, entity, metric, page_number FROM facts WHERE lower(entity) LIKE '%republic%'"))
+register("facts_by_metric", lambda spark, d: store.by_metric(facts(spark, d), "growth", "ASIA").select("fact_id", "metric", "document_id"), over("SELECT fact_id, metric, document_id FROM facts WHERE lower(metric) LIKE '%growth%' AND lower(corpus) = 'asia'"))
+register(
+    "keyword_search",
+    lambda spark, d: store.search(facts(spark, d), "inception", 25).select("fact_id", "metric", "page_number"),
+    over("SELECT fact_id, metric, page_number FROM facts WHERE lower(metric) LIKE '%inception%' OR lower(entity) LIKE '%inception%' OR lower(verbatim_quote) LIKE '%inception%' ORDER BY page_number, fact_id LIMIT 25"),
+)
+register("document_facts", lambda spark, d: store.of_document(facts(spark, d), "02-annual.pdf").select("fact_id", "page_number"), over("SELECT fact_id, page_number FROM facts WHERE document_id = '02-annual.pdf'"))
+register("cross_doc_metrics", lambda spark, d: store.shared_metrics(facts(spark, d)), over("SELECT metric, count(DISTINCT document_id) AS n_docs FROM facts GROUP BY metric HAVING n_docs > 1"))
+register(
+    "cross_doc_metric_members",
+    lambda spark, d: store.shared_members(facts(spark, d)).select("group_metric", "fact_id"),
+    over("SELECT m.metric AS group_metric, f.fact_id FROM facts f JOIN (SELECT metric FROM facts GROUP BY metric HAVING count(DISTINCT document_id) > 1) m ON lower(f.metric) LIKE '%' || lower(m.metric) || '%'"),
+)
+register("row_counts", lambda spark, d: store.of_corpus(facts(spark, d), None).groupBy("corpus").agg(F.count(F.lit(1)).alias("n")), over("SELECT corpus, count(*) AS n FROM facts GROUP BY corpus"))
+register("available_corpora", lambda spark, d: store.corpora(facts(spark, d), documents(spark, d), rel(spark, d)), over("SELECT DISTINCT corpus FROM (SELECT corpus FROM facts UNION SELECT corpus FROM docs UNION SELECT corpus FROM rel) WHERE trim(corpus) <> ''"))
+register("facts_per_document", lambda spark, d: store.per_document(facts(spark, d), documents(spark, d)), over("SELECT d.filename, count(f.fact_id) AS n_facts FROM docs d LEFT JOIN facts f ON f.document_id = d.filename GROUP BY d.filename"))
+register(
+    "fact_page",
+    lambda spark, d: store.page(facts(spark, d), [F.desc("value"), F.asc("fact_id")], 3, 25).select("fact_id", "value"),
+    over("SELECT fact_id, value FROM facts ORDER BY value DESC, fact_id LIMIT 25 OFFSET 50"),
+)
+register(
+    "dedup_first_wins",
+    lambda spark, d: store.first_wins(facts(spark, d), [F.desc("confidence_score"), F.asc("document_id"), F.asc("page_number"), F.asc("fact_id")]).select("fact_id", "entity", "metric"),
+    over("SELECT fact_id, entity, metric FROM facts QUALIFY row_number() OVER (PARTITION BY entity, lower(metric), lower(value), temporal_period ORDER BY confidence_score DESC, document_id, page_number, fact_id) = 1"),
+)
+
+
+def _upserted(spark: SparkSession, d: str) -> DataFrame:
+    f = facts(spark, d).select("fact_id", "document_id", "metric", "confidence_score")
+    new = f.where("document_id = '01-ledger.pdf'").withColumn("confidence_score", F.col("confidence_score") / 2)
+    return store.upsert(f, new.unionByName(new.withColumn("confidence_score", F.lit(0.1))), ["fact_id"], [F.asc("confidence_score")])
+
+
+register("upsert_last_wins", _upserted, over("SELECT fact_id, document_id, metric, CASE WHEN document_id = '01-ledger.pdf' THEN 0.1::DOUBLE ELSE confidence_score END AS confidence_score FROM facts"))
+
+
+def _deleted(spark: SparkSession, d: str) -> DataFrame:
+    f, r, docs = store.delete_document(facts(spark, d), rel(spark, d), documents(spark, d), "03-deck.pdf")
+    n = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return n(f, "facts").unionByName(n(r, "relationships")).unionByName(n(docs, "documents"))
+
+
+register(
+    "delete_cascade",
+    _deleted,
+    over("""SELECT 'facts' AS what, count(*) AS n FROM facts WHERE document_id <> '03-deck.pdf'
+    UNION ALL SELECT 'relationships', count(*) FROM rel WHERE a_document_id <> '03-deck.pdf' AND b_document_id <> '03-deck.pdf'
+    UNION ALL SELECT 'documents', count(*) FROM docs WHERE filename <> '03-deck.pdf'"""),
+)
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    f = facts(spark, d).select("fact_id", "document_id", "metric", "value")
+    other = f.where("document_id <> '01-ledger.pdf'").withColumn("fact_id", F.concat(F.lit("x"), "fact_id"))
+    return store.merge(f.where("document_id = '01-ledger.pdf'"), other).select("fact_id", "metric", "value")
+
+
+register(
+    "merge_rule_llm",
+    _merged,
+    over("""SELECT fact_id, metric, value FROM facts WHERE document_id = '01-ledger.pdf'
+    UNION ALL SELECT 'x' || o.fact_id, o.metric, o.value FROM facts o WHERE o.document_id <> '01-ledger.pdf' AND NOT EXISTS (
+      SELECT 1 FROM facts r WHERE r.document_id = '01-ledger.pdf' AND lower(trim(r.metric)) = lower(trim(o.metric)) AND lower(trim(r.value)) = lower(trim(o.value)))"""),
+)
+
+# --- reconciliation -----------------------------------------------------------------------------------------------
+register("candidate_pairs", lambda spark, d: ops.pairs(facts(spark, d)).select("corpus", "a_fact_id", "b_fact_id", "a_canonical_def"), over("SELECT corpus, a_fact_id, b_fact_id, a_canonical_def FROM pairs"))
+_VERDICT = ("relationship_id", "a_fact_id", "b_fact_id", "verdict", "shift_type", "confidence")
+register("gate_verdicts", lambda spark, d: gated(spark, d).select(*_VERDICT), over(f"SELECT {', '.join(_VERDICT)} FROM gated"))
+register("all_pairs_gate", lambda spark, d: ops.gate(ops.period_pairs(facts(spark, d))).select(*_VERDICT), over(f"SELECT {', '.join(_VERDICT)} FROM loosely"))
+register(
+    "gate_audit_fields",
+    lambda spark, d: ops.gate(ops.period_pairs(facts(spark, d))).select("relationship_id", F.expr(ops.summary()).alias("summary"), *[F.expr(t).alias(c) for c, t in ops.audit_fields().items()]),
+    over(f"SELECT relationship_id, {ops.summary(D)} AS summary, " + ", ".join(f"{t} AS {c}" for c, t in ops.audit_fields(D).items()) + " FROM loosely"),
+)
+register("gate_reasoning", lambda spark, d: gated(spark, d).select("relationship_id", F.expr(ops.reasoning()).alias("reasoning")), over(f"SELECT relationship_id, {ops.reasoning(D)} AS reasoning FROM gated"))
+register("verdict_counts", flagship, over("SELECT corpus, verdict, shift_type, count(*) AS n FROM gated GROUP BY ALL"))
+register("relationship_ids", lambda spark, d: rel(spark, d).select("relationship_id", "corpus", "verdict"), over("SELECT relationship_id, corpus, verdict FROM rel"))
+register(
+    "relationship_counts",
+    lambda spark, d: store.counts_by_verdict(rel(spark, d)),
+    over("""SELECT verdict, CAST(sum(n) AS BIGINT) AS n FROM (SELECT verdict, count(*) AS n FROM rel GROUP BY verdict UNION ALL SELECT 'total', count(*) FROM rel
+    UNION ALL SELECT unnest(['corroborated', 'genuine_contradiction', 'context_reconciled', 'extraction_failure']), 0) GROUP BY verdict"""),
+)
+register(
+    "relationships_filtered",
+    lambda spark, d: store.relationships(rel(spark, d), "genuine_contradiction", "europe").select("relationship_id", "confidence"),
+    over("SELECT relationship_id, confidence FROM rel WHERE verdict = 'genuine_contradiction' AND lower(corpus) = 'europe'"),
+)
+register("relationships_for_fact", lambda spark, d: store.ends(rel(spark, d)), over("SELECT fact_id, relationship_id, verdict, confidence FROM ends"))
+register("linked_facts", lambda spark, d: store.linked(facts(spark, d), rel(spark, d)).select("fact_id", "metric"), over("SELECT fact_id, metric FROM facts WHERE fact_id IN (SELECT fact_id FROM ends)"))
+register("standalone_facts", lambda spark, d: store.standalone(facts(spark, d), rel(spark, d)).select("fact_id", "metric"), over("SELECT fact_id, metric FROM facts WHERE fact_id NOT IN (SELECT fact_id FROM ends)"))
+register("pair_failure_codes", lambda spark, d: gated(spark, d).select("a_fact_id", "b_fact_id", "pair_failure"), over("SELECT a_fact_id, b_fact_id, pair_failure FROM gated"))
+register(
+    "context_shifts",
+    lambda spark, d: ops.pairs(facts(spark, d)).select("a_fact_id", "b_fact_id", F.expr(pages.context_shift(Spark)).alias("shift")),
+    over(f"SELECT a_fact_id, b_fact_id, {pages.context_shift(D)} AS shift FROM pairs"),
+)
+
+# --- consensus and audit ------------------------------------------------------------------------------------------
+register(
+    "consensus_groups",
+    lambda spark, d: C.consensus(facts(spark, d)),
+    over("""SELECT substr(sha256(corpus || ':' || metric || ':' || doc_count), 1, 16) AS group_id, corpus, metric, entity, total_corpus_docs::INTEGER AS total_corpus_docs, participating_docs, doc_count::INTEGER AS doc_count,
+    coverage_ratio, verdict, CASE verdict WHEN 'corroborated' THEN 'Corroborated across ' || docs_text || ' in ' || corpus || ' (' || first_value || ')' WHEN 'temporal_update' THEN 'Temporal Progression across ' || docs_text || ' in ' || corpus
+    WHEN 'context_reconciled' THEN 'Contextually Reconciled across ' || docs_text || ' in ' || corpus ELSE 'Discrepancy observed across ' || docs_text || ' in ' || corpus END AS status_summary FROM consensus"""),
+)
+register(
+    "consensus_disclosures",
+    lambda spark, d: C.disclosures(facts(spark, d)),
+    over("""SELECT corpus, canonical_def AS metric, document_id, page_number, value, raw_value, coalesce(nullif(temporal_period, ''), 'Unspecified') AS temporal_period,
+    coalesce(nullif(reporting_scope, ''), 'Standard') AS reporting_scope, coalesce(unit, '') AS unit, verbatim_quote FROM reps
+    WHERE (corpus, canonical_def) IN (SELECT (corpus, canonical_def) FROM reps GROUP BY corpus, canonical_def HAVING count(*) >= 2)"""),
+)
+register(
+    "fact_consensus_badge",
+    lambda spark, d: pages.badges(facts(spark, d), C.consensus(facts(spark, d))),
+    over("SELECT f.fact_id, c.verdict AS badge FROM facts f LEFT JOIN consensus c ON f.corpus = c.corpus AND lower(trim(f.metric)) = lower(c.metric)"),
+)
+register("fact_audit", lambda spark, d: C.fact_audit(facts(spark, d)), over("SELECT failure_type, source_document, page_number, observed_result, corpus, fact_id, related_fact_id FROM flaws"))
+register("cross_sovereign_audit", lambda spark, d: C.sovereign_audit(facts(spark, d)), over("SELECT failure_type, source_document, page_number, observed_result, corpus, fact_id, related_fact_id FROM crossed"))
+_FAILURE = "failure_id, failure_type, source_document, page_number, observed_result, corpus, fact_id, related_fact_id"
+register("corpus_audit", lambda spark, d: C.corpus_audit(facts(spark, d)), over(f"SELECT {_FAILURE} FROM failures"))
+register("failures_filtered", lambda spark, d: C.corpus_audit(facts(spark, d)).where("failure_type = 'EXTRACTION_ERROR' AND lower(corpus) = 'africa'").orderBy("source_document", "page_number"), over(f"SELECT {_FAILURE} FROM failures WHERE failure_type = 'EXTRACTION_ERROR' AND lower(corpus) = 'africa'"))
+register(
+    "failure_attribution",
+    lambda spark, d: store.attribute(C.corpus_audit(facts(spark, d)), documents(spark, d)).select("failure_id", "corpus"),
+    over("""SELECT failure_id, coalesce(e.corpus, p.corpus, CASE WHEN contains(lower(source_document), 'delhivery') THEN 'Delhivery' WHEN regexp_matches(lower(source_document), 'india|rbi|economic survey|imf') THEN 'India Macroeconomics' ELSE 'General Knowledge' END) AS corpus
+    FROM failures f LEFT JOIN (SELECT lower(filename) AS k, corpus FROM docs WHERE corpus IS NOT NULL) e ON lower(f.source_document) = e.k
+    LEFT JOIN (SELECT lower(s.source_document) AS src, arg_min(d.corpus, lower(d.filename)) AS corpus FROM (SELECT DISTINCT source_document FROM failures) s JOIN docs d ON d.corpus IS NOT NULL AND contains(lower(s.source_document), lower(d.filename)) GROUP BY 1) p ON lower(f.source_document) = p.src"""),
+)
+_SHOW = """SELECT verdict, relationship_id, a_fact_id, b_fact_id, c.coverage FROM gated g LEFT JOIN (SELECT lower(trim(metric)) AS k, count(DISTINCT document_id) AS coverage FROM facts GROUP BY 1) c ON lower(trim(a_metric)) = c.k
+    WHERE verdict IN ('corroborated', 'genuine_contradiction', 'context_reconciled', 'extraction_failure')
+    QUALIFY row_number() OVER (PARTITION BY verdict ORDER BY c.coverage DESC, a_document_id, a_page_number, a_fact_id, b_document_id, b_page_number, b_fact_id) = 1"""
+register("showcase_top1", lambda spark, d: C.showcase(gated(spark, d), facts(spark, d)), over(_SHOW))
+
+
+def _enriched_showcase(spark: SparkSession, d: str) -> DataFrame:
+    f = facts(spark, d)
+    g = ops.gate(ops.pairs(f))
+    return C.enrichment(C.showcase(g, f), g, f)
+
+
+register(
+    "showcase_enrich",
+    _enriched_showcase,
+    over(f"""SELECT relationship_id, document_id, fact_id, score FROM (SELECT g.relationship_id, f.document_id, f.fact_id, f.page_number,
+      CASE WHEN coalesce(g.a_temporal_period, '') <> '' AND lower(coalesce(f.temporal_period, '')) = lower(g.a_temporal_period) THEN 20
+        WHEN contains(lower(coalesce(g.a_temporal_period, '')), 'inception') AND (contains(lower(coalesce(f.temporal_period, '')), 'incorporation') OR {holds("lower(f.verbatim_quote)", "incorporation", "inception")}) THEN 15 ELSE 0 END
+      + len(list_intersect(list_distinct(string_split_regex(lower(g.a_verbatim_quote), '\\s+')), list_distinct(string_split_regex(lower(f.verbatim_quote), '\\s+')))) AS score
+      FROM ({_SHOW}) s JOIN gated g USING (relationship_id) JOIN facts f ON f.canonical_def = g.a_canonical_def AND f.value_nature = g.a_value_nature AND f.document_id <> g.a_document_id AND f.document_id <> g.b_document_id)
+    QUALIFY row_number() OVER (PARTITION BY relationship_id, document_id ORDER BY score DESC, page_number, fact_id) = 1"""),
+)
+
+
+def _sync(spark: SparkSession, d: str) -> DataFrame:
+    f = facts(spark, d)
+    r = ops.relationships(ops.gate(ops.pairs(f)))
+    n = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    by = store.counts_by_verdict(r).where("verdict in ('corroborated', 'genuine_contradiction', 'context_reconciled')").select(F.col("verdict").alias("what"), "n")
+    return n(f, "total_facts").unionByName(n(r, "total_relationships")).unionByName(by).unionByName(n(C.corpus_audit(f), "total_failures"))
+
+
+register(
+    "sync_summary",
+    _sync,
+    over("""SELECT 'total_facts' AS what, count(*) AS n FROM facts UNION ALL SELECT 'total_relationships', count(*) FROM rel UNION ALL SELECT 'total_failures', count(*) FROM failures
+    UNION ALL SELECT verdict, count(*) FROM rel WHERE verdict IN ('corroborated', 'genuine_contradiction', 'context_reconciled') GROUP BY verdict"""),
+)
+
+# --- events and extraction ----------------------------------------------------------------------------------------
+register(
+    "rate_window",
+    lambda spark, d: store.trailing(table(spark, d, "events"), 86400),
+    "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n_recent FROM events",
+)
+register("rule_extract_text", lambda spark, d: extraction.extract(extraction.fixture_pages(fixture.facts(spark, d))))
+register("rule_extract_table", lambda spark, d: extraction.extract(extraction.fixture_tables(fixture.facts(spark, d))))
+register("llm_json_facts", lambda spark, d: extraction.parsed_items(extraction.fixture_items(fixture.facts(spark, d))), over(extraction.ITEMS_ORACLE))
