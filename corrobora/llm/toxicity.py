@@ -46,6 +46,8 @@ SHARES = (0.3, 0.5, 0.7, 0.85, 0.95)
 LABELLED = 3
 #: Letters of the beginnings that stand for rare words, longest first.
 BEGINNINGS = (8, 7, 6, 5)
+#: Cells of the padded table of tokens and sequences that are worked on at once.
+CELLS = 400_000
 #: Words whose weight a task remembers.
 REMEMBERED = 400_000
 #: Tokens of a training window, and the most windows.
@@ -128,6 +130,20 @@ def forward_backward(seqs: list[np.ndarray], model: ToxicityModel) -> tuple[list
     return out, logz, moved
 
 
+def marginals(seqs: list[np.ndarray], model: ToxicityModel) -> list[np.ndarray]:
+    """Marginals of state 1; sequences of like length go together, so that little is padded."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(seqs)
+    group: list[int] = []
+    order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+    for k, i in enumerate(order):
+        group.append(i)
+        if k + 1 == len(order) or len(seqs[order[k + 1]]) * (len(group) + 1) > CELLS:
+            for j, p in zip(group, forward_backward([seqs[j] for j in group], model)[0], strict=True):
+                out[j] = p
+            group = []
+    return out
+
+
 def fit_chain(seqs: list[np.ndarray], tags: list[np.ndarray], steps: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> ToxicityModel:
     """Maximise the conditional likelihood of 0/1 tags by its exact gradient, in adaptive steps."""
     kinds = len(SHARES) + 1
@@ -221,7 +237,7 @@ def score_texts(texts: list[str | None], model: ToxicityModel, weights: Weights
     seqs = [weights_of(t, weights) for t in texts]
     hit = [i for i, s in enumerate(seqs) if s.any()]
     if hit:
-        for i, p in zip(hit, forward_backward([seqs[i] for i in hit], model)[0], strict=True):
+        for i, p in zip(hit, marginals([seqs[i] for i in hit], model), strict=True):
             x[i] = aggregates(p, base)
             on = np.flatnonzero(p >= 0.5)
             if len(on):
@@ -311,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     def aggregated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(lexicon)
         for batch in slices(batches):
-            ps = forward_backward([weights_of(t, weights) for t in batch.column("text").to_pylist()], model)[0]
+            ps = marginals([weights_of(t, weights) for t in batch.column("text").to_pylist()], model)
             x = np.array([aggregates(p, base) if (p > 2 * base).any() else aggregates(np.zeros(0), base) for p in ps])
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "a", "b"])
 
