@@ -82,11 +82,15 @@ def variants(nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of distinct fingerprints that differ in four bits or fewer, once each."""
+    """(a, b), a < b: every pair of distinct fingerprints that differ in four bits or fewer, once each.
+
+    Both sides of the join are one plan, so the variants are shuffled once.
+    """
     v = variants(nodes)
-    a, b = v.select("key", F.col("fp").alias("a")), v.select("key", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    wiped = F.shiftright("key", 22)
+    a, b = F.col("l.fp"), F.col("r.fp")
+    x = a.bitwiseXOR(b)
+    # of both sides, though they are equal: a condition on one side would be pushed below its shuffle
+    wiped = F.shiftright(F.col("l.key").bitwiseOR(F.col("r.key")), 22)
     near = [F.bit_count(x.bitwiseAND(F.lit(_mask(*s)))) <= 1 for s in SEGMENTS]
     first = F.lit(False)
     for k, (start, width) in enumerate(SEGMENTS):
@@ -94,15 +98,16 @@ def links(nodes: DataFrame) -> DataFrame:
         for other in near[:k]:
             here = here & ~other
         first = first | here
-    joined = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & first)
-    return joined.select("a", "b")
+    joined = v.alias("l").join(v.alias("r"), F.col("l.key") == F.col("r.key")).where((a < b) & (F.bit_count(x) <= MAX_BITS) & first)
+    return joined.select(a.alias("a"), b.alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, fp, component_id) for each document."""
     prints = cut(fingerprints(docs, words), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(links(nodes.select("fp").repartition(width)))  # spread before each row becomes 64
     rooted = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select(F.col("fp").alias("node_fp"), "component_id")
