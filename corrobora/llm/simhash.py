@@ -8,6 +8,11 @@ The join's condition verifies the distance and keeps a pair only where it meets
 first, so a pair comes out once.  Fingerprints are made distinct before, so
 copies never multiply, and links become components without being collected.
 
+The pipeline asks for a similarity of 0.8 in shingles of five words, at which a
+fingerprint of shingles differs in ten bits.  ``near_copies`` therefore indexes,
+in the same way, fingerprints of the distinct words, which differ in four or
+fewer, and verifies the similarity of the pairs that meet.
+
 Defined results
 * a null, empty or blank text has the fingerprint zero and links like any other;
 * texts shorter than a shingle are one shingle;
@@ -23,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, cut, slices
@@ -72,13 +77,20 @@ def _mask(start: int, width: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """(key, fp) for each of the 64 one-wildcard segment variants of a fingerprint."""
+def variant_keys(number: Column | None = None) -> Column:
+    """The 64 one-wildcard segment variants of ``fp``, led by the wiped bit (and by the fingerprint's number, if there are several)."""
     keys = []
     for start, width in SEGMENTS:
         part = F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1))
-        keys += [part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << i))) + F.lit((start + i) << 22) for i in range(width)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+        for i in range(width):
+            lead = F.lit(start + i) if number is None else number * 64 + (start + i)
+            keys.append(part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << i))) + F.shiftleft(lead.cast("long"), 22))
+    return F.array(*keys)
+
+
+def variants(nodes: DataFrame) -> DataFrame:
+    """(key, fp) for each of the variants of a fingerprint."""
+    return nodes.select(F.explode(variant_keys()).alias("key"), "fp")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -119,6 +131,110 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, words=4).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Fingerprints of a text's distinct words, each with hashes of its own, by which near copies are looked for.
+SETS = 3
+#: Minimal hashes of five-word shingles, 16 bits each, that estimate a pair's similarity.
+SKETCH = 128
+SIMILARITY = 0.8
+
+
+def word_set_fingerprint(words: list[bytes], seed: int) -> int:
+    """Unsigned 64-bit SimHash over distinct words."""
+    if not words:
+        return 0
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, seed) for w in words], "<u8")
+    total = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(words), bitorder="little").view("<u8")[0])
+
+
+def sketch(tokens: list[bytes], words: int, odd: np.ndarray) -> bytes:
+    """The minimal hash of the text's shingles under each multiplier, cut to 16 bits."""
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
+    digest, best = xxhash.xxh64_intdigest, np.full(len(odd), 2**64 - 1, np.uint64)
+    for at in range(0, len(last), 4096):
+        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : min(len(last), at + 4096)].tolist(), last[at : at + 4096].tolist(), strict=True)], np.uint64)
+        best = np.minimum(best, (h[:, None] * odd[None]).min(0, initial=2**64 - 1))
+    return ((best * np.uint64(MIX)) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+MIX = 0x9E3779B97F4A7C15
+
+
+def multipliers() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_id, fps, sketch): a 64-bit hash of the words in order, the fingerprints and the sketch."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = multipliers()
+        for batch in slices(batches):
+            ids, fps, sketches = [], [], []
+            for text in batch.column("text").to_pylist():
+                tokens = (text or "").encode("utf-8", "replace").lower().split()
+                distinct = list(set(tokens))
+                ids.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
+                fps.append([word_set_fingerprint(distinct, SEED + 1 + r) for r in range(SETS)])
+                sketches.append(sketch(tokens, words, odd) if tokens else b"")
+            flat = pa.array(np.array(fps, np.uint64).ravel().view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * SETS), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(ids, np.uint64).view(np.int64)), lists, pa.array(sketches, pa.binary())], ["doc_id", "text_id", "fps", "sketch"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, text_id long, fps array<long>, sketch binary")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) of texts whose sketches agree in so large a share."""
+    side = lambda c: texts.select(F.col("text_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = [np.frombuffer(b"".join(x or bytes(2 * SKETCH) for x in batch.column(c).to_pylist()), "<u2").reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b")]
+            near = pa.array((table[0] == table[1]).mean(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, component_id): documents linked by texts of SIMILARITY in shingles of five words.
+
+    Texts within four bits in one of the word-set fingerprints are candidates, and
+    sketches verify them.  First each text meets the least one of each of its
+    buckets, which gathers dense groups with as many pairs as index rows; then all
+    texts of a bucket meet that are in different components.  Buckets of one text
+    are dropped on the way.
+    """
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(signed(docs, words), "copies-signed")
+    texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "copies-texts")
+    nodes = texts.select("text_id", F.posexplode("fps").alias("r", "fp")).repartition(width)
+    keyed = nodes.select("text_id", "fp", F.explode(variant_keys(F.col("r"))).alias("key"))
+    bucket = Window.partitionBy("key")
+    met = keyed.withColumns({"head": F.min(F.struct("text_id", "fp")).over(bucket), "n": F.count(F.lit(1)).over(bucket)}).where("n > 1").drop("n")
+    met = cut(met, "copies-buckets")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= MAX_BITS
+    stars = met.where(near & (F.col("text_id") != F.col("head.text_id"))).select(F.col("head.text_id").alias("a"), F.col("text_id").alias("b")).distinct()
+    linked = cut(similar(stars, texts), "copies-linked")
+    first = components(linked).select(F.col("node").alias("text_id"), "root")
+    classed = met.drop("head").join(first, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    pair = classed.alias("l").join(classed.alias("r"), F.col("l.key") == F.col("r.key"))
+    apart = (F.col("l.root") < F.col("r.root")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= MAX_BITS)
+    across = similar(pair.where(apart).select(F.col("l.text_id").alias("a"), F.col("r.text_id").alias("b")).distinct(), texts)
+    roots = components(linked.unionByName(cut(across, "copies-across")))
+    rooted = cut(texts.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "copies-roots")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(ids, "root").select("text_id", "component_id")
+    return rows.select("doc_id", "text_id").join(named, "text_id").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """The document with the smallest id of each component, with all its columns.
 
@@ -127,7 +243,7 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     names = docs.columns
     ids = docs.where(F.col("doc_id").isNotNull())
-    found = near_duplicates(ids, words)
+    found = near_copies(ids, words)
     rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("__gone"))
     odd = cut(rows.where("__gone or n > 1").select(F.col("doc_id").alias("__odd_id"), "__gone"), "simhash-odd")
     known = checked_broadcast(odd, odd.count())

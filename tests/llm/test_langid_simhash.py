@@ -64,6 +64,37 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_near_copies_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 700")
+    rows = sorted((r["doc_id"], r["text_id"], r["fps"], r["sketch"]) for r in simhash.signed(docs, 5).collect())
+    m, links = (1 << 64) - 1, []
+    table = [np.frombuffer(r[3], "<u2") for r in rows]
+    for i, (_, t, fps, _) in enumerate(rows):
+        for j in range(i):
+            same = t == rows[j][1]
+            if same or (any(((a ^ b) & m).bit_count() <= 4 for a, b in zip(fps, rows[j][2])) and (table[i] == table[j]).mean() >= 0.8):
+                links.append((i, j))
+    want = {(rows[i][0], rows[r][0]) for i, r in enumerate(least_reachable(len(rows), links))}
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs).collect()} == want
+    assert len({c for _, c in want}) < len(rows) - 20
+
+
+def test_near_copies_catch_edits_and_leave_others(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)]
+    rows, group = [], {}
+    for k in range(30):
+        words = rng.choice(vocabulary, 300).tolist()
+        for c in range(6):
+            d, copy = 10 * k + c, list(words)
+            for at in rng.choice(300, c, replace=False):  # similarity 0.84 at least
+                copy[at] = rng.choice(vocabulary)
+            rows.append((d, " ".join(copy)))
+            group[d] = 10 * k
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[d] != g for d, g in group.items()) <= 6 and all(got[d] // 10 == d // 10 for d in group)
+
+
 ODD = [
     (1, None, None, None, None),
     (2, "", "en", "s", 0),
