@@ -5,9 +5,10 @@ row.  Corners are found on several scales; around each, the direction of the
 patch's centre of mass turns a fixed pattern of pixel pairs, and which pixel of a
 pair is brighter gives a 128-bit descriptor.  Six pieces of 21 bits index a
 descriptor; two that agree in a piece meet in an equality join, which verifies
-their distance.  Each match votes for a change of scale, a rotation and a shift
-(into neighbouring cells too), and two pictures with enough votes in one cell are
-linked.  Links become classes without being collected.
+their distance.  Each match votes for a change of scale, a rotation and a shift,
+and two pictures with enough votes in one cell are linked.  Links become classes
+without being collected: a first join gathers dense groups around one corner of
+each bucket, a second one matches all pictures that are not in one class yet.
 
 Equal pictures are one picture in all of this: they join their class at the end, so
 copies never multiply.  Corners compete within a few pixels, so their number
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -36,7 +37,7 @@ from .components import components
 STEP = 2**0.5
 SCALES = 4
 #: Half the width of a patch, and of the square in which corners compete.
-RADIUS, APART = 13, 3
+RADIUS, APART = 13, 4
 #: A corner's response is at least this share of the picture's largest.
 SHARE = 0.02
 PIECES, PIECE_BITS = 6, 21
@@ -44,16 +45,22 @@ MAX_DISTANCE = 20
 #: Matches that agree on scale, rotation and shift.
 VOTES = 8
 #: Cells of the vote: shift in pixels, rotation in degrees.
-SHIFT, TURN = 8.0, 20.0
+SHIFT, TURN = 8.0, 30.0
 DESCRIPTOR_SEED = 10
 FEATURES = "media_id long, a long, b long, x double, y double, scale int, angle double"
 
 
 def pattern() -> np.ndarray:
-    """128 pairs of points (dy, dx) within the patch, made by rule."""
+    """128 pairs of points (dy, dx) within the patch, made by rule.
+
+    The points of a pair lie side by side across the patch's direction, along
+    which it grows brighter, so that either is as likely the brighter one.
+    """
     rng = np.random.default_rng(DESCRIPTOR_SEED)
-    p = rng.normal(0, RADIUS / 2.2, (128, 2, 2))
-    return np.clip(p, -RADIUS * 0.7, RADIUS * 0.7)
+    reach = RADIUS * 0.7
+    first, second = rng.uniform(-reach, reach, (128, 2)), rng.uniform(-reach, reach, 128)
+    other = np.stack([second, first[:, 1] + rng.normal(0, 1, 128)], 1)
+    return np.clip(np.stack([first, other], 1), -reach, reach)
 
 
 def blurred(images: np.ndarray) -> np.ndarray:
@@ -169,44 +176,112 @@ def piece(k: int) -> Column:
     return F.shiftrightunsigned(word, at * PIECE_BITS).bitwiseAND(F.lit((1 << PIECE_BITS) - 1)) + F.lit(k << PIECE_BITS)
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """Pairs of corners of two pictures, l.media_id < r.media_id, within MAX_DISTANCE bits; once for each shared piece."""
-    keyed = found.select("*", F.explode(F.array(*[piece(k) for k in range(PIECES)])).alias("key"))
-    names = found.columns
-    left = keyed.select("key", F.struct(*names).alias("l"))
-    right = keyed.select("key", F.struct(*names).alias("r"))
-    distance = F.bit_count(F.col("l.a").bitwiseXOR(F.col("r.a"))) + F.bit_count(F.col("l.b").bitwiseXOR(F.col("r.b")))
-    return left.join(right, "key").where((F.col("l.media_id") < F.col("r.media_id")) & (distance <= MAX_DISTANCE)).select("l", "r")
+#: Steps of a packed angle, and of a packed pixel.
+ANGLES, SUBPIXEL = 4096, 16
+
+
+def packed() -> Column:
+    """Place, scale and angle in one long: what is shuffled for a corner is this, its bits and its picture."""
+    x, y = (F.round(F.col(c) * SUBPIXEL).cast("long") for c in ("x", "y"))
+    angle = F.floor((F.col("angle") + np.pi) / (2 * np.pi) * ANGLES).cast("long").bitwiseAND(F.lit(ANGLES - 1))
+    return F.shiftleft(x, 40) + F.shiftleft(y, 16) + F.shiftleft(F.col("scale").cast("long"), 12) + angle
+
+
+def unpacked(g: str, media: str) -> Column:
+    field = lambda at, bits: F.shiftrightunsigned(g, at).bitwiseAND(F.lit((1 << bits) - 1))
+    angle = field(0, 12) * (2 * np.pi / ANGLES) - np.pi
+    return F.struct(F.col(media).alias("media_id"), (field(40, 24) / SUBPIXEL).alias("x"), (field(16, 24) / SUBPIXEL).alias("y"), field(12, 4).cast("int").alias("scale"), angle.alias("angle"))
+
+
+CORNER = ("media_id", "a", "b", "g")
+
+
+def near() -> Column:
+    """Corners p and q within the distance, p of the picture with the smaller media_id."""
+    bits = F.bit_count(F.col("p_a").bitwiseXOR(F.col("q_a"))) + F.bit_count(F.col("p_b").bitwiseXOR(F.col("q_b")))
+    return (F.col("p_media_id") < F.col("q_media_id")) & (bits <= MAX_DISTANCE)
+
+
+def bucketed(found: DataFrame) -> DataFrame:
+    """(key, media_id, a, b, g, head): a row for each piece of each corner, with the corner of its bucket that has the smallest media_id.
+
+    Buckets of one corner are left out; of what remains every later join starts.
+    """
+    width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = found.repartition(width).select("media_id", "a", "b", packed().alias("g"), F.explode(F.array(*[piece(k) for k in range(PIECES)])).alias("key"))
+    bucket = Window.partitionBy("key")
+    met = rows.withColumns({"head": F.min(F.struct(*CORNER)).over(bucket), "n": F.count(F.lit(1)).over(bucket)})
+    return cut(met.where("n > 1").drop("n"), "media-buckets")
+
+
+def corner_pairs(pairs: DataFrame) -> DataFrame:
+    """(l, r): each pair of corners once, however many pieces they share."""
+    once = pairs.select("p_media_id", "p_g", "q_media_id", "q_g").distinct()
+    return once.select(unpacked("p_g", "p_media_id").alias("l"), unpacked("q_g", "q_media_id").alias("r"))
+
 
+def star_matches(buckets: DataFrame) -> DataFrame:
+    """Corners that match the first corner of one of their buckets: no more rows than there are pieces."""
+    pair = buckets.select(*[F.col(f"head.{c}").alias(f"p_{c}") for c in CORNER], *[F.col(c).alias(f"q_{c}") for c in CORNER])
+    return corner_pairs(pair.where(near()))
 
-def links(found: DataFrame) -> DataFrame:
-    """(a, b, votes): pictures whose matches agree on a change of scale, a rotation and a shift."""
-    turn = (F.col("r.angle") - F.col("l.angle")) * (180 / np.pi)
+
+def matches(buckets: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(l, r): all corners of two pictures, l.media_id < r.media_id, that share a piece within MAX_DISTANCE bits.
+
+    With classes (node, root), only those of pictures that are not in one class.
+    """
+    rows = buckets.drop("head")
+    if classes is None:
+        named = rows.withColumn("class_id", F.col("media_id"))
+    else:
+        named = rows.join(classes, F.col("media_id") == F.col("node"), "left").select("key", *CORNER, F.coalesce("root", "media_id").alias("class_id"))
+    width = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda p: named.repartition(width, "key").select("key", *[F.col(c).alias(f"{p}_{c}") for c in (*CORNER, "class_id")])
+    return corner_pairs(side("p").join(side("q"), "key").where(near() & (F.col("p_class_id") != F.col("q_class_id"))))
+
+
+def links(matched: DataFrame) -> DataFrame:
+    """(a, b, votes): pictures whose matches agree on a change of scale, a rotation and a shift.
+
+    A match votes for the cell of its rotation and for four neighbouring cells of its shift.
+    """
     ratio = F.pow(F.lit(STEP), F.col("r.scale") - F.col("l.scale"))
+    turn = F.pmod((F.col("r.angle") - F.col("l.angle")) * (180 / np.pi), F.lit(360.0))
+    m = matched.select("l", "r", turn.alias("turn"), ratio.alias("ratio"))
     t = F.radians(F.col("turn"))
-    m = matches(found).select("l", "r", F.pmod(turn, F.lit(360.0)).alias("turn"), ratio.alias("ratio"))
     sx = F.col("r.x") - F.col("ratio") * (F.cos(t) * F.col("l.x") - F.sin(t) * F.col("l.y"))
     sy = F.col("r.y") - F.col("ratio") * (F.sin(t) * F.col("l.x") + F.cos(t) * F.col("l.y"))
 
-    def cells(v: Column, size: float) -> Column:
-        """The cell of a value and the nearer neighbour."""
-        q = v / size
+    def cells(v: Column) -> Column:
+        """The cell of a shift and the nearer neighbour."""
+        q = v / SHIFT
         return F.array(F.floor(q), F.floor(q) + F.when(q - F.floor(q) < 0.5, -1).otherwise(1))
 
     votes = m.select(
         F.col("l.media_id").alias("a"), F.col("r.media_id").alias("b"), (F.col("r.scale") - F.col("l.scale")).alias("s"),
-        F.transform(cells(F.col("turn"), TURN), lambda c: F.pmod(c, F.lit(int(360 / TURN)))).alias("t"), cells(sx, SHIFT).alias("x"), cells(sy, SHIFT).alias("y"),
-        F.xxhash64("l.x", "l.y").alias("from"), F.xxhash64("r.x", "r.y").alias("to"),
+        F.pmod(F.round(F.col("turn") / TURN), F.lit(360 / TURN)).cast("int").alias("t"), cells(sx).alias("x"), cells(sy).alias("y"),
     )
-    for c in ("t", "x", "y"):
-        votes = votes.withColumn(c, F.explode(c))
-    cell = votes.groupBy("a", "b", "s", "t", "x", "y").agg(F.countDistinct("from").alias("n"), F.countDistinct("to").alias("m"))
-    agreed = cell.where(F.least("n", "m") >= VOTES)
-    return agreed.groupBy("a", "b").agg(F.max(F.least("n", "m")).alias("votes"))
+    votes = votes.withColumn("x", F.explode("x")).withColumn("y", F.explode("y"))
+    agreed = votes.groupBy("a", "b", "s", "t", "x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
+    return agreed.groupBy("a", "b").agg(F.max("n").alias("votes"))
+
+
+def picture_classes(found: DataFrame) -> DataFrame:
+    """(node, root) of the pictures that are linked.
+
+    First every corner meets one of its bucket, which gathers dense groups with as
+    many rows as corners; then all pairs of pictures are matched that are not in
+    one class yet, so no two classes stay apart that a link joins.
+    """
+    buckets = bucketed(found)
+    close = cut(links(star_matches(buckets)), "media-links")
+    across = cut(links(matches(buckets, components(close))), "media-across")
+    return components(close.unionByName(across))
 
 
 def copies(media: DataFrame) -> DataFrame:
-    """(media_id, class_id, n_links, n_features) of every picture; links are to different pictures."""
+    """(media_id, class_id, class_size, n_features) of every picture; a class counts its rows."""
     rows = cut(media.select(F.col("media_id").cast("long").alias("media_id"), "width", "height", F.xxhash64("pixels").alias("p"), F.crc32(F.coalesce("pixels", F.lit(b""))).alias("c"), F.col("pixels").isNull().alias("none")), "media-rows")
     same = ["width", "height", "p", "c", "none"]
     # nulls are no pictures, so each stands for itself
@@ -215,40 +290,46 @@ def copies(media: DataFrame) -> DataFrame:
     firsts = cut(named.groupBy("picture").agg(F.min("media_id").alias("first")), "media-pictures")
     chosen = media.select(F.col("media_id").cast("long").alias("media_id"), "width", "height", "pixels").join(firsts.select(F.col("first").alias("media_id")), "media_id", "left_semi").dropDuplicates(["media_id"])
     found = cut(extract(chosen), "media-features")
-    linked = cut(links(found), "media-links")
-    roots = components(linked)
-    count = linked.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    roots = picture_classes(found)
     size = found.groupBy(F.col("media_id").alias("first")).agg(F.count(F.lit(1)).alias("f"))
-    pictures = firsts.join(roots.withColumnRenamed("node", "first"), "first", "left").join(count, "first", "left").join(size, "first", "left")
-    out = named.join(pictures, "picture")
-    return out.select("media_id", F.coalesce("root", "first").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("f", F.lit(0)).cast("long").alias("n_features"))
+    pictures = firsts.join(roots.withColumnRenamed("node", "first"), "first", "left").join(size, "first", "left")
+    out = cut(named.join(pictures, "picture").select("media_id", F.coalesce("root", "first").alias("class_id"), F.coalesce("f", F.lit(0)).cast("long").alias("n_features")), "media-classes")
+    members = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    return out.join(members, "class_id").select("media_id", "class_id", "class_size", "n_features")
+
+
+#: Side of a drawn picture, and the dimensions that have a texture.
+SIDE, TEXTURES = 64, 256
+
+
+def textures(dim: int) -> np.ndarray:
+    """A fixed texture for each component: smooth noise, made by rule."""
+    rng = np.random.default_rng(DESCRIPTOR_SEED)
+    return blurred(rng.normal(0, 1, (dim, SIDE, SIDE)).astype(np.float32))
 
 
-def mosaics(vectors: DataFrame, side: int = 64) -> DataFrame:
-    """Vectors as pictures: the data hold none, so each component becomes a cell's grey of a square mosaic.
+def drawn(vectors: DataFrame) -> DataFrame:
+    """Vectors as pictures, since no table holds any: textures weighed by the components, greys from darkest to brightest.
 
-    Greys reach from the least to the largest component, and cells get soft edges.
+    Equal vectors give equal pictures, and near ones near pictures.  Nulls and
+    non-finite components count as 0; a null vector, an empty one and one of zeros has no picture.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = textures(TEXTURES).reshape(TEXTURES, -1)
         for batch in batches:
             pixels: list[bytes | None] = []
             for v in batch.column("embedding").to_pylist():
-                v = np.nan_to_num(np.array([0.0 if c is None else c for c in v or []], float))
-                n = int(len(v) ** 0.5)
-                if n < 2:
-                    pixels.append(None)
-                    continue
-                v = v[: n * n]
-                lo, hi = v.min(), v.max()
-                grey = ((v - lo) / (hi - lo) * 255 if hi > lo else v * 0).reshape(n, n)
-                at = np.arange(side) * n // side
-                pixels.append(np.rint(blurred(grey[at][:, at][None])[0]).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *[pa.array(np.full(len(pixels), side, np.int32))] * 2, pa.array(pixels, pa.binary())], ["media_id", "width", "height", "pixels"])
+                v = np.nan_to_num(np.array([0.0 if c is None else c for c in v or []], np.float32), posinf=0, neginf=0)
+                n = min(len(v), TEXTURES)
+                picture = v[:n] @ base[:n] if n else np.zeros(1)
+                low, high = picture.min(), picture.max()
+                pixels.append(np.rint((picture - low) / (high - low) * 255).astype(np.uint8).tobytes() if high > low else None)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *[pa.array(np.full(len(pixels), SIDE, np.int32))] * 2, pa.array(pixels, pa.binary())], ["media_id", "width", "height", "pixels"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(work, "media_id long, width int, height int, pixels binary")
 
 
 def report(vectors: DataFrame) -> DataFrame:
-    """The query's rows: copies among the mosaics of all vectors."""
-    return copies(cut(mosaics(vectors), "media"))
+    """The query's rows: copies among the pictures drawn of all vectors."""
+    return copies(cut(drawn(vectors), "media"))

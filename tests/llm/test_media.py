@@ -55,15 +55,15 @@ def test_edited_copies_are_found_and_others_left_alone(spark):
     wrong = {i: got[i]["class_id"] for i in want if got[i]["class_id"] // 100 * 100 != want[i]}
     missed = [i for i in want if got[i]["class_id"] != want[i]]
     assert not wrong and len(missed) <= 2, (wrong, missed)
-    assert all(got[100 * k]["n_links"] == 0 for k in range(4, 12)) and got[0]["n_features"] > 20
+    assert all(got[100 * k]["class_size"] == 1 for k in range(4, 12)) and got[0]["n_features"] > 20
 
 
 def test_equal_and_odd_pictures(spark):
     img = row(5, picture(1))
     rows = [img, (3, *img[1:]), (3, *img[1:]), (7, *img[1:]), (8, None, None, None), (9, None, None, None), (10, 4, 4, b""), (11, 4, 4, b"123"), (12, 40, 40, bytes(1600)), (13, 40, 40, bytes(1600)), (14, 2, 2, b"abcd")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as key", "2 as root", "3 as a")
-    got = sorted((r["media_id"], r["class_id"], r["n_links"]) for r in media.copies(df).collect())
-    assert got == [(3, 3, 0), (3, 3, 0), (5, 3, 0), (7, 3, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0), (11, 11, 0), (12, 12, 0), (13, 12, 0), (14, 14, 0)]
+    got = sorted((r["media_id"], r["class_id"], r["class_size"]) for r in media.copies(df).collect())
+    assert got == [(3, 3, 4), (3, 3, 4), (5, 3, 4), (7, 3, 4), (8, 8, 1), (9, 9, 1), (10, 10, 1), (11, 11, 1), (12, 12, 2), (13, 12, 2), (14, 14, 1)]
     assert media.copies(df.limit(0)).count() == 0
 
 
@@ -73,12 +73,13 @@ def test_matches_against_brute_force(spark):
     rows = found.collect()
     m = (1 << 64) - 1
     mask, want = (1 << 21) - 1, set()
+    corner = lambda r: (r["media_id"], round(r["x"] * 16), round(r["y"] * 16), r["scale"])
     cells = lambda r: [(w >> (21 * k)) & mask for w in (r["a"] & m, r["b"] & m) for k in range(3)]
     for a in rows:
         for b in rows:
             if a["media_id"] < b["media_id"] and ((a["a"] ^ b["a"]) & m).bit_count() + ((a["b"] ^ b["b"]) & m).bit_count() <= media.MAX_DISTANCE and any(p == q for p, q in zip(cells(a), cells(b))):
-                want.add((a["media_id"], a["x"], a["y"], a["scale"], b["media_id"], b["x"], b["y"], b["scale"]))
-    got = {(r["l"]["media_id"], r["l"]["x"], r["l"]["y"], r["l"]["scale"], r["r"]["media_id"], r["r"]["x"], r["r"]["y"], r["r"]["scale"]) for r in media.matches(found).collect()}
+                want.add((*corner(a), *corner(b)))
+    got = {(*corner(r["l"]), *corner(r["r"])) for r in media.matches(media.bucketed(found)).collect()}
     assert got == want and len(want) > 5
 
 
