@@ -1 +1,10 @@
-"""Spark-native fact extraction, reconciliation and consensus."""
+"""Spark-native fact extraction, reconciliation and consensus.
+
+Functions travel to the executors by value, so a cluster needs no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
