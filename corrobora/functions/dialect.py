@@ -64,7 +64,8 @@ class Spark:
 
     @staticmethod
     def fixed(x: str, n: int) -> str:
-        return f"format_string('%.{n}f', {x})"
+        """Ties go to the even digit, as binary fractions are printed elsewhere."""
+        return f"format_string('%.{n}f', bround({x}, {n}))"
 
     @staticmethod
     def text(x: str) -> str:
