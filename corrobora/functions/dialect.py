@@ -6,7 +6,7 @@ A scalar is written once as text over column names; what differs between the two
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 
 class Spark:
@@ -71,6 +71,17 @@ class Spark:
     def text(x: str) -> str:
         return f"CAST({x} AS STRING)"
 
+    @classmethod
+    def first(cls, pairs: Iterable[tuple[str, str]], test: Callable[[str], str]) -> str:
+        """The value of the first pair whose name passes a test."""
+        table = ", ".join(f"named_struct('k', {cls.lit(k)}, 'v', {cls.lit(v)})" for k, v in pairs)
+        return f"get(filter(array({table}), g -> {test('g.k')}), 0).v"
+
+    @classmethod
+    def rx_with(cls, x: str, before: str, name: str, after: str) -> str:
+        """x has the name, a column, between two patterns."""
+        return f"({x} RLIKE concat({cls.pattern(before, False)}, {name}, {cls.pattern(after, False)}))"
+
 
 class DuckDB:
     """DuckDB SQL; its regular expressions know no lookaround."""
@@ -132,6 +143,15 @@ class DuckDB:
     def text(x: str) -> str:
         return f"CAST({x} AS VARCHAR)"
 
+    @classmethod
+    def first(cls, pairs: Iterable[tuple[str, str]], test: Callable[[str], str]) -> str:
+        table = ", ".join(f"{{'k': {cls.lit(k)}, 'v': {cls.lit(v)}}}" for k, v in pairs)
+        return f"list_filter([{table}], lambda g: {test('g.k')})[1].v"
+
+    @classmethod
+    def rx_with(cls, x: str, before: str, name: str, after: str) -> str:
+        return f"regexp_matches({x}, {cls.pattern(before, False)} || {name} || {cls.pattern(after, False)})"
+
 
 Dialect = type[Spark] | type[DuckDB]
 

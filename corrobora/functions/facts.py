@@ -73,27 +73,25 @@ def by_length() -> list[tuple[str, str]]:
     return sorted(GAZETTEER, key=lambda k: -len(k[0]))
 
 
-def _first_name(d: Dialect, test) -> list[tuple[str, str]]:
-    return [(test(k), d.lit(v)) for k, v in by_length()]
-
-
 def entity(d: Dialect, filename: str, sample: str) -> str:
-    """The entity of a document by its file's name, then by the headers and words of a sample."""
-    name = f"lower({d.rx_get(filename, r'([^/]*)$', 1, False)})"
+    """The entity of a document by its file's name, then by the headers and words of a sample.
+
+    The longest name that is found counts; the pattern of a name is only tried where its letters occur.
+    """
+    names = by_length()
+    file = f"lower({d.rx_get(filename, r'([^/]*)$', 1, False)})"
     report = d.rx_get(sample, r"IMF\s+Country\s+Report(?:\s+No\.\s*[\d/]+)?\s*[\r\n]+([A-Z\s]{3,30})\b", 1, False)
     article = d.rx_get(sample, r"Article\s+IV\s+Consultation\s+(?:with\s+)?([A-Za-z\s]+)", 1)
+    head = f"lower(substring(coalesce({sample}, ''), 1, 5000))"
     edge = r"[\-_.\d]"
-    word = lambda k: d.rx(f"lower(substring({sample}, 1, 5000))", rf"\b{k}\b", False)
-    within = lambda x: (lambda k: f"contains(lower(trim({x})), {d.lit(k)})")
-    return cases(
-        (f"contains({name}, 'delhivery')", "'Delhivery Limited'"),
-        *_first_name(d, lambda k: d.rx(name, rf"(?:^|{edge}){k}(?:$|{edge})", False)),
-        *_first_name(d, within(report)),
-        *_first_name(d, within(article)),
-        (f"contains(lower(coalesce({sample}, '')), 'delhivery')", "'Delhivery Limited'"),
-        *_first_name(d, word),
-        default=d.lit(UNNAMED),
-    )
+    found = [
+        d.first(names, lambda k: f"contains({file}, {k}) AND {d.rx_with(file, rf'(?:^|{edge})', k, rf'(?:$|{edge})')}"),
+        d.first(names, lambda k: f"contains(lower(trim({report})), {k})"),
+        d.first(names, lambda k: f"contains(lower(trim({article})), {k})"),
+        f"CASE WHEN contains(lower(coalesce({sample}, '')), 'delhivery') THEN 'Delhivery Limited' END",
+        d.first(names, lambda k: f"contains({head}, {k}) AND {d.rx_with(head, chr(92) + 'b', k, chr(92) + 'b')}"),
+    ]
+    return f"CASE WHEN contains({file}, 'delhivery') THEN 'Delhivery Limited' ELSE coalesce({', '.join(found)}, {d.lit(UNNAMED)}) END"
 
 
 def enriched_metric(p: str = "") -> str:
@@ -210,11 +208,26 @@ def audit_code(d: Dialect, p: str = "") -> str:
     return failure(d, p, AUDIT_YEAR_METRICS, False)
 
 
-def pair_failure(d: Dialect) -> str:
+def flags(d: Dialect) -> dict[str, str]:
+    """What a pair needs to know of a fact, worked out once a fact and not once a pair."""
+    generic = ", ".join(f"'{g}'" for g in GENERIC)
+    return {
+        "flaw": failure(d, "", YEAR_METRICS, True),
+        "sovereign": is_sovereign("entity"),
+        "shared": is_multilateral("metric"),
+        "entity_key": "lower(trim(coalesce(entity, '')))",
+        "generic": f"lower(trim(coalesce(entity, ''))) IN ({generic})",
+    }
+
+
+def pair_compatible() -> str:
+    """``compatible`` over the flags of a pair."""
+    return "(a_entity_key = b_entity_key OR a_shared OR ((a_generic OR b_generic) AND NOT (a_sovereign OR b_sovereign)))"
+
+
+def pair_failure() -> str:
     """The flaw of a pair: comparing sovereigns, or the first fact's, or the second's; led by which."""
-    crossed = f"a_entity <> b_entity AND NOT {is_multilateral('a_metric')} AND {is_sovereign('a_entity')} AND {is_sovereign('b_entity')}"
-    a, b = (failure(d, p, YEAR_METRICS, True) for p in ("a_", "b_"))
-    return cases((crossed, "'CROSS_SOVEREIGN'"), default=f"coalesce('A:' || ({a}), 'B:' || ({b}))")
+    return cases(("a_entity <> b_entity AND NOT a_shared AND a_sovereign AND b_sovereign", "'CROSS_SOVEREIGN'"), default="coalesce('A:' || a_flaw, 'B:' || b_flaw)")
 
 
 def differs(x: str) -> str:
@@ -237,17 +250,17 @@ OUTCOMES = {
 }
 
 
-def gate_step(d: Dialect) -> str:
+def gate_step() -> str:
     """The step of the comparability gate at which a pair is decided, over a_ and b_ columns with pair_failure and values_equal."""
     return cases(
         ("a_is_header_metadata OR b_is_header_metadata", "'header'"),
         ("pair_failure IS NOT NULL", "'flawed'"),
-        (f"NOT {compatible('a_entity', 'b_entity', 'a_metric')}", "'entity'"),
+        (f"NOT {pair_compatible()}", "'entity'"),
         ("a_canonical_def <> b_canonical_def", "'definition'"),
         ("a_value_nature <> b_value_nature", "'nature'"),
         (differs("reporting_scope"), "'scope'"),
         (f"(a_temporal_nature = 'cumulative' OR b_temporal_nature = 'cumulative') AND {differs('temporal_period')}", "'milestone'"),
-        (f"NOT {is_multilateral('a_metric')} AND {differs('temporal_period')}", "'period'"),
+        (f"NOT a_shared AND {differs('temporal_period')}", "'period'"),
         ("values_equal", "'equal'"),
         default="'unequal'",
     )

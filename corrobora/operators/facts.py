@@ -13,6 +13,7 @@ from ..functions.dialect import Spark
 SIDE = (
     "fact_id", "document_id", "page_number", "entity", "metric", "metric_type", "value", "raw_value", "temporal_period", "reporting_scope",
     "unit", "verbatim_quote", "confidence_score", "value_nature", "temporal_nature", "is_header_metadata", "canonical_def", "number", "scale",
+    "flaw", "sovereign", "shared", "entity_key", "generic",
 )
 
 
@@ -38,6 +39,7 @@ def enrich(facts: DataFrame) -> DataFrame:
         "canonical_def": expr(S.canonical()),
         "number": expr(units.canonical_number(Spark, "value", "unit")),
         "scale": expr(units.scale(Spark, "value", "unit")),
+        **{c: expr(t) for c, t in S.flags(Spark).items()},
     })
 
 
@@ -53,7 +55,7 @@ def pairs(facts: DataFrame) -> DataFrame:
     keyed = facts.withColumns({"block": F.lower("canonical_def"), "nature": F.col("value_nature")})
     keys = ("corpus", "block", "nature")
     joined = _side(keyed, "a_", keys).join(_side(keyed, "b_", keys), list(keys))
-    return joined.where("a_document_id < b_document_id").where(expr(S.compatible("a_entity", "b_entity", "a_metric"))).drop("block", "nature")
+    return joined.where("a_document_id < b_document_id").where(expr(S.pair_compatible())).drop("block", "nature")
 
 
 def period_pairs(facts: DataFrame) -> DataFrame:
@@ -65,8 +67,8 @@ def period_pairs(facts: DataFrame) -> DataFrame:
 
 def gate(candidates: DataFrame) -> DataFrame:
     """Pairs with the gate's step, verdict, shift_type, confidence and relationship_id."""
-    out = candidates.withColumns({"pair_failure": expr(S.pair_failure(Spark)), "values_equal": expr(S.values_equal(Spark))})
-    out = out.withColumn("step", expr(S.gate_step(Spark)))
+    out = candidates.withColumns({"pair_failure": expr(S.pair_failure()), "values_equal": expr(S.values_equal(Spark))})
+    out = out.withColumn("step", expr(S.gate_step()))
     out = out.withColumns({"verdict": expr(S.outcome("step", 0)), "shift_type": expr(S.outcome("step", 1)), "confidence": expr(S.confidence("step"))})
     return out.withColumn("relationship_id", expr(Spark.digest("a_fact_id || ':' || b_fact_id || ':' || verdict")))
 

@@ -189,7 +189,7 @@ def context_shift(d: Dialect) -> str:
     unlike = "lower(coalesce(a_unit, '')) <> lower(coalesce(b_unit, ''))"
     values = f"({U.equal_text('a_value', 'b_value')} OR {U.within('a_number', 'b_number')})"
     return cases(
-        (f"NOT {S.compatible('a_entity', 'b_entity', 'a_metric')}", "'none'"),
+        (f"NOT {S.pair_compatible()}", "'none'"),
         (f"{values} AND {unlike}", "'unit_denomination'"),
         (S.differs("temporal_period"), "'temporal_shift'"),
         (S.differs("reporting_scope"), "'scope_shift'"),

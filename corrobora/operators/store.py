@@ -166,3 +166,33 @@ def trailing(events: DataFrame, seconds: int) -> DataFrame:
     at = F.col("ts").cast("timestamp").cast("long")
     w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-seconds, 0)
     return events.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("n_recent"))
+
+
+def filtered(facts: DataFrame, rel: DataFrame, document_id: str | None = None, is_linked: bool | None = None, text: str | None = None) -> DataFrame:
+    """Facts of a document, with or without relationships, that hold a text in metric, value, period or quote."""
+    out = facts if document_id is None else facts.where(F.col("document_id") == document_id)
+    if is_linked is not None:
+        out = linked(out, rel) if is_linked else standalone(out, rel)
+    if text:
+        held = [F.lower(F.coalesce(c, F.lit(""))).contains(text.lower()) for c in ("metric", "value", "temporal_period", "verbatim_quote")]
+        out = out.where(held[0] | held[1] | held[2] | held[3])
+    return out
+
+
+def searched(rel: DataFrame, text: str, verdict: str | None = None) -> DataFrame:
+    """Relationships (with summary and reasoning) that hold a text in metric, reasoning or summary."""
+    out = rel if verdict is None else rel.where(F.col("verdict") == verdict)
+    held = [F.lower(c).contains(text.lower()) for c in ("a_metric", "reasoning", "summary")]
+    return out.where(held[0] | held[1] | held[2])
+
+
+def missing(names: DataFrame, documents: DataFrame) -> DataFrame:
+    """Names that the catalogue lacks."""
+    return names.join(documents.select("filename"), "filename", "left_anti")
+
+
+def sort_keys(field: str, descending: bool = False) -> list[Column]:
+    """The order of a listing: by page within documents, or by a field; texts without regard to case, values as texts."""
+    keys = {"page": ["document_id", "page_number"], "confidence": ["confidence_score"]}.get(field) or [field]
+    columns = [F.lower(k) if k in ("metric", "value") else F.col(k) for k in keys]
+    return [c.desc() if descending else c.asc() for c in columns]

@@ -313,3 +313,45 @@ register(
 register("rule_extract_text", lambda spark, d: extraction.extract(extraction.fixture_pages(fixture.facts(spark, d))))
 register("rule_extract_table", lambda spark, d: extraction.extract(extraction.fixture_tables(fixture.facts(spark, d))))
 register("llm_json_facts", lambda spark, d: extraction.parsed_items(extraction.fixture_items(fixture.facts(spark, d))), over(extraction.ITEMS_ORACLE))
+
+# --- listings -----------------------------------------------------------------------------------------------------
+register("fact_by_id", lambda spark, d: store.by_id(facts(spark, d), "0" * 16).unionByName(facts(spark, d).orderBy("fact_id").limit(1)).select("fact_id", "metric"), over("SELECT fact_id, metric FROM facts ORDER BY fact_id LIMIT 1"))
+register(
+    "facts_filtered",
+    lambda spark, d: store.filtered(facts(spark, d), rel(spark, d), "02-annual.pdf", True, "FY9").select("fact_id", "metric", "temporal_period"),
+    over("""SELECT fact_id, metric, temporal_period FROM facts WHERE document_id = '02-annual.pdf' AND fact_id IN (SELECT fact_id FROM ends)
+    AND (contains(lower(metric), 'fy9') OR contains(lower(value), 'fy9') OR contains(lower(temporal_period), 'fy9') OR contains(lower(verbatim_quote), 'fy9'))"""),
+)
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    told = rel(spark, d).withColumns({"summary": F.expr(ops.summary()), "reasoning": F.expr(ops.reasoning())})
+    return store.searched(told, "standalone").select("relationship_id", "verdict")
+
+
+register(
+    "relationships_searched",
+    _searched,
+    over(f"SELECT relationship_id, verdict FROM (SELECT *, {ops.summary(D)} AS summary, {ops.reasoning(D)} AS reasoning FROM rel) WHERE contains(lower(a_metric), 'standalone') OR contains(lower(reasoning), 'standalone') OR contains(lower(summary), 'standalone')"),
+)
+register("facts_listed", lambda spark, d: store.listed(facts(spark, d), "egypt", "growth", 500).select("fact_id", "entity", "metric"), over("SELECT fact_id, entity, metric FROM facts WHERE lower(entity) LIKE '%egypt%' ORDER BY metric, page_number LIMIT 500"))
+register("facts_sorted", lambda spark, d: store.page(facts(spark, d), [*store.sort_keys("value", True), F.asc("fact_id")], 2, 50).select("fact_id", "value"), over("SELECT fact_id, value FROM facts ORDER BY lower(value) DESC, fact_id LIMIT 50 OFFSET 50"))
+register(
+    "missing_documents",
+    lambda spark, d: store.missing(spark.createDataFrame([(n,) for n in ("01-ledger.pdf", "04-notes.pdf", "niger-02-annual.pdf")], "filename string"), documents(spark, d)),
+    over("SELECT filename FROM (VALUES ('01-ledger.pdf'), ('04-notes.pdf'), ('niger-02-annual.pdf')) AS v(filename) WHERE filename NOT IN (SELECT filename FROM docs)"),
+)
+
+
+def _replaced(spark: SparkSession, d: str) -> DataFrame:
+    f = facts(spark, d).select("fact_id", "document_id", "page_number", "metric")
+    return store.replace_document(f, f.where("document_id = '02-annual.pdf' AND page_number = 5"), "02-annual.pdf")
+
+
+register("replace_document_facts", _replaced, over("SELECT fact_id, document_id, page_number, metric FROM facts WHERE document_id <> '02-annual.pdf' OR page_number = 5"))
+register(
+    "facts_json",
+    lambda spark, d: facts(spark, d).select("fact_id", F.get_json_object(F.to_json(F.struct("metric", F.struct("value", "unit").alias("context"))), "$.context.value").alias("value"), F.get_json_object(F.to_json(F.struct("metric")), "$.metric").alias("metric")),
+    over("SELECT fact_id, json_extract_string(to_json({'context': {'value': value, 'unit': unit}}), '$.context.value') AS value, metric FROM facts"),
+)
+register("fact_document_matrix", lambda spark, d: facts(spark, d).groupBy("metric").pivot("document_id").agg(F.count(F.lit(1))).select("metric", F.coalesce("`01-ledger.pdf`", F.lit(0)).alias("ledger"), F.coalesce("`03-deck.pdf`", F.lit(0)).alias("deck")), over("SELECT metric, count(*) FILTER (document_id = '01-ledger.pdf') AS ledger, count(*) FILTER (document_id = '03-deck.pdf') AS deck FROM facts GROUP BY metric"))

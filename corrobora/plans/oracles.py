@@ -18,7 +18,7 @@ STEPS: dict[str, str] = {
     "f1": f"SELECT {_BASE.replace('metric,', S.enriched_metric() + ' AS metric,')} FROM f0",
     "f2": f"""SELECT * EXCLUDE (corpus), metric AS metric_type, {S.value_nature()} AS value_nature, {S.temporal_nature()} AS temporal_nature,
         {S.is_header(D)} AS is_header_metadata, {S.fact_id(D)} AS fact_id, coalesce(nullif(trim(corpus), ''), {S.corpus("document_id", "entity")}) AS corpus FROM f1""",
-    "facts": f"SELECT *, {S.canonical()} AS canonical_def, {units.canonical_number(D, 'value', 'unit')} AS number, {units.scale(D, 'value', 'unit')} AS scale FROM f2",
+    "facts": f"SELECT *, {S.canonical()} AS canonical_def, {units.canonical_number(D, 'value', 'unit')} AS number, {units.scale(D, 'value', 'unit')} AS scale, " + ", ".join(f"{t} AS {c}" for c, t in S.flags(D).items()) + " FROM f2",
     "docs": fixture.DOCUMENTS.format(facts="facts"),
     "pairs": f"""SELECT a.corpus, {_SIDES} FROM facts a JOIN facts b ON a.corpus = b.corpus AND lower(a.canonical_def) = lower(b.canonical_def) AND a.value_nature = b.value_nature
         AND a.document_id < b.document_id WHERE {S.compatible("a.entity", "b.entity", "a.metric")}""",
@@ -28,8 +28,8 @@ STEPS: dict[str, str] = {
 
 def _gated(source: str, name: str) -> dict[str, str]:
     return {
-        f"{name}_1": f"SELECT *, {S.pair_failure(D)} AS pair_failure, {S.values_equal(D)} AS values_equal FROM {source}",
-        f"{name}_2": f"SELECT *, {S.gate_step(D)} AS step FROM {name}_1",
+        f"{name}_1": f"SELECT *, {S.pair_failure()} AS pair_failure, {S.values_equal(D)} AS values_equal FROM {source}",
+        f"{name}_2": f"SELECT *, {S.gate_step()} AS step FROM {name}_1",
         f"{name}_3": f"SELECT *, {S.outcome('step', 0)} AS verdict, {S.outcome('step', 1)} AS shift_type, {S.confidence('step')} AS confidence FROM {name}_2",
         name: f"SELECT *, {D.digest(chr(39).join(('a_fact_id || ', ':', ' || b_fact_id || ', ':', ' || verdict')))} AS relationship_id FROM {name}_3",
     }
