@@ -3,7 +3,7 @@
 A media column is (media_id, width, height, pixels): grey pixels as bytes, row by
 row.  Corners are found on several scales; around each, the direction of the
 patch's centre of mass turns a fixed pattern of pixel pairs, and which pixel of a
-pair is brighter gives a 128-bit descriptor.  Six pieces of 21 bits index a
+pair is brighter gives a 128-bit descriptor.  Five pieces of 25 bits index a
 descriptor; two that agree in a piece meet in an equality join, which verifies
 their distance.  Each match votes for a change of scale, a rotation and a shift,
 and two pictures with enough votes in one cell are linked.  Links become classes
@@ -40,7 +40,7 @@ SCALES = 4
 RADIUS, APART = 13, 4
 #: A corner's response is at least this share of the picture's largest.
 SHARE = 0.02
-PIECES, PIECE_BITS = 6, 21
+PIECES, PIECE_BITS = 5, 25
 MAX_DISTANCE = 20
 #: Matches that agree on scale, rotation and shift.
 VOTES = 8
@@ -171,9 +171,13 @@ def extract(media: DataFrame) -> DataFrame:
 
 
 def piece(k: int) -> Column:
-    """The k-th 21 bits of a descriptor, marked with k."""
-    word, at = ("a", k) if k < PIECES // 2 else ("b", k - PIECES // 2)
-    return F.shiftrightunsigned(word, at * PIECE_BITS).bitwiseAND(F.lit((1 << PIECE_BITS) - 1)) + F.lit(k << PIECE_BITS)
+    """The k-th 25 bits of a descriptor, marked with k: two of either word, and one of what is left of both."""
+    part = lambda word, at, n: F.shiftrightunsigned(word, at).bitwiseAND(F.lit((1 << n) - 1))
+    if k < 4:
+        bits = part("ab"[k // 2], k % 2 * PIECE_BITS, PIECE_BITS)
+    else:
+        bits = part("a", 50, 14) + F.shiftleft(part("b", 50, 11), 14)
+    return bits + F.lit(k << PIECE_BITS)
 
 
 #: Steps of a packed angle, and of a packed pixel.
@@ -203,15 +207,19 @@ def near() -> Column:
 
 
 def bucketed(found: DataFrame) -> DataFrame:
-    """(key, media_id, a, b, g, head): a row for each piece of each corner, with the corner of its bucket that has the smallest media_id.
+    """(key, media_id, a, b, g, head, twin): a row for each piece of each corner.
 
-    Buckets of one corner are left out; of what remains every later join starts.
+    head is the corner with the smallest media_id of its bucket, twin that of the
+    corners of the bucket that share the next piece too.  Buckets of one corner
+    are left out; of what remains every later join starts.
     """
     width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = found.repartition(width).select("media_id", "a", "b", packed().alias("g"), F.explode(F.array(*[piece(k) for k in range(PIECES)])).alias("key"))
-    bucket = Window.partitionBy("key")
-    met = rows.withColumns({"head": F.min(F.struct(*CORNER)).over(bucket), "n": F.count(F.lit(1)).over(bucket)})
-    return cut(met.where("n > 1").drop("n"), "media-buckets")
+    keys = F.array(*[F.struct(piece(k).alias("key"), piece((k + 1) % PIECES).alias("also")) for k in range(PIECES)])
+    rows = found.repartition(width).select("media_id", "a", "b", packed().alias("g"), F.explode(keys).alias("k")).select(*CORNER, "k.*")
+    bucket, finer = Window.partitionBy("key"), Window.partitionBy("key", "also")
+    least = F.min(F.struct(*CORNER))
+    met = rows.withColumns({"head": least.over(bucket), "n": F.count(F.lit(1)).over(bucket)}).where("n > 1")
+    return cut(met.withColumn("twin", least.over(finer)).drop("n", "also"), "media-buckets")
 
 
 def corner_pairs(pairs: DataFrame) -> DataFrame:
@@ -221,9 +229,9 @@ def corner_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def star_matches(buckets: DataFrame) -> DataFrame:
-    """Corners that match the first corner of one of their buckets: no more rows than there are pieces."""
-    pair = buckets.select(*[F.col(f"head.{c}").alias(f"p_{c}") for c in CORNER], *[F.col(c).alias(f"q_{c}") for c in CORNER])
-    return corner_pairs(pair.where(near()))
+    """Corners that match the first corner of one of their buckets, or of the finer ones: two rows a piece at most."""
+    to = lambda head: buckets.select(*[F.col(f"{head}.{c}").alias(f"p_{c}") for c in CORNER], *[F.col(c).alias(f"q_{c}") for c in CORNER]).where(near())
+    return corner_pairs(to("head").unionByName(to("twin")))
 
 
 def matches(buckets: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -231,7 +239,7 @@ def matches(buckets: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 
     With classes (node, root), only those of pictures that are not in one class.
     """
-    rows = buckets.drop("head")
+    rows = buckets.drop("head", "twin")
     if classes is None:
         named = rows.withColumn("class_id", F.col("media_id"))
     else:

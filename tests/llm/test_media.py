@@ -72,9 +72,12 @@ def test_matches_against_brute_force(spark):
     found = media.extract(spark.createDataFrame([row(i, p) for i, p in enumerate(pics)], SCHEMA))
     rows = found.collect()
     m = (1 << 64) - 1
-    mask, want = (1 << 21) - 1, set()
+    mask, want = (1 << 25) - 1, set()
     corner = lambda r: (r["media_id"], round(r["x"] * 16), round(r["y"] * 16), r["scale"])
-    cells = lambda r: [(w >> (21 * k)) & mask for w in (r["a"] & m, r["b"] & m) for k in range(3)]
+    def cells(r):
+        a, b = r["a"] & m, r["b"] & m
+        return [a & mask, a >> 25 & mask, b & mask, b >> 25 & mask, (a >> 50) + ((b >> 50 & 2047) << 14)]
+
     for a in rows:
         for b in rows:
             if a["media_id"] < b["media_id"] and ((a["a"] ^ b["a"]) & m).bit_count() + ((a["b"] ^ b["b"]) & m).bit_count() <= media.MAX_DISTANCE and any(p == q for p, q in zip(cells(a), cells(b))):
