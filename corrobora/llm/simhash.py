@@ -93,6 +93,18 @@ def variants(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(variant_keys()).alias("key"), "fp")
 
 
+def first_meeting(x: Column, wiped: Column) -> Column:
+    """True in the one bucket that counts of those in which two fingerprints with difference x meet."""
+    near = [F.bit_count(x.bitwiseAND(F.lit(_mask(*s)))) <= 1 for s in SEGMENTS]
+    first = F.lit(False)
+    for k, (start, width) in enumerate(SEGMENTS):
+        here = (wiped >= start) & (wiped < start + width) & ((wiped == start) | (x.bitwiseAND(F.lit(_mask(start, width))) != 0))
+        for other in near[:k]:
+            here = here & ~other
+        first = first | here
+    return first
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints that differ in four bits or fewer, once each.
 
@@ -103,14 +115,7 @@ def links(nodes: DataFrame) -> DataFrame:
     x = a.bitwiseXOR(b)
     # of both sides, though they are equal: a condition on one side would be pushed below its shuffle
     wiped = F.shiftright(F.col("l.key").bitwiseOR(F.col("r.key")), 22)
-    near = [F.bit_count(x.bitwiseAND(F.lit(_mask(*s)))) <= 1 for s in SEGMENTS]
-    first = F.lit(False)
-    for k, (start, width) in enumerate(SEGMENTS):
-        here = (wiped >= start) & (wiped < start + width) & ((wiped == start) | (x.bitwiseAND(F.lit(_mask(start, width))) != 0))
-        for other in near[:k]:
-            here = here & ~other
-        first = first | here
-    joined = v.alias("l").join(v.alias("r"), F.col("l.key") == F.col("r.key")).where((a < b) & (F.bit_count(x) <= MAX_BITS) & first)
+    joined = v.alias("l").join(v.alias("r"), F.col("l.key") == F.col("r.key")).where((a < b) & (F.bit_count(x) <= MAX_BITS) & first_meeting(x, wiped))
     return joined.select(a.alias("a"), b.alias("b"))
 
 
@@ -132,7 +137,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 #: Fingerprints of a text's distinct words, each with hashes of its own, by which near copies are looked for.
-SETS = 3
+SETS = 2
 #: Minimal hashes of five-word shingles, 16 bits each, that estimate a pair's similarity.
 SKETCH = 128
 SIMILARITY = 0.8
@@ -207,26 +212,30 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id): documents linked by texts of SIMILARITY in shingles of five words.
 
     Texts within four bits in one of the word-set fingerprints are candidates, and
-    sketches verify them.  First each text meets the least one of each of its
-    buckets, which gathers dense groups with as many pairs as index rows; then all
-    texts of a bucket meet that are in different components.  Buckets of one text
-    are dropped on the way.
+    sketches verify them.  First each text meets the least and the largest one of
+    each of its buckets, and the least of its own fingerprint, which gathers dense
+    groups with no more pairs than index rows; then all texts of a bucket meet that
+    are in different components.
     """
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(signed(docs, words), "copies-signed")
     texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "copies-texts")
     nodes = texts.select("text_id", F.posexplode("fps").alias("r", "fp")).repartition(width)
-    keyed = nodes.select("text_id", "fp", F.explode(variant_keys(F.col("r"))).alias("key"))
     bucket = Window.partitionBy("key")
-    met = keyed.withColumns({"head": F.min(F.struct("text_id", "fp")).over(bucket), "n": F.count(F.lit(1)).over(bucket)}).where("n > 1").drop("n")
-    met = cut(met, "copies-buckets")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= MAX_BITS
-    stars = met.where(near & (F.col("text_id") != F.col("head.text_id"))).select(F.col("head.text_id").alias("a"), F.col("text_id").alias("b")).distinct()
+    one = F.struct("text_id", "fp")
+    heads = {"least": F.min(one).over(bucket), "largest": F.max(one).over(bucket), "twin": F.min(one).over(Window.partitionBy("key", "fp"))}
+    met = nodes.select("text_id", "fp", F.explode(variant_keys(F.col("r"))).alias("key")).withColumns(heads)
+    met = met.select("text_id", "fp", F.explode(F.array(*heads)).alias("head"))
+    near = (F.col("text_id") != F.col("head.text_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= MAX_BITS)
+    stars = met.where(near).select(F.least("text_id", "head.text_id").alias("a"), F.greatest("text_id", "head.text_id").alias("b")).distinct()
     linked = cut(similar(stars, texts), "copies-linked")
     first = components(linked).select(F.col("node").alias("text_id"), "root")
-    classed = met.drop("head").join(first, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    named = nodes.join(first, "text_id", "left").select("text_id", "r", "fp", F.coalesce("root", "text_id").alias("root")).repartition(width)
+    classed = named.select("text_id", "fp", "root", F.explode(variant_keys(F.col("r"))).alias("key"))
     pair = classed.alias("l").join(classed.alias("r"), F.col("l.key") == F.col("r.key"))
-    apart = (F.col("l.root") < F.col("r.root")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= MAX_BITS)
+    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
+    wiped = F.shiftright(F.col("l.key").bitwiseOR(F.col("r.key")), 22).bitwiseAND(F.lit(63))
+    apart = (F.col("l.root") < F.col("r.root")) & (F.bit_count(x) <= MAX_BITS) & first_meeting(x, wiped)
     across = similar(pair.where(apart).select(F.col("l.text_id").alias("a"), F.col("r.text_id").alias("b")).distinct(), texts)
     roots = components(linked.unionByName(cut(across, "copies-across")))
     rooted = cut(texts.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "copies-roots")
