@@ -11,7 +11,9 @@ copies never multiply, and links become components without being collected.
 The pipeline asks for a similarity of 0.8 in shingles of five words, at which a
 fingerprint of shingles differs in ten bits.  ``near_copies`` therefore indexes,
 in the same way, fingerprints of the distinct words, which differ in four or
-fewer, and verifies the similarity of the pairs that meet.
+fewer after scattered edits.  Added or cut passages move more bits, so it also
+indexes bands of the minimal hashes of shingles, whose agreement depends on the
+similarity alone, and verifies the similarity of the pairs that meet.
 
 Defined results
 * a null, empty or blank text has the fingerprint zero and links like any other;
@@ -137,9 +139,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 #: Fingerprints of a text's distinct words, each with hashes of its own, by which near copies are looked for.
-SETS = 2
+SETS = 3
 #: Minimal hashes of five-word shingles, 16 bits each, that estimate a pair's similarity.
 SKETCH = 128
+#: Bands of the sketch that are indexed, and the hashes of each: a pair at 0.8 shares none in 0.2 % of cases.
+BANDS, BAND_HASHES = 21, 6
 SIMILARITY = 0.8
 
 
@@ -208,36 +212,50 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long")
 
 
+def band_keys() -> Column:
+    """A key for each band of ``sketch``; below zero, where no fingerprint's variant is."""
+    size = 2 * BAND_HASHES
+    return F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * size, size)).bitwiseOR(F.lit(-(1 << 63))) for k in range(BANDS)])
+
+
+def star_candidates(texts: DataFrame) -> DataFrame:
+    """(a, b): each text with the least and the largest one of each of its bands' buckets."""
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = Window.partitionBy("key")
+    heads = {"least": F.min("text_id").over(bucket), "largest": F.max("text_id").over(bucket)}
+    met = texts.where(F.length("sketch") > 0).repartition(width).select("text_id", F.explode(band_keys()).alias("key")).withColumns(heads)
+    met = met.select("text_id", F.explode(F.array(*heads)).alias("head")).where(F.col("text_id") != F.col("head"))
+    return met.select(F.least("text_id", "head").alias("a"), F.greatest("text_id", "head").alias("b")).distinct()
+
+
+def candidates(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all texts that share a band, or are within four bits in a fingerprint, and have different roots."""
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = texts.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id")).repartition(width)
+    prints = named.select("text_id", "root", F.posexplode("fps").alias("r", "fp")).select("text_id", "root", "fp", F.explode(variant_keys(F.col("r"))).alias("key"))
+    bands = named.where(F.length("sketch") > 0).select("text_id", "root", F.lit(0).cast("long").alias("fp"), F.explode(band_keys()).alias("key"))
+    rows = prints.unionByName(bands)
+    pair = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key"))
+    x, key = F.col("l.fp").bitwiseXOR(F.col("r.fp")), F.col("l.key").bitwiseOR(F.col("r.key"))
+    wiped = F.shiftright(key, 22).bitwiseAND(F.lit(63))
+    apart = (F.col("l.root") < F.col("r.root")) & ((key < 0) | ((F.bit_count(x) <= MAX_BITS) & first_meeting(x, wiped)))
+    return pair.where(apart).select(F.least("l.text_id", "r.text_id").alias("a"), F.greatest("l.text_id", "r.text_id").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id): documents linked by texts of SIMILARITY in shingles of five words.
 
-    Texts within four bits in one of the word-set fingerprints are candidates, and
-    sketches verify them.  First each text meets the least and the largest one of
-    each of its buckets, and the least of its own fingerprint, which gathers dense
-    groups with no more pairs than index rows; then all texts of a bucket meet that
-    are in different components.
+    Texts that share a band of their sketches, or are within four bits in one of
+    the word-set fingerprints, are candidates.  First each text meets the least
+    and the largest one of each of its bands, which gathers dense groups with no
+    more pairs than index rows; then all candidates meet that are in different
+    components.
     """
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(signed(docs, words), "copies-signed")
     texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "copies-texts")
-    nodes = texts.select("text_id", F.posexplode("fps").alias("r", "fp")).repartition(width)
-    bucket = Window.partitionBy("key")
-    one = F.struct("text_id", "fp")
-    heads = {"least": F.min(one).over(bucket), "largest": F.max(one).over(bucket), "twin": F.min(one).over(Window.partitionBy("key", "fp"))}
-    met = nodes.select("text_id", "fp", F.explode(variant_keys(F.col("r"))).alias("key")).withColumns(heads)
-    met = met.select("text_id", "fp", F.explode(F.array(*heads)).alias("head"))
-    near = (F.col("text_id") != F.col("head.text_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= MAX_BITS)
-    stars = met.where(near).select(F.least("text_id", "head.text_id").alias("a"), F.greatest("text_id", "head.text_id").alias("b")).distinct()
-    linked = cut(similar(stars, texts), "copies-linked")
-    first = components(linked).select(F.col("node").alias("text_id"), "root")
-    named = nodes.join(first, "text_id", "left").select("text_id", "r", "fp", F.coalesce("root", "text_id").alias("root")).repartition(width)
-    classed = named.select("text_id", "fp", "root", F.explode(variant_keys(F.col("r"))).alias("key"))
-    pair = classed.alias("l").join(classed.alias("r"), F.col("l.key") == F.col("r.key"))
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    wiped = F.shiftright(F.col("l.key").bitwiseOR(F.col("r.key")), 22).bitwiseAND(F.lit(63))
-    apart = (F.col("l.root") < F.col("r.root")) & (F.bit_count(x) <= MAX_BITS) & first_meeting(x, wiped)
-    across = similar(pair.where(apart).select(F.col("l.text_id").alias("a"), F.col("r.text_id").alias("b")).distinct(), texts)
-    roots = components(linked.unionByName(cut(across, "copies-across")))
+    linked = cut(similar(star_candidates(texts), texts), "copies-linked")
+    across = cut(similar(candidates(texts, components(linked)), texts), "copies-across")
+    roots = components(linked.unionByName(across))
     rooted = cut(texts.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "copies-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("text_id", "component_id")

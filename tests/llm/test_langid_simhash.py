@@ -95,6 +95,43 @@ def test_near_copies_catch_edits_and_leave_others(spark):
     assert sum(got[d] != g for d, g in group.items()) <= 6 and all(got[d] // 10 == d // 10 for d in group)
 
 
+def shingle_jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        tokens = text.lower().split()
+        sets.append({tuple(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_candidates_catch_appended_truncated_and_scattered_copies(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = np.array(["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (20000, 7))])
+    weight = 1 / np.arange(1, 20001)
+    draw = lambda n: rng.choice(vocabulary, n, p=weight / weight.sum())
+    texts, kinds = {}, {}
+    for k in range(300):
+        n = int(rng.integers(100, 1000))
+        words, kind = draw(n), ("appended", "truncated", "scattered")[k % 3]
+        if kind == "appended":
+            copy = np.concatenate([words, draw(int(n * 0.22))])
+        elif kind == "truncated":
+            copy = words[: int(n * 0.825)]
+        else:
+            copy = words.copy()
+            at = rng.choice(n, max(1, n // 50), replace=False)
+            copy[at] = draw(len(at))
+        texts[2 * k], texts[2 * k + 1], kinds[k] = " ".join(words), " ".join(copy), kind
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = simhash.cut(simhash.signed(docs, 5), "test")
+    of = {r["doc_id"]: r["text_id"] for r in signed.collect()}
+    met = {(r["a"], r["b"]) for r in simhash.candidates(signed, spark.createDataFrame([], "node long, root long")).collect()}
+    for kind in ("appended", "truncated", "scattered"):
+        true = [k for k, v in kinds.items() if v == kind and shingle_jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8]
+        found = sum(tuple(sorted((of[2 * k], of[2 * k + 1]))) in met for k in true)
+        print(kind, found, len(true))
+        assert len(true) >= 50 and found >= 0.9 * len(true), (kind, found, len(true))
+
+
 ODD = [
     (1, None, None, None, None),
     (2, "", "en", "s", 0),
