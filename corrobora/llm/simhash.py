@@ -13,7 +13,8 @@ fingerprint of shingles differs in ten bits.  ``near_copies`` therefore indexes,
 in the same way, fingerprints of the distinct words, which differ in four or
 fewer after scattered edits.  Added or cut passages move more bits, so it also
 indexes bands of the minimal hashes of shingles, whose agreement depends on the
-similarity alone, and verifies the similarity of the pairs that meet.
+similarity alone.  Sketches rule out the pairs that are clearly apart, and the
+rest are verified by the exact similarity of their shingles' hashes.
 
 Defined results
 * a null, empty or blank text has the fingerprint zero and links like any other;
@@ -145,6 +146,8 @@ SKETCH = 128
 #: Bands of the sketch that are indexed, and the hashes of each: a pair at 0.8 shares none in 0.2 % of cases.
 BANDS, BAND_HASHES = 21, 6
 SIMILARITY = 0.8
+#: Share of a sketch below which a pair is surely apart: a pair at 0.8 falls below in 0.0003 % of cases.
+CLEARLY_APART = 0.64
 
 
 def word_set_fingerprint(words: list[bytes], seed: int) -> int:
@@ -198,18 +201,62 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, text_id long, fps array<long>, sketch binary")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) of texts whose sketches agree in so large a share."""
+def maybe_similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, share): the pairs of texts that their sketches don't rule out, with the share in which these agree."""
     side = lambda c: texts.select(F.col("text_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = [np.frombuffer(b"".join(x or bytes(2 * SKETCH) for x in batch.column(c).to_pylist()), "<u2").reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b")]
-            near = pa.array((table[0] == table[1]).mean(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+            share = (table[0] == table[1]).mean(1)
+            near = pa.array(share >= CLEARLY_APART)
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in (batch.column("a"), batch.column("b"), pa.array(share))], ["a", "b", "share"])
 
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long, share double")
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    n = max(1, len(tokens) - words + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n))
+
+
+def shingled(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(text_id, shingles): the shingles' hashes, as bytes, of the texts (text_id, least) once each."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, out = [], []
+            for text in batch.column("text").to_pylist():
+                tokens = (text or "").encode("utf-8", "replace").lower().split()
+                ids.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
+                out.append(shingle_hashes(tokens, words).astype("<u8").tobytes() if tokens else b"")
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(out, pa.binary())], ["text_id", "shingles"])
+
+    of = docs.select("doc_id", "text").join(texts.select("least"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    made = of.mapInArrow(work, "text_id long, shingles binary").join(texts.select("text_id"), "text_id", "left_semi")
+    return made.dropDuplicates(["text_id"])
+
+
+def similar(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) of texts whose distinct shingles' hashes have so large a Jaccard similarity."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
+    held = cut(shingled(docs, cut(texts.select("text_id", "least").join(named, "text_id"), "copies-named"), words), "copies-shingles")
+    side = lambda c: held.select(F.col("text_id").alias(c), F.col("shingles").alias(f"shingles_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("shingles_a", "shingles_b")), strict=True):
+                one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                merged = np.sort(np.concatenate([one, two]), kind="stable")
+                common = int((merged[1:] == merged[:-1]).sum())
+                near.append(common >= least * (len(merged) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(work, "a long, b long")
 
 
 def band_keys() -> Column:
@@ -246,15 +293,18 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id): documents linked by texts of SIMILARITY in shingles of five words.
 
     Texts that share a band of their sketches, or are within four bits in one of
-    the word-set fingerprints, are candidates.  First each text meets the least
-    and the largest one of each of its bands, which gathers dense groups with no
-    more pairs than index rows; then all candidates meet that are in different
-    components.
+    the word-set fingerprints, are candidates, of which those are verified that
+    their sketches don't rule out.  First each text meets the most similar of the
+    least and the largest ones of its bands, which gathers dense groups with a
+    pair a text; then all candidates meet that are in different components.
     """
     rows = cut(signed(docs, words), "copies-signed")
     texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "copies-texts")
-    linked = cut(similar(star_candidates(texts), texts), "copies-linked")
-    across = cut(similar(candidates(texts, components(linked)), texts), "copies-across")
+    stars = maybe_similar(star_candidates(texts), texts)
+    best = stars.select("a", "b", "share", F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("pair"))
+    linked = cut(similar(cut(best.select("pair.a", "pair.b").distinct(), "copies-stars"), texts, docs, words), "copies-linked")
+    rest = cut(maybe_similar(candidates(texts, components(linked)), texts), "copies-rest")
+    across = cut(similar(rest, texts, docs, words), "copies-across")
     roots = components(linked.unionByName(across))
     rooted = cut(texts.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "copies-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

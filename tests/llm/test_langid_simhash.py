@@ -132,6 +132,21 @@ def test_candidates_catch_appended_truncated_and_scattered_copies(spark):
         assert len(true) >= 50 and found >= 0.9 * len(true), (kind, found, len(true))
 
 
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(120):  # a copy that keeps 180 to 220 shingles of 250, so 0.72 to 0.88
+        words = [f"w{k}x{i}" for i in range(254)]
+        keep = int(rng.integers(180, 221))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: keep + 4]))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if keep / 250 >= 0.8 else 2 * k + 1}
+    assert all(shingle_jaccard(rows[d][1], rows[d - 1][1]) >= 0.8 for d, c in want.items() if c != d)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {d for d in want if got[d] != want[d]}
+    joined = sum(c != d for d, c in want.items())
+    assert 20 < joined < 100 and len(wrong) <= 1 and all(want[d] != d for d in wrong), wrong
+
+
 ODD = [
     (1, None, None, None, None),
     (2, "", "en", "s", 0),
