@@ -52,11 +52,11 @@ GIVEN = rf"(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})"
 #: The first look at a position is one letter's class, so most of a text costs no more than that.
 NAME = rf"(?=[\p{{Lu}}гдп])(?<![\p{{L}}\d])(?:{TITLE}[ ]{WORD}(?:[ ]{WORD})?|{GIVEN}[ ]{WORD})(?![\p{{L}}\d])"
 KINDS = (("email", EMAIL), ("secret", SECRET), ("ipv6", IPV6), ("ipv4", IPV4), ("iban", IBAN), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("name", NAME))
-#: All of these begin where a run of letters and digits begins, so other places are passed over at once.
-NUMBER = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(._%])(?:" + "|".join(p for k, p in KINDS if k != "name") + ")"
+#: All of these begin where a run of letters and digits begins or at one of an e-mail's or a phone number's signs, so other places are passed over at once.
+NUMBER = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(._%-])(?:" + "|".join(p for k, p in KINDS if k != "name") + ")"
 ANY = f"{NUMBER}|{NAME}"
-#: A text without these holds no entity but names.
-HINT = r"[0-9@]"
+#: A text without these holds no entity but names: a digit, an e-mail's sign, an address's colon, a key's prefix, letters that are a hexadecimal secret.
+HINT = r"[0-9@:]|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA|[a-f]{32}|[A-F]{32}"
 
 LATIN = "ba be bi bo ca ce co da de di do fa fe fi ga go ha he ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se si ta te ti to va ve vi".split()
 CYRILLIC = "ба бе бо ва ве ви го да де до за зо ка ко ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се си та те ти то".split()
