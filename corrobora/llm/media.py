@@ -44,8 +44,8 @@ PIECES, PIECE_BITS = 5, 25
 MAX_DISTANCE = 20
 #: Matches that agree on scale, rotation and shift.
 VOTES = 8
-#: Cells of the vote: shift in pixels, rotation in degrees.
-SHIFT, TURN = 8.0, 30.0
+#: Cells of the vote: shift in pixels and as a share of the matches' spread, whichever is more; rotation in degrees.
+SHIFT, SPREAD, TURN = 8.0, 0.04, 30.0
 DESCRIPTOR_SEED = 10
 FEATURES = "media_id long, a long, b long, x double, y double, scale int, angle double"
 
@@ -252,25 +252,33 @@ def matches(buckets: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 def links(matched: DataFrame) -> DataFrame:
     """(a, b, votes): pictures whose matches agree on a change of scale, a rotation and a shift.
 
-    A match votes for the cell of its rotation and for four neighbouring cells of its shift.
+    The shift is that of the middle of the pair's matches, so noisy angles move it
+    little, in cells that grow with the matches' spread.  A match votes for the
+    two nearest cells of its rotation, for four of its shift, and for its change of
+    scale and half a step to either side, each with the shift that it means.
     """
-    ratio = F.pow(F.lit(STEP), F.col("r.scale") - F.col("l.scale"))
+    pair = Window.partitionBy(F.col("l.media_id"), F.col("r.media_id"))
+    middle = {f"{s}{c}": F.avg(f"{s}.{c}").over(pair) for s in "lr" for c in "xy"}
+    spread = {f"{s}{c}2": F.coalesce(F.stddev_pop(f"{s}.{c}").over(pair), F.lit(0.0)) for s in "lr" for c in "xy"}
     turn = F.pmod((F.col("r.angle") - F.col("l.angle")) * (180 / np.pi), F.lit(360.0))
-    m = matched.select("l", "r", turn.alias("turn"), ratio.alias("ratio"))
-    t = F.radians(F.col("turn"))
-    sx = F.col("r.x") - F.col("ratio") * (F.cos(t) * F.col("l.x") - F.sin(t) * F.col("l.y"))
-    sy = F.col("r.y") - F.col("ratio") * (F.sin(t) * F.col("l.x") + F.cos(t) * F.col("l.y"))
-
-    def cells(v: Column) -> Column:
-        """The cell of a shift and the nearer neighbour."""
-        q = v / SHIFT
+    m = matched.select("l", "r", *[v.alias(k) for k, v in (middle | spread).items()], turn.alias("turn"))
+    cell = F.greatest(F.lit(SHIFT), F.lit(SPREAD) * F.sqrt(F.col("rx2") * F.col("rx2") + F.col("ry2") * F.col("ry2")))
+    change = 2 * (F.col("r.scale") - F.col("l.scale"))
+    m = m.withColumns({"cell": cell, "s": F.explode(F.array(change - 1, change, change + 1))})
+    t, ratio = F.radians(F.col("turn")), F.pow(F.lit(STEP), F.col("s") / 2)
+    x, y = F.col("l.x") - F.col("lx"), F.col("l.y") - F.col("ly")
+    sx = F.col("r.x") - F.col("rx") - ratio * (F.cos(t) * x - F.sin(t) * y)
+    sy = F.col("r.y") - F.col("ry") - ratio * (F.sin(t) * x + F.cos(t) * y)
+
+    def cells(q: Column) -> Column:
+        """The cell of a value and the nearer neighbour."""
         return F.array(F.floor(q), F.floor(q) + F.when(q - F.floor(q) < 0.5, -1).otherwise(1))
 
     votes = m.select(
-        F.col("l.media_id").alias("a"), F.col("r.media_id").alias("b"), (F.col("r.scale") - F.col("l.scale")).alias("s"),
-        F.pmod(F.round(F.col("turn") / TURN), F.lit(360 / TURN)).cast("int").alias("t"), cells(sx).alias("x"), cells(sy).alias("y"),
+        F.col("l.media_id").alias("a"), F.col("r.media_id").alias("b"), "s",
+        cells(F.col("turn") / TURN).alias("t"), cells(sx / F.col("cell")).alias("x"), cells(sy / F.col("cell")).alias("y"),
     )
-    votes = votes.withColumn("x", F.explode("x")).withColumn("y", F.explode("y"))
+    votes = votes.withColumn("t", F.explode("t")).withColumn("t", F.pmod("t", F.lit(int(360 / TURN)))).withColumn("x", F.explode("x")).withColumn("y", F.explode("y"))
     agreed = votes.groupBy("a", "b", "s", "t", "x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
     return agreed.groupBy("a", "b").agg(F.max("n").alias("votes"))
 

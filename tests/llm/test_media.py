@@ -86,6 +86,65 @@ def test_matches_against_brute_force(spark):
     assert got == want and len(want) > 5
 
 
+def warped(img, degrees=0.0, factor=1.0):
+    """Turned about the centre and resized, by bilinear sampling of a smoothed picture."""
+    if factor < 1:
+        img = media.blurred(img[None].astype(np.float32))[0]
+    h, w = img.shape
+    hh, ww = round(h * factor), round(w * factor)
+    t = np.radians(degrees)
+    yy, xx = np.mgrid[:hh, :ww]
+    y, x = (yy - hh / 2) / factor, (xx - ww / 2) / factor
+    sy, sx = np.cos(t) * y - np.sin(t) * x + h / 2, np.sin(t) * y + np.cos(t) * x + w / 2
+    inside = (sy >= 0) & (sx >= 0) & (sy <= h - 1) & (sx <= w - 1)
+    sy, sx = np.clip(sy, 0, h - 1.001), np.clip(sx, 0, w - 1.001)
+    y0, x0 = sy.astype(int), sx.astype(int)
+    fy, fx = sy - y0, sx - x0
+    out = (img[y0, x0] * (1 - fx) + img[y0, x0 + 1] * fx) * (1 - fy) + (img[y0 + 1, x0] * (1 - fx) + img[y0 + 1, x0 + 1] * fx) * fy
+    return np.where(inside, out, 0)
+
+
+def vote_sets():
+    """True corners of a picture of 1000 pixels and of a turned or reduced copy, with noisy angles."""
+    rng = np.random.default_rng(3)
+    out = []
+    for k, (degrees, factor) in enumerate([(15, 1.0), (45, 1.0), (75, 1.0), (0, 0.6), (15, 0.6)]):
+        x, y, angle = rng.uniform(0, 1000, 16), rng.uniform(0, 1000, 16), rng.uniform(-np.pi, np.pi, 16)
+        t = np.radians(degrees)
+        rx = 500 + factor * (np.cos(t) * (x - 500) - np.sin(t) * (y - 500)) + rng.normal(0, 1, 16)
+        ry = 500 + factor * (np.sin(t) * (x - 500) + np.cos(t) * (y - 500)) + rng.normal(0, 1, 16)
+        step = np.where(rng.random(16) < 0.5, 1, 2) if factor < 1 else np.zeros(16, int)
+        for i in range(16):
+            left = (2 * k, float(x[i]), float(y[i]), int(step[i]), float(angle[i]))
+            right = (2 * k + 1, float(rx[i]), float(ry[i]), 0, float(angle[i] + t + rng.normal(0, np.radians(2))))
+            out.append((left, right))
+    return out
+
+
+def test_votes_of_turned_and_reduced_pictures_agree(spark):
+    side = "struct<media_id:long,x:double,y:double,scale:int,angle:double>"
+    got = {(r["a"], r["b"]): r["votes"] for r in media.links(spark.createDataFrame(vote_sets(), f"l {side}, r {side}")).collect()}
+    assert set(got) == {(2 * k, 2 * k + 1) for k in range(5)}, got
+
+
+def test_turned_and_reduced_copies_of_large_pictures_are_found(spark):
+    def scene(seed):
+        rng, img = np.random.default_rng(seed), np.full((1000, 1000), 90.0)
+        yy, xx = np.mgrid[:1000, :1000]
+        for _ in range(150):
+            y, x, s = rng.integers(0, 1000), rng.integers(0, 1000), rng.integers(20, 120)
+            img[(abs(yy - y) < s / 2) & (abs(xx - x) < s * rng.uniform(0.2, 1))] = rng.integers(0, 255)
+        grain = media.blurred(media.blurred(rng.normal(0, 1, (1, 1000, 1000))))[0]
+        return np.clip(img * 0.5 + 60 + 120 * grain, 0, 255)
+
+    rows = []
+    for k in range(2):
+        img = scene(k)
+        rows += [row(10 * k + j, e) for j, e in enumerate([img, warped(img, 15), warped(img, 45), warped(img, 0, 0.6)])]
+    got = {r["media_id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {10 * k + j: 10 * k for k in range(2) for j in range(4)}, got
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = QUERIES["op10_media_copies"](spark, sf).collect()
