@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,10 +22,13 @@ SLICE_BYTES = 4 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is taken.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is taken.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master}")
         root = getattr(shared_root, "_own", None)
         if root is None:
             root = shared_root._own = tempfile.mkdtemp(prefix="corrobora-")
@@ -95,5 +99,14 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    lead = "__"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

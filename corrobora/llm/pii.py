@@ -9,7 +9,9 @@ network address stays private, a name keeps honorific, gender, script and case.
 
 Collision check over the whole table: no two entities of a kind share a surrogate,
 and no surrogate is an entity that occurs.  Losers take the next attempt until
-nothing collides.  Only attempts above the first are kept as a table, and only
+nothing collides.  A format that is so full that attempts fail is widened: private
+addresses go to 10.0.0.0/8, numbers and local parts of e-mail addresses grow, so
+the attempts end whatever occurs.  Only attempts above the first are kept as a table, and only
 texts that hold such an entity are joined with it; all others are rewritten where
 they are read, without a shuffle.
 
@@ -22,14 +24,15 @@ Defined results
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut
+from .common import checked_broadcast, cut, free_names
 
-KEY = "corrobora"
-MAX_ATTEMPTS = 64
+#: Attempts in a format after which a surrogate may leave it for a wider one of its kind.
+NARROW_ATTEMPTS = 8
 
 # Honorifics and given names by gender and script.
 MALE_TITLES = "Mr|Mister|Sir|Herr|Monsieur|Señor|господин|г-н"
@@ -142,9 +145,10 @@ def _card(norm: Column, h: Column) -> Column:
     return F.concat(body, ((check + odd) % 10).cast("string"))
 
 
-def _ipv4(norm: Column, h: Column) -> Column:
-    """Private ranges, loopback and link-local keep the octets that make them so."""
+def _ipv4(norm: Column, h: Column, wider: Column) -> Column:
+    """Private ranges, loopback and link-local keep the octets that make them so; a full range gives way to the largest private one."""
     kept = F.regexp_extract(norm, r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
+    kept = F.when((wider > 0) & (kept != ""), "10.").otherwise(kept)
     n = F.length(F.regexp_replace(kept, r"[^.]", ""))
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.when(i == 0, 11 + _number(h, i * 4, 4) % 115).otherwise(_number(h, i * 4, 4) % 256)).cast("string"))
     return F.concat(kept, F.array_join(F.slice(octets, n + 1, 4 - n), "."))
@@ -163,10 +167,15 @@ def email_domain(norm: Column) -> Column:
     return F.regexp_extract(norm, r"@(.*)(\.[a-z]+)$", 1)
 
 
-def _email(norm: Column, h: Column, domain_h: Column) -> Column:
+def _grown(text: Column, h: Column, wider: Column) -> Column:
+    """With so many digits more, from the far end of the hash."""
+    return F.concat(text, F.substring(F.translate(F.reverse(h), "abcdef", "012345"), F.lit(1), wider))
+
+
+def _email(norm: Column, h: Column, domain_h: Column, wider: Column) -> Column:
     """Local part by the whole address; the domain by itself, so that one domain stays one; the last label stays."""
     domain = email_domain(norm)
-    return F.concat(_like(F.regexp_extract(norm, "^(.*)@", 1), h), F.lit("@"), _like(domain, domain_h), F.regexp_extract(norm, r"(\.[a-z]+)$", 1))
+    return F.concat(_grown(_like(F.regexp_extract(norm, "^(.*)@", 1), h), h, wider), F.lit("@"), _like(domain, domain_h), F.regexp_extract(norm, r"(\.[a-z]+)$", 1))
 
 
 def _syllables(script: Column, h: Column, n: Column) -> Column:
@@ -194,14 +203,15 @@ def hashes(kind: Column, norm: Column, attempt: Column, key: str) -> tuple[Colum
 
 def surrogate(kind: Column, norm: Column, attempt: Column, h: Column, domain_h: Column) -> Column:
     """The replacement's normal form."""
+    wider = F.floor(attempt / NARROW_ATTEMPTS).cast("int")
     return (
-        F.when(kind == "email", _email(norm, h, domain_h))
+        F.when(kind == "email", _email(norm, h, domain_h, wider))
         .when(kind == "secret", F.when(norm.rlike("^[0-9a-f]+$"), _hex_like(norm, h)).when(norm.rlike("^[0-9A-F]+$"), F.upper(_hex_like(norm, h))).otherwise(F.concat(F.substring(norm, 1, 4), _like(F.substring(norm, F.lit(5), F.length(norm)), h))))
         .when(kind == "ipv6", _hex_like(norm, h))
-        .when(kind == "ipv4", _ipv4(norm, h))
+        .when(kind == "ipv4", _ipv4(norm, h, wider))
         .when(kind == "iban", _iban(norm, h))
-        .when(kind == "ssn", _digits_like(norm, h, 0))
-        .when(kind == "phone", _digits_like(norm, h, 1))
+        .when(kind == "ssn", _grown(_digits_like(norm, h, 0), h, wider))
+        .when(kind == "phone", _grown(_digits_like(norm, h, 1), h, wider))
         .when(kind == "card", _card(norm, h))
         .otherwise(_name_part(kind, h, attempt))
     )
@@ -270,7 +280,8 @@ def replacements(found: Column, attempt_of, key: str) -> Column:
 
         def filled(keep: str) -> Column:
             place = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), f"[^{keep}]", ""))
-            return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike(f"[{keep}]"), F.substring(other, place(i), F.lit(1))).otherwise(c)), "")
+            put = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike(f"[{keep}]"), F.substring(other, place(i), F.lit(1))).otherwise(c)), "")
+            return F.concat(put, F.substring(other, place(F.length(m)) + 1, F.length(other)))  # what a wider format has more
 
         given = F.when(z["given"].isNotNull(), F.concat(_cased(z["given"], x["given"]), F.lit(" "))).otherwise("")
         return (
@@ -284,20 +295,29 @@ def replacements(found: Column, attempt_of, key: str) -> Column:
     return F.transform(F.transform(F.transform(found, hashed), drawn), shaped)
 
 
-def draw(entities: DataFrame, key: str = KEY) -> DataFrame:
+def draw(entities: DataFrame, key: str) -> DataFrame:
     """Rows of (kind, norm, attempt) with their surrogate ``other``."""
     h, domain = hashes(F.col("kind"), F.col("norm"), F.col("attempt"), key)
     held = entities.withColumns({"h": h, "domain_h": domain})
     return held.withColumn("other", surrogate(*map(F.col, ("kind", "norm", "attempt", "h", "domain_h")))).drop("h", "domain_h")
 
 
+def configured_key(spark: SparkSession) -> str:
+    """The secret of the registered queries, from ``spark.corrobora.pii.key``.
+
+    Where it is unset (tests, synthetic tables) a public one is taken, from which
+    anyone who guesses an entity can work out its surrogate.
+    """
+    return spark.conf.get("spark.corrobora.pii.key", None) or "public key for synthetic tables"
+
+
 def matches(text: str = "text") -> Column:
     """All entities of a text in order; null texts have none."""
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def collisions(docs: DataFrame, key: str = KEY, drawer=draw) -> DataFrame:
+def collisions(docs: DataFrame, key: str, drawer=draw) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate collides, with the attempt that doesn't.
 
     drawer(rows, key) adds surrogates; tests pass one that collides.
@@ -305,7 +325,7 @@ def collisions(docs: DataFrame, key: str = KEY, drawer=draw) -> DataFrame:
     found = docs.select(F.explode(F.flatten(F.transform(parsed(matches()), atoms))).alias("a")).select("a.*").distinct()
     known = cut(found, "pii-entities")
     state = cut(drawer(known.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
-    for _ in range(MAX_ATTEMPTS):
+    for _ in count():
         taken = known.select("kind", F.col("norm").alias("other"), F.lit(True).alias("occurs"))
         # the one that has tried most stays; others of the same surrogate go on
         again = F.row_number().over(Window.partitionBy("kind", "other").orderBy(F.desc("attempt"), "norm")) > 1
@@ -317,42 +337,42 @@ def collisions(docs: DataFrame, key: str = KEY, drawer=draw) -> DataFrame:
         attempt = F.col("attempt") + F.coalesce("one", F.lit(0))
         moved = state.drop("other").join(checked_broadcast(losers, n), ["kind", "norm"], "left").select("kind", "norm", attempt.alias("attempt"))
         state = cut(drawer(moved, key), "pii-surrogates")
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
-def rewritten(docs: DataFrame, key: str = KEY, late: DataFrame | None = None) -> DataFrame:
-    """The documents with surrogates in ``text``, and their parsed matches in ``__found``.
+def rewritten(docs: DataFrame, key: str, found: str = "__found", late: DataFrame | None = None) -> DataFrame:
+    """The documents with surrogates in ``text``, and their parsed matches in a new column ``found``.
 
     late: (kind, norm, attempt) of entities whose attempt is not the first, by default from ``collisions``.
     """
     late = collisions(docs, key) if late is None else late
-    held = docs.withColumn("__found", parsed(matches()))
+    hash_, tries_ = free_names(docs, f"{found}_hash", f"{found}_tries")
+    held = docs.withColumn(found, parsed(matches()))
     n = late.count()
     if n:
         # texts that hold an entity with a later attempt; a text's hash stands for it
-        own = held.where(F.size("__found") > 0).select(F.xxhash64("text").alias("__hash"), F.explode(F.flatten(F.transform("__found", atoms))).alias("a")).select("__hash", "a.*").distinct()
+        own = held.where(F.size(found) > 0).select(F.xxhash64("text").alias(hash_), F.explode(F.flatten(F.transform(found, atoms))).alias("a")).select(hash_, "a.*").distinct()
         entry = F.struct(F.concat_ws(":", "kind", "norm"), F.col("attempt"))
-        tries = cut(own.join(checked_broadcast(late, n), ["kind", "norm"]).groupBy("__hash").agg(F.map_from_entries(F.collect_set(entry)).alias("__tries")), "pii-attempts")
-        held = held.withColumn("__hash", F.xxhash64("text")).join(checked_broadcast(tries, tries.count()), "__hash", "left")
-        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at("__tries", F.concat_ws(":", kind, norm)), F.lit(0))
+        tries = cut(own.join(checked_broadcast(late, n), ["kind", "norm"]).groupBy(hash_).agg(F.map_from_entries(F.collect_set(entry)).alias(tries_)), "pii-attempts")
+        held = held.withColumn(hash_, F.xxhash64("text")).join(checked_broadcast(tries, tries.count()), hash_, "left")
+        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at(tries_, F.concat_ws(":", kind, norm)), F.lit(0))
     else:
         attempt_of = lambda kind, norm: F.lit(0)
     between = F.when(F.col("text").rlike(HINT), F.split("text", ANY, -1)).otherwise(F.split("text", NAME, -1))
-    others = replacements(F.col("__found"), attempt_of, key)
+    others = replacements(F.col(found), attempt_of, key)
     joined = F.array_join(F.flatten(F.zip_with(between, others, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return held.withColumn("text", F.when(F.size("__found") > 0, joined).otherwise(F.col("text"))).select(*docs.columns, "__found")
+    return held.withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text"))).select(*docs.columns, found)
 
 
-def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """The query's rows: doc_id, the whole rewritten text, n_entities and the kinds found."""
     out = rewritten(docs.select("doc_id", "text"), key)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__found", lambda x: x["kind"]))), ",")
     return out.select("doc_id", "text", F.size("__found").alias("n_entities"), kinds.alias("kinds"))
 
 
-def anonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def anonymised(docs: DataFrame, key: str) -> DataFrame:
     """Documents with surrogates in their texts; n_chars, where there is one, follows the text."""
-    out = rewritten(docs, key)
+    out = rewritten(docs, key, *free_names(docs, "found"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -12,7 +12,7 @@ from .common import read
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": lambda spark, d: mixing.mix(read(spark, d, "documents")),
     "op2_toxicity": lambda spark, d: toxicity.report(read(spark, d, "documents"), read(spark, d, "labels")),
-    "op3_pii_surrogates": lambda spark, d: pii.surrogates(read(spark, d, "documents")),
+    "op3_pii_surrogates": lambda spark, d: pii.surrogates(read(spark, d, "documents"), pii.configured_key(spark)),
     "op4_simhash": lambda spark, d: simhash.report(read(spark, d, "documents")),
     "op5_sharding": lambda spark, d: sharding.report(read(spark, d, "documents")),
     "op6_language_id": lambda spark, d: langid.identify(read(spark, d, "documents")),

@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from corrobora.llm import pii
+from corrobora.llm.queries import QUERIES
 
 DOC = "doc_id long, text string, kinds string"
 
@@ -14,7 +15,7 @@ def luhn_ok(n):
 
 def texts(spark, rows, **kw):
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOC)
-    return {r["doc_id"]: r for r in pii.surrogates(df, **kw).collect()}
+    return {r["doc_id"]: r for r in pii.surrogates(df, "test", **kw).collect()}
 
 
 def test_formats_and_coreference(spark):
@@ -87,11 +88,11 @@ def test_collisions_are_resolved(spark):
         return entities.withColumn("other", F.when(F.col("attempt") < 2, F.concat(F.lit("9.9.9."), h.cast("string"))).otherwise(F.concat_ws("-", "norm", "attempt")))
 
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOC)
-    late = pii.collisions(df, drawer=few).collect()
+    late = pii.collisions(df, "test", drawer=few).collect()
     assert {(r["norm"], r["attempt"]) for r in late} == {(f"9.9.9.{i}", 2) for i in range(20)}
     table = spark.createDataFrame([("ipv4", "9.9.9.3", 5)], "kind string, norm string, attempt int")
-    base = {r["doc_id"]: r["text"] for r in pii.surrogates(df).collect()}
-    other = {r["doc_id"]: r["text"] for r in pii.rewritten(df, late=table).collect()}
+    base = {r["doc_id"]: r["text"] for r in pii.surrogates(df, "test").collect()}
+    other = {r["doc_id"]: r["text"] for r in pii.rewritten(df, "test", late=table).collect()}
     assert {i for i in base if base[i] != other[i]} == {3}
 
 
@@ -104,10 +105,55 @@ def test_distinct_entities_stay_distinct(spark):
         assert len(new) == 600 and not new & old
 
 
+def test_full_formats_widen(spark):
+    """All 26 one-letter addresses of a domain occur, so its surrogates can't be one letter each; nor is a full private range kept."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    got = texts(spark, [f"to {c}@x.org" for c in letters])
+    new = [re.search(r"\S+@\S+", got[i]["text"])[0] for i in range(26)]
+    assert len(set(new)) == 26 and len({a.split("@")[1] for a in new}) == 1
+    rows = spark.createDataFrame([("ipv4", "192.168.7.9", 0), ("ipv4", "192.168.7.9", 8), ("phone", "12345", 8), ("ssn", "078051120", 16)], "kind string, norm string, attempt int")
+    other = {(r["norm"], r["attempt"]): r["other"] for r in pii.draw(rows, "test").collect()}
+    assert other["192.168.7.9", 0].startswith("192.168.") and other["192.168.7.9", 8].startswith("10.")
+    assert re.fullmatch(r"1\d{5}", other["12345", 8]) and re.fullmatch(r"\d{11}", other["078051120", 16])
+
+
+def test_surrogates_depend_on_the_key(spark):
+    df = spark.createDataFrame([(1, "mail a1@b.example.com", None)], DOC)
+    one, two, again = (pii.surrogates(df, k).first()["text"] for k in ("k1", "k2", "k1"))
+    assert one == again != two
+
+
+def test_query_against_plain_search(spark):
+    """Whole table: texts without an entity are unchanged, and of those with one only the entities change."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    patterns = [re.compile(p.replace(r"\p{Lu}", "A-ZÀ-ÖØ-ÞА-Я").replace("++@", "+@")) for k, p in pii.KINDS if k in ("email", "ipv4", "ssn")]
+    got = {r["doc_id"]: r for r in QUERIES["op3_pii_surrogates"](spark, "/root/testdata/sf0.001").collect()}
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(got) == set(before)
+    new_of = {}
+    for d, text in before.items():
+        if not got[d]["n_entities"]:
+            assert got[d]["text"] == text and not any(p.search(text) for p in patterns)
+            continue
+        assert got[d]["text"] != text
+        for p in patterns:
+            old, new = p.findall(text), p.findall(got[d]["text"])
+            assert len(old) == len(new) and not set(old) & set(new)
+            for a, b in zip(old, new):
+                assert new_of.setdefault(a.lower(), b.lower()) == b.lower()
+    assert len(set(new_of.values())) == len(new_of) > 5
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a1@b.example.com", "f", "h", "t")], "doc_id long, text string, __found string, __found_hash string, __found_tries string")
+    row = pii.anonymised(df, "test").first()
+    assert row["__found"] == "f" and "a1@b" not in row["text"] and (row["__found_hash"], row["__found_tries"]) == ("h", "t")
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "mail a1@b.example.com", "c"), (3, "x " * 200000 + "8.8.4.4", "d"), (3, "y", "e"), (3, "y", "e")], DOC)
-    got = pii.anonymised(df).collect()
-    assert len(got) == 6 and pii.anonymised(df).columns == df.columns
+    got = pii.anonymised(df, "test").collect()
+    assert len(got) == 6 and pii.anonymised(df, "test").columns == df.columns
     by = {r["kinds"]: r["text"] for r in got}
     assert by["a"] is None and by["b"] == "" and "a1@b" not in by["c"] and by["d"].startswith("x x ") and not by["d"].endswith("8.8.4.4")
-    assert pii.surrogates(df.limit(0)).count() == 0
+    assert pii.surrogates(df.limit(0), "test").count() == 0
