@@ -24,15 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_hash32, id_text_crc, slices
+from .common import free_names, id_hash32, id_text_crc, slices
 
 #: Labelled documents of each language that a fit takes, chosen by the hash of their id.
 MAX_DOCS_PER_LANG = 6000
-#: Languages that a model may have; bounds the matrix.
+#: Languages that a model has at most, those with most labelled documents; bounds the matrix.
 MAX_LANGS = 1000
-#: Characters that are scored at once; longer texts are summed over pieces.
-PIECE = 1 << 20
+#: Characters that are scored at once, and numbers that are gathered for them; longer texts are summed over pieces.
+PIECE, GATHERED = 1 << 20, 1 << 24
 UNKNOWN = "und"
 
 
@@ -86,10 +87,12 @@ def joined(texts: list[str | None]) -> tuple[str, np.ndarray]:
     return "".join(parts), np.cumsum([0, *map(len, parts)])[:-1]
 
 
-def pieces(text: str) -> Iterator[str]:
-    """A long text in pieces that overlap by two characters, so that each gram occurs once."""
-    for at in range(0, max(1, len(text) - 2), PIECE):
-        yield text[at : at + PIECE + 2]
+def pieces(text: str, buckets: int, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Letters and grams of a text, between its blanks, in pieces; each is counted where it starts, so once."""
+    for at in range(0, max(1, len(text) - 2), size):
+        points, *found = grams(text[at : at + size + 2], buckets)
+        own = None if at + size >= len(text) - 2 else size
+        yield int((points[:own] != 32).sum()), [b[:own] for b in found]
 
 
 def fit_counts(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -100,8 +103,8 @@ def fit_counts(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             if not text:
                 continue
             counts = found.setdefault(lang, np.zeros(buckets + 1, np.int64))
-            for part in pieces(f" {text.lower()} "):
-                for b in grams(part, buckets)[1:]:
+            for _, found_at in pieces(f" {text.lower()} ", buckets, PIECE):
+                for b in found_at:
                     np.add.at(counts, b, 1)
     for lang, counts in found.items():
         at = np.flatnonzero(counts[:buckets])
@@ -116,9 +119,8 @@ def fit(labelled: DataFrame, buckets: int = 1 << 15, max_docs: int = MAX_DOCS_PE
     driver is bounded by languages x buckets.
     """
     rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return LanguageModel((), np.zeros(0), np.zeros((buckets + 1, 0), np.float32))
     below = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, max_docs / n) * 2**32))])
@@ -145,6 +147,16 @@ def evidence(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray,
     return np.add.reduceat(w, starts, axis=0, dtype=np.float64), np.add.reduceat((points != 32).astype(np.int64), starts)
 
 
+def long_evidence(text: str, model: LanguageModel, size: int) -> tuple[np.ndarray, int]:
+    """The same of one text of any length."""
+    total, letters = np.zeros(len(model.langs)), 0
+    for n, found in pieces(f" {text.lower()} ", model.buckets, size):
+        letters += n
+        for b in found:
+            total += model.weights.take(b, axis=0).sum(0, dtype=np.float64)
+    return total, letters
+
+
 def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
     """Language and posterior probability of each text."""
     n, k = len(texts), len(model.langs)
@@ -152,17 +164,15 @@ def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[s
         return [UNKNOWN] * n, np.zeros(n)
     sums, letters = np.zeros((n, k)), np.zeros(n, np.int64)
     start = total = 0
+    most = min(PIECE, max(4096, GATHERED // k))
     for i in range(n + 1):
         size = len(texts[i] or "") if i < n else 0
-        if i == n or total + size > PIECE:
+        if i == n or total + size > most:
             if i > start:
                 sums[start:i], letters[start:i] = evidence(texts[start:i], model)
             start, total = i, 0
-            if size > PIECE:  # alone, summed over pieces
-                for part in pieces(texts[i].lower()):
-                    s, c = evidence([part], model)
-                    sums[i] += s[0]
-                    letters[i] += c[0]
+            if size > most:  # alone, summed over pieces
+                sums[i], letters[i] = long_evidence(texts[i], model, most)
                 start = i + 1
                 continue
         total += size
@@ -175,16 +185,17 @@ def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[s
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Columns ``keep`` of each document with its language and score under ``names``."""
-    fields = [docs.schema[c] for c in keep]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    kept = docs.select(*keep)
+    (copy,) = free_names(docs, "text")
+    out = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            langs, p = predict_texts(batch.column("__text").to_pylist(), model)
+        for batch in slices(batches, copy):
+            langs, p = predict_texts(batch.column(len(keep)).to_pylist(), model)
             cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(p)], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, f"{ddl}, `{names[0]}` string, `{names[1]}` double")
+    return docs.select(*keep, F.col("text").alias(copy)).mapInArrow(score, out)
 
 
 def held_out(folds: int = 5, col: str = "doc_id"):
@@ -203,4 +214,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose text has a language; null texts and texts without a letter go."""
     model = fit(docs.where(~held_out()))
     names = tuple(docs.columns)
-    return predict(docs, model, names, ("__lang", "__score")).where(F.col("__lang") != UNKNOWN).select(*names)
+    lang, score = free_names(docs, "lang", "score")
+    return predict(docs, model, names, (lang, score)).where(F.col(lang) != UNKNOWN).select(*names)

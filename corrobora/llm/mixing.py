@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, id_hash32
+from .common import checked_broadcast, cut, free_names, id_hash32
 
 #: A word, as the contract counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,7 +38,10 @@ def words(text: str = "text") -> Column:
 
 
 def targets(totals: DataFrame) -> DataFrame:
-    """(source, source_size) to (source, source_size, target): the water level over the weights."""
+    """(source, source_size) to (source, source_size, target): the water level over the weights.
+
+    The windows have no partition: a row a source, whatever the documents are, passes through one task.
+    """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     t = totals.withColumn("w", (F.row_number().over(by_name) - 1) % WEIGHTS + 1).withColumn("cap", F.col("source_size") * MAX_COPIES)
     before = Window.orderBy(F.col("cap").cast("double") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -96,10 +99,11 @@ def mix(docs: DataFrame, seed: str = "") -> DataFrame:
 def mixed(docs: DataFrame, seed: str = "") -> DataFrame:
     """The documents that the mix takes, with all their columns, a row for each time one is taken."""
     plan = mix_plan(sized(docs, seed))
-    side = checked_broadcast(plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns]), plan.count())
-    times = F.col("__copies") + (id_hash32(seed=seed) <= F.col("__last_hash")).cast("int")
-    joined = docs.join(side, docs["source"].eqNullSafe(F.col("__source")))
-    return joined.withColumn("__time", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    source, copies, last, time = free_names(docs, "source", "copies", "last_hash", "time")
+    side = checked_broadcast(plan.select(F.col("source").alias(source), F.col("copies").alias(copies), F.col("last_hash").alias(last)), plan.count())
+    times = F.col(copies) + (id_hash32(seed=seed) <= F.col(last)).cast("int")
+    joined = docs.join(side, docs["source"].eqNullSafe(F.col(source)))
+    return joined.withColumn(time, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 #: DuckDB twin of ``mix``: the same thresholds from running sums over single hash values.
