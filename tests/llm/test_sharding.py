@@ -73,6 +73,33 @@ def test_lost_work_leaves_the_old_state(spark, tmp_path, monkeypatch):
     assert s.vacuum() >= 1 and s.read().count() == 50
 
 
+def test_a_dead_writers_claim_lapses(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append(some(spark, 0, 10))
+    s.fs.createNewFile(s._path("manifest/v2.claim"))  # claimed, never renamed
+    with pytest.raises(sharding.Conflict):
+        s.append(some(spark, 10, 12))
+    s.lease_s = -1
+    s.append(some(spark, 10, 12))
+    assert s.version() == 2 and s.read().count() == 12
+    with pytest.raises(sharding.Conflict):  # a published version doesn't lapse
+        s._publish(1, s.manifest(1))
+
+
+def test_vacuum_leaves_an_append_in_flight(spark, tmp_path):
+    s, other = store(spark, tmp_path), store(spark, tmp_path)
+    s.append(some(spark, 0, 10))
+    base = s.version()
+    written = s._write(some(spark, 10, 30))
+    assert other.vacuum() == 0
+    s._add(base, s.manifest(base), written)
+    assert other.vacuum() == 0 and s.read().count() == 30
+    s._write(some(spark, 30, 40))  # and dies
+    assert other.vacuum() == 0
+    other.lease_s = -1
+    assert other.vacuum() > 0 and s.read().count() == 30 and not s._listed("marks")
+
+
 def test_empty_and_odd(spark, tmp_path):
     s = store(spark, tmp_path)
     assert s.read().count() == 0 and sharding.assignments(s).count() == 0
@@ -88,3 +115,17 @@ def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
     assert {r["shard_rows"] for r in got} == {len(got)}
+
+
+def test_query_brute_force(spark):
+    """Small targets give several shards: their rows and the manifest's figures add up."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sharding.report(docs, target_bytes=200_000).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    held = {}
+    for r in got:
+        held.setdefault(r["shard"], []).append(r)
+    assert len(held) > 2 and len({r["version"] for r in got}) == 1
+    for rows_ in held.values():
+        assert {(r["shard_rows"], r["shard_bytes"]) for r in rows_} == {(len(rows_), rows_[0]["shard_bytes"])}
+    assert sum(v[0]["shard_bytes"] < 100_000 for v in held.values()) <= 1
