@@ -52,6 +52,8 @@ CELLS = 400_000
 REMEMBERED = 400_000
 #: Tokens of a training window, and the most windows.
 WINDOW, MAX_WINDOWS = 128, 12000
+#: Documents of the sample, about, that fit the chain and the curve, chosen by the hash of their id.
+CHAIN_DOCS = 4000
 THRESHOLD = 0.7
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -303,21 +305,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     if not any(lexicon.values()):
         return none
 
-    half = cut(sample.where(id_hash32(seed="chain") < int(min(1.0, 4000 / sum(sizes.values())) * 2**32)), "toxicity-chain")  # about 4000 documents
+    half = cut(sample.where(id_hash32(seed="chain") < int(min(1.0, CHAIN_DOCS / sum(sizes.values())) * 2**32)), "toxicity-chain")
 
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(lexicon)
         for batch in slices(batches):
-            seqs = [weights_of(t, weights).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(seqs, pa.binary())], ["toxic", "seq"])
-
-    windows: list[tuple[int, np.ndarray]] = []
-    for r in half.select("text", "toxic").mapInArrow(coded, "toxic int, seq binary").toLocalIterator():
-        s = np.frombuffer(r["seq"], np.int8)
-        windows += [(r["toxic"], s[at : at + WINDOW]) for at in range(0, len(s), WINDOW)]
-    # windows with a weighed word, and as many without
-    full = [x for x in windows if x[1].any()][: MAX_WINDOWS // 2]
-    bare = [x for x in windows if not x[1].any()][: max(200, len(full))]
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                s, at = weights_of(text, weights), xxhash.xxh64_intdigest(text) >> 1
+                cuts = [s[k : k + WINDOW] for k in range(0, len(s), WINDOW)]
+                place = [xxhash.xxh64_intdigest(at.to_bytes(8, "little"), k) >> 1 for k in range(len(cuts))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([toxic] * len(cuts), pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array([bool(c.any()) for c in cuts], pa.bool_()), pa.array(place, pa.int64())],
+                    ["toxic", "seq", "weighed", "place"],
+                )
+
+    windows = cut(half.select("text", "toxic").mapInArrow(coded, "toxic int, seq binary, weighed boolean, place long"), "toxicity-windows")
+    # windows with a weighed word, and as many without, both in the order of a hash over all of the sample's
+    chosen = lambda which, n: [(r["toxic"], np.frombuffer(r["seq"], np.int8)) for r in windows.where(which).orderBy("place", "seq", "toxic").limit(n).collect()]
+    full = chosen("weighed", MAX_WINDOWS // 2)
+    bare = chosen("not weighed", max(200, len(full)))
     seqs = [s for _, s in full + bare]
     tags = [((s >= LABELLED) & (y == 1)).astype(np.int64) for y, s in full + bare]
     chain = fit_chain(seqs, tags)
@@ -355,6 +361,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The query's rows: doc_id, held_out, score, predicted and the number of toxic spans."""
+    """The query's rows: doc_id, held_out, score, predicted, the number of toxic spans and their offsets, as ``start-end`` in code points."""
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), offsets.alias("offsets"))

@@ -69,7 +69,7 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "bad word " * 20000), (3, "x"), (None, "y"), (4, "... 12")], "doc_id long, text string").selectExpr("*", "1 as score", "2 as spans")
     labels = spark.createDataFrame([(1, None), (1, 1), (2, 0), (3, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
     out = tox.report(docs, labels).collect()
-    assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out)
+    assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out) and all(len(r["offsets"].split()) == r["n_spans"] for r in out)
     assert tox.report(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in tox.report(docs, labels.limit(0)).collect()} == {0.0}
 
