@@ -48,17 +48,24 @@ def tokenizer_path() -> str:
 class Encoder:
     """Token ids of whole texts, as packed little-endian 32-bit numbers.
 
-    The tokenizer's file gives the vocabulary; its numbers are the ranks of the
-    merges, so the faster of the installed libraries encodes with them.  A test
-    holds the ids against those of ``tokenizers`` itself.
+    The tokenizer's file gives the vocabulary.  Where it splits texts at byte level
+    by the usual pattern and its numbers are the ranks of the merges, the faster of
+    the installed libraries encodes with them; a test holds the ids against those of
+    ``tokenizers``, which encodes with any other file.
     """
 
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = None
+        if not plain_bytes(spec):
+            import tokenizers
+
+            self.plain = tokenizers.Tokenizer.from_file(path)
+            return
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         byte = byte_letters()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in byte for c in token)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -67,9 +74,22 @@ class Encoder:
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.plain is not None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch(texts, add_special_tokens=False)]
         return [self.encoding.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
 
 
+def plain_bytes(spec: dict) -> bool:
+    """Whether a file's ids are those of byte pairs merged in the order of their numbers, split by the usual pattern."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if model["type"] != "BPE" or odd or not usual or spec.get("normalizer") or any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        return False
+    numbers = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    return all(a < b for a, b in zip(numbers, numbers[1:], strict=False)) and numbers[:1] != [-1]
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the file: printable ones for themselves, others from 256 on in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -13,6 +13,7 @@ Scores are recomputed in each pass, which costs less than keeping them: nothing
 but histograms and the last few rows leaves a task, whatever the table holds.
 
 Defined results
+* components and scores beyond 62 bits count as the largest number of 62 bits, with their sign;
 * null vectors and vectors with a null or non-finite component take no part;
 * vectors shorter than the longest of the table count as filled with zeros;
 * repeated rows of an id are candidates each, but never of their own id;
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch_path
 
 SCALE = 256
 K = 5
@@ -37,13 +38,16 @@ K = 5
 QUERIES = 1024
 ROWS = 2048
 BINS = 64
+#: What larger numbers count as.
+MOST = 2**62 - 1
 
 
 def prepared(rows: DataFrame) -> DataFrame:
     """(vec_id, v): the integer vectors that take part."""
     x = F.col("embedding")
     ok = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long"))
+    whole = lambda c: F.floor(F.greatest(F.lit(-(2.0**62)), F.least(F.lit(2.0**62), c.cast("double") * SCALE))).cast("long")
+    v = F.transform(x, lambda c: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), whole(c))))
     return rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
@@ -59,11 +63,21 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T: in doubles where no partial sum can exceed 53 bits, else in 64-bit integers."""
+    """Exact a @ b.T: in doubles where no partial sum can exceed 53 bits, else in 64-bit integers.
+
+    These wrap around, which leaves every score right that fits; those that may not are worked out one by one.
+    """
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    about = a.astype(float) @ b.astype(float).T
     if bound < 2**53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+        return about.astype(np.int64)
+    out = a @ b.T
+    if bound >= 2.0**61:
+        slack = np.abs(a.astype(float)) @ np.abs(b.astype(float)).T
+        for i, j in zip(*np.nonzero((np.abs(about) >= 2.0**61) | (slack >= 2.0**100)), strict=True):
+            exact = sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True))
+            out[i, j] = max(-MOST, min(MOST, exact))
+    return out
 
 
 Scored = Iterator[tuple[np.ndarray, np.ndarray]]
@@ -158,26 +172,28 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     dim = int(facts["dim"] or 0)
     asked = cut(vectors.where(is_query).dropDuplicates(["vec_id"]).repartitionByRange("vec_id").sortWithinPartitions("vec_id"), "topk-queries")
     kind = "query_id long, vec_id long, score long"
-    out = None
+    path = scratch_path(spark, "topk-rows")  # all blocks' rows, so that the plan doesn't grow with the queries
     block: list = []
 
-    def answer(block: list) -> DataFrame:
+    def answer(block: list) -> None:
         ids = np.array([r["vec_id"] for r in block], np.int64)
         q = np.zeros((len(block), max(1, dim)), np.int64)
         for i, r in enumerate(block):
             q[i, : len(r["v"])] = r["v"]
-        reach = np.minimum(np.ceil(np.sqrt((q.astype(float) ** 2).sum(1)) * facts["norm"] * (1 + 1e-9)) + 1, 2.0**61).astype(np.int64)
+        reach = np.minimum(np.ceil(np.sqrt((q.astype(float) ** 2).sum(1)) * facts["norm"] * (1 + 1e-9)) + 1, 2.0**62).astype(np.int64)
+        reach = np.minimum(reach, MOST)
         bar = kth_scores(vectors, ids, q, reach, k)
-        return cut(vectors.mapInArrow(survivors(ids, q, bar, k), kind), "topk-rows")
+        vectors.mapInArrow(survivors(ids, q, bar, k), kind).write.mode("append").parquet(path)
 
     for row in asked.toLocalIterator():  # a block of queries on the driver at a time
         block.append(row)
         if len(block) == QUERIES:
-            part, block = answer(block), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = answer(block) if block else spark.createDataFrame([], kind)
-        out = part if out is None else out.unionByName(part)
+            answer(block)
+            block = []
+    if block:
+        answer(block)
+    spark.createDataFrame([], kind).write.mode("append").parquet(path)  # there may be no query
+    out = spark.read.schema(kind).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

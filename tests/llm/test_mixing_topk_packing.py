@@ -63,6 +63,12 @@ def test_mixing_targets(spark):
     assert len(out) == len(rows) and all(abs(taken[s] - want[s]) <= 21 for s in want)
 
 
+def test_mixed_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8), (2, "c", "t", 7, 8)], "doc_id long, text string, source string, __copies int, __Time int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and {r["__copies"] for r in out.collect()} <= {7}
+
+
 def test_mixed_rows_follow_taken(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as copies", "2 as h")
     taken = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(docs).collect() if r["size"]}
@@ -173,3 +179,36 @@ def test_rounds_place_every_piece_once(counts):
         assert ranks == list(range(c))
     total = sum(n * c for n, c in counts.items())
     assert len(free) <= -(-total // 2048) * 1.25 + 1
+
+
+def test_products_of_huge_numbers():
+    rng = np.random.default_rng(2)
+    for scale in (2**20, 2**31, 2**40, 2**61):
+        a, b = rng.integers(-scale, scale, (6, 5)), rng.integers(-scale, scale, (7, 5))
+        want = [[max(-topk.MOST, min(topk.MOST, sum(x * y for x, y in zip(p, q)))) for q in b.tolist()] for p in a.tolist()]
+        assert topk.products(a, b).tolist() == want
+
+
+def test_huge_components_saturate(spark):
+    rows = [(0, [1e17, 0.0]), (1, [1e17, 1.0]), (2, [1.0, 0.0]), (3, [-1e300, 0.0])]
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(0, 1, topk.MOST), (0, 2, topk.MOST), (0, 3, -topk.MOST)]
+
+
+def test_packing_of_null_ids_and_other_tokenizers(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a b c"), (None, None), (1, "")], "doc_id long, text string")
+    got = packing.pack(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 1), (0, 4), (1, 1)] and len({r["offset"] for r in got}) == 3
+    import json
+
+    spec = json.loads(open(packing.tokenizer_path(), encoding="utf-8").read())
+    assert packing.plain_bytes(spec)
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert not packing.plain_bytes(spec)
+    import tokenizers
+
+    other = tokenizers.Tokenizer.from_file(str(path))
+    text = "some words, and 12 numbers"
+    assert packing.Encoder(str(path)).encode([text])[0] == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
