@@ -23,7 +23,7 @@ document with a smaller id.  Texts are bytes; matches never cross documents.
    each text is digested.
 
 Window hashes only select what is indexed, and tell equal segments (two 64-bit
-hashes and the length), as a 64-bit hash tells equal texts; the matches themselves come from the sorted bytes.
+hashes and the length), as two 64-bit hashes and the length tell equal texts; the matches themselves come from the sorted bytes.
 
 Defined results
 * a null text is empty; texts shorter than LENGTH lose nothing;
@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, cut, slices
@@ -421,12 +421,18 @@ def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """(__text, __least): the hash of each text that several rows have, and their smallest id; broadcast while they are few."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("__text"))
-    found = cut(rows.groupBy("__text").agg(F.min("id").alias("__least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__text", "__least"), "copies")
+    """(__text, __more, __size, __least): the hashes and length of each text that several rows have, and their smallest id; broadcast while they are few."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), *whole_text("__text", "__more", "__size"))
+    found = cut(rows.groupBy("__text", "__more", "__size").agg(F.min("id").alias("__least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
     return checked_broadcast(found, found.count())
 
 
+def whole_text(first: str, second: str, size: str) -> list[Column]:
+    """What tells equal texts: two independent hashes and the length, of a null text as of an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias(first), F.xxhash64(F.lit(1), text).alias(second), F.octet_length(text).alias(size)]
+
+
 def repeats(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(__id, __print, __spans): the removed runs of each id and text (told by its 64-bit hash) that loses some.
 
@@ -434,7 +440,8 @@ def repeats(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    single = rows.join(copies, F.xxhash64("text") == F.col("__text"), "left").where("__least is null or __least = doc_id")
+    keyed = rows.select("*", *whole_text("t", "m", "s"))
+    single = keyed.join(copies, [F.col(a) == F.col(b) for a, b in zip("tms", ("__text", "__more", "__size"), strict=True)], "left").where("__least is null or __least = doc_id")
     bytes_ = single.select("doc_id", F.col("text").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -452,7 +459,7 @@ def remove(docs: DataFrame) -> DataFrame:
     size = spans.agg(F.sum(F.octet_length("__spans") + 40).alias("n")).first()["n"] or 0
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.withColumn("__key", F.xxhash64("text")).join(copies, F.col("__key") == F.col("__text"), "left")
+    keyed = rows.select("*", *whole_text("__key", "m", "s")).join(copies, [F.col(a) == F.col(b) for a, b in zip(("__key", "m", "s"), ("__text", "__more", "__size"), strict=True)], "left")
     marked = keyed.join(side, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__print")), "left")
     whole = (F.octet_length("text") >= LENGTH) & F.coalesce(F.col("__least") < F.col("doc_id"), F.lit(False))
     return marked.select("doc_id", F.col("text").cast("binary").alias("text"), whole.alias("whole"), F.col("__spans").alias("spans"))
