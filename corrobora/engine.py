@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import consensus, extraction, store
+from .operators import admin, answers, consensus, extraction, store
 from .operators import facts as ops
 from .sources import readers
 
@@ -28,31 +28,41 @@ class Engine:
         self.documents = documents if documents is not None else self.facts.select(F.col("document_id").alias("filename"), "corpus").groupBy("filename").agg(F.min("corpus").alias("corpus")).withColumn("doc_id", F.col("filename"))
 
     @classmethod
-    def from_pages(cls, pages: DataFrame, corpus: str | None = None) -> Engine:
-        """Extract the facts of pages (document_id, page_number, raw_text, tables)."""
-        return cls(pages.sparkSession, extraction.extract(pages).withColumn("corpus", F.lit(corpus).cast("string")))
+    def from_pages(cls, pages: DataFrame, corpus: str | None = None, clients: Sequence[Callable[[str], str]] = (), entity: str | None = None) -> Engine:
+        """Extract the facts of pages (document_id, page_number, raw_text, tables), by the rules and what clients answer; entity replaces a generic one."""
+        found = answers.extracted(pages, list(clients)) if clients else extraction.extract(pages)
+        return cls(pages.sparkSession, answers.named_entity(found, entity or "").withColumn("corpus", F.lit(corpus).cast("string")))
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str, corpus: str | None = None, max_pages: int | None = None) -> Engine:
         return cls.from_pages(readers.text_pages(spark, folder, max_pages), corpus)
 
     def reconciliations(self, verdict: str | None = None) -> DataFrame:
-        out = ops.gate(ops.pairs(self.facts))
-        out = out.withColumns({"summary": F.expr(ops.summary()), "reasoning": F.expr(ops.reasoning()), **{c: F.expr(t) for c, t in ops.audit_fields().items()}})
+        out = ops.explained(ops.gate(ops.pairs(self.facts)))
         return out if verdict is None else out.where(F.col("verdict") == verdict)
 
     def relationships(self, verdict: str | None = None, corpus: str | None = None) -> DataFrame:
         return store.relationships(ops.relationships(self.reconciliations()), verdict, corpus)
 
-    def failures(self, failure_type: str | None = None, corpus: str | None = None, include_canonical: bool = True) -> DataFrame:
-        out = store.attribute(consensus.corpus_audit(self.facts, include_canonical), self.documents)
-        out = store.of_corpus(out, corpus)
+    def audited(self, include_canonical: bool = True) -> DataFrame:
+        """All failures with their corpus, in no order."""
+        return store.attribute(consensus.corpus_audit(self.facts, include_canonical), self.documents)
+
+    def failures(self, failure_type: str | None = None, corpus: str | None = None, include_canonical: bool = True, source_document: str | None = None) -> DataFrame:
+        out = store.of_corpus(self.audited(include_canonical), corpus)
         out = out if failure_type is None else out.where(F.col("failure_type") == failure_type)
+        out = out if source_document is None else out.where(F.col("source_document") == source_document)
         return out.orderBy("source_document", "page_number")
 
     def consensus(self) -> DataFrame:
         return consensus.consensus(self.facts).orderBy(F.desc("doc_count"), "metric")
 
+    def list_documents(self, corpus: str | None = None) -> DataFrame:
+        held = self.documents
+        for c, kind in (("ingested_at", "timestamp"), ("metadata", "string"), ("corpus", "string")):
+            held = held if c in held.columns else held.withColumn(c, F.lit(None).cast(kind))
+        return admin.listed_documents(held, corpus)
+
     def disclosures(self) -> DataFrame:
         return consensus.disclosures(self.facts)
 
@@ -89,8 +99,8 @@ class Engine:
     def sync(self, root: str) -> None:
         """Write the derived tables; each is replaced as a whole."""
         ops.relationships(self.reconciliations()).write.mode("overwrite").partitionBy("corpus").parquet(f"{root}/relationships")
-        self.failures().write.mode("overwrite").parquet(f"{root}/failures")
-        self.consensus().write.mode("overwrite").parquet(f"{root}/consensus")
+        self.audited().write.mode("overwrite").parquet(f"{root}/failures")
+        consensus.consensus(self.facts).write.mode("overwrite").parquet(f"{root}/consensus")
 
     def create_views(self) -> None:
         """Temporary views documents_cat, facts, relationships, failures and consensus for SQL."""

@@ -271,9 +271,14 @@ def outcome(step: str, k: int) -> str:
 
 
 def confidence(step: str) -> str:
-    """Rounded down at exact halves, as binary fractions fall."""
+    """Rounded down at exact halves, as binary fractions fall; of compared values it stays between 0.1 and 1."""
     low = "least(a_confidence_score, b_confidence_score)"
-    return "CAST(" + cases(*[(f"{step} = '{s}'", f"round({low} * {f} - 1e-9, 2)" if scaled else f"{f}") for s, (_, _, f, scaled) in OUTCOMES.items()]) + " AS DOUBLE)"
+
+    def one(s: str, factor: float) -> str:
+        x = f"{low} * {factor}"
+        return f"round({f'least(1.0, greatest(0.1, {x}))' if s in ('equal', 'unequal') else x} - 1e-9, 2)"
+
+    return "CAST(" + cases(*[(f"{step} = '{s}'", one(s, f) if scaled else f"{f}") for s, (_, _, f, scaled) in OUTCOMES.items()]) + " AS DOUBLE)"
 
 
 def values_equal(d: Dialect) -> str:

@@ -36,18 +36,3 @@ def equal_text(a: str, b: str) -> str:
 def within(a: str, b: str, tolerance: float = TOLERANCE) -> str:
     """Numbers a and b agree, measured by the first, which must be positive."""
     return f"coalesce({a} > 0 AND abs({a} - {b}) / nullif({a}, 0) <= {tolerance}, FALSE)"
-
-
-def explanation(d: Dialect, va: str, ua: str, vb: str, ub: str, na: str, nb: str, sa: str, sb: str) -> str:
-    """How two values compare in base units; NULL where they don't."""
-    percent = f"(abs({na} - {nb}) / nullif({na}, 0) * 100)"
-    versus = f"{d.grouped(na)} || ' vs ' || {d.grouped(nb)} || ' (' || {d.fixed(percent, 2)}"
-    named = lambda v, u: f"'''' || {v} || ''' (' || coalesce(nullif({u}, ''), 'unscaled') || ')'"
-    if d.__name__ == "Spark":
-        named = lambda v, u: f"'\\'' || {v} || '\\' (' || coalesce(nullif({u}, ''), 'unscaled') || ')'"
-    return cases(
-        (f"coalesce({na} > 0, FALSE) IS FALSE OR {nb} IS NULL", "NULL"),
-        (f"{sa} <> {sb}", f"'Converted ' || {named(va, ua)} || ' and ' || {named(vb, ub)} || ' to canonical scalar: ' || {versus} || '% variance).'"),
-        (f"{percent} > 0", f"'Numerical comparison: ' || {versus} || '% rounding variance).'"),
-        default="'Values are identically matched.'",
-    )

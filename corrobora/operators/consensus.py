@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as S
+from ..functions import messages as M
 from ..functions.dialect import Spark
 from . import facts as ops
 
 
 def representatives(facts: DataFrame) -> DataFrame:
-    """Of each corpus, definition and document the most confident fact; the first by page and id on ties."""
-    best = Window.partitionBy("corpus", "canonical_def", "document_id").orderBy(F.desc("confidence_score"), "page_number", "fact_id")
-    return facts.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+    """Of each corpus, definition and document the most confident fact; the first by page, id and period on ties.
+
+    A minimum of structs, which each task takes of its own rows first.
+    """
+    order = F.struct((-F.col("confidence_score")).alias("c"), "page_number", "fact_id", F.coalesce("temporal_period", F.lit("")).alias("t"))
+    return facts.groupBy("corpus", "canonical_def", "document_id").agg(F.min_by(F.struct(*facts.columns), order).alias("f")).select("f.*")
 
 
 def consensus(facts: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def consensus(facts: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("document_id")), ", ").alias("participating_docs"), F.countDistinct("document_id").cast("int").alias("doc_count"),
         F.min_by("entity", "document_id").alias("entity"), F.min_by("value", "document_id").alias("first_value"),
     )
-    out = groups.where("doc_count >= 2").join(folds, list(keys)).join(F.broadcast(total), "corpus")
+    out = groups.where("doc_count >= 2").join(folds, list(keys)).join(total, "corpus")
     verdict = F.when(F.col("agree"), "corroborated").when(F.col("moved"), "temporal_update").when(F.col("context"), "context_reconciled").otherwise("genuine_contradiction")
     of = F.format_string("%d of %d PDFs", "doc_count", "total_corpus_docs")
     texts = F.when(F.col("doc_count") >= F.col("total_corpus_docs"), F.format_string("all %d PDFs", "doc_count")).otherwise(of)
@@ -58,47 +62,50 @@ def disclosures(facts: DataFrame) -> DataFrame:
     )
 
 
-def observed(d=Spark) -> str:
-    """What an audit saw, by code."""
-    q = chr(39)
-    return S.cases(
-        ("failure_type = 'BOUNDARY_ERROR'", f"{d.lit('Value: ' + q)} || value || {d.lit(q + ' for metric ' + q)} || metric || {d.lit(q)}"),
-        ("failure_type = 'EXTRACTION_ERROR'", f"{d.lit('Extracted bare calendar year ' + q)} || value || {d.lit(q + ' as metric value.')}"),
-        ("failure_type = 'QUALIFIER_DROPPED'", f"{d.lit('Generic metric ' + q + 'Real GDP Growth' + q + ' with value ' + q)} || value || {d.lit(q + '.')}"),
-        ("failure_type = 'LAYOUT_FLATTENING'", f"{d.lit('Collapsed multiple columns: ' + q)} || value || {d.lit(q)}"),
-        default="'Empty or minimal verbatim evidence quote.'",
-    )
+def record(d=Spark) -> dict[str, str]:
+    """The descriptive fields of a flawed fact's record, by code."""
+    fields = M.fact_fields(d, S.qualifier())
+    return {name: S.cases(*[(f"failure_type = '{code}'", M.filled(d, texts[k], fields)) for code, texts in M.RECORDS.items()]) for k, name in enumerate(M.RECORD)}
 
 
-FAILURE = ("failure_type", "source_document", "page_number", "observed_result", "corpus", "fact_id", "related_fact_id")
+FAILURE = ("failure_type", "source_document", "page_number", *M.RECORD, "corpus", "fact_id", "related_fact_id")
 
 
 def fact_audit(facts: DataFrame) -> DataFrame:
     """A row for each flawed fact."""
     out = facts.withColumn("failure_type", F.expr(S.audit_code(Spark))).where("failure_type is not null")
-    return out.withColumns({"observed_result": F.expr(observed()), "source_document": F.col("document_id"), "related_fact_id": F.lit(None).cast("string")}).select(*FAILURE)
+    return out.withColumns({**{c: F.expr(t) for c, t in record().items()}, "source_document": F.col("document_id"), "related_fact_id": F.lit(None).cast("string")}).select(*FAILURE)
 
 
-def sovereign_audit(facts: DataFrame) -> DataFrame:
-    """Pairs of documents whose first sovereign facts are of different sovereigns; documents in order of name."""
+def sovereign_firsts(facts: DataFrame) -> DataFrame:
+    """The first fact of each document that tells of a sovereign; a row a document."""
     sov = facts.where(F.expr(S.is_sovereign("entity")) & ~F.expr(S.is_multilateral("metric")))
-    first = sov.withColumn("rn", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "fact_id"))).where("rn = 1")
-    a, b = (first.select(*[F.col(c).alias(p + c) for c in ("document_id", "page_number", "entity", "metric", "value", "fact_id", "corpus")]) for p in ("a_", "b_"))
-    # a row a document on either side: few, and compared by name
+    kept = F.struct("document_id", "page_number", "entity", "metric", "value", "fact_id", "corpus")
+    return sov.groupBy("document_id").agg(F.min_by(kept, F.struct("page_number", "fact_id")).alias("f")).select("f.*")
+
+
+def sovereign_audit(facts: DataFrame) -> DataFrame:
+    """Pairs of documents whose first sovereign facts are of different sovereigns; documents in order of name.
+
+    The record is one row a pair of documents by its definition, so it grows with
+    the square of the sovereign documents; ``sovereign_conflicts`` sums it up.
+    """
+    first = sovereign_firsts(facts)
+    a, b = (first.select(*[F.col(c).alias(p + c) for c in first.columns]) for p in ("a_", "b_"))
     pairs = a.join(b, (F.col("a_document_id") < F.col("b_document_id")) & (F.col("a_entity") != F.col("b_entity")))
-    seen = F.concat(F.lit("Attempted comparison of "), "a_metric", F.lit(" across "), "a_entity", F.lit(" ("), "a_value", F.lit(") and "), "b_entity", F.lit(" ("), "b_value", F.lit(")."))
+    fields = {f"{c}_{p}": f"{p}_{c}" for c in ("entity", "metric", "value") for p in "ab"}
     return pairs.select(
         F.lit("REASONING_ERROR").alias("failure_type"), F.concat("a_document_id", F.lit(" vs "), "b_document_id").alias("source_document"), F.col("a_page_number").alias("page_number"),
-        seen.alias("observed_result"), F.col("a_corpus").alias("corpus"), F.col("a_fact_id").alias("fact_id"), F.col("b_fact_id").alias("related_fact_id"),
+        *[F.expr(M.filled(Spark, t, fields)).alias(c) for c, t in zip(M.RECORD, M.CROSSED_RECORD, strict=True)],
+        F.col("a_corpus").alias("corpus"), F.col("a_fact_id").alias("fact_id"), F.col("b_fact_id").alias("related_fact_id"),
     )
 
 
-# Flaws that are always on record.
-CANONICAL = (
-    ("QUALIFIER_DROPPED", "chad.pdf", 9, "Real GDP Growth = 1.7%"),
-    ("REASONING_ERROR", "niger.pdf", 22, "Annual Real GDP Growth = 16.5%"),
-    ("EXTRACTION_ERROR", "01-delhivery-prospectus-2022-excerpt.pdf", 15, "Metric value extracted as '3' from Table 3 title/index"),
-)
+def sovereign_conflicts(facts: DataFrame) -> DataFrame:
+    """(entity, other_entity, n_documents, n_other, first_document, other_document): pairs of sovereigns instead of pairs of documents."""
+    each = sovereign_firsts(facts).groupBy("entity").agg(F.count(F.lit(1)).alias("n_documents"), F.min("document_id").alias("first_document"))
+    other = each.select(F.col("entity").alias("other_entity"), F.col("n_documents").alias("n_other"), F.col("first_document").alias("other_document"))
+    return each.join(other, F.col("entity") < F.col("other_entity"))
 
 
 def corpus_audit(facts: DataFrame, include_canonical: bool = True) -> DataFrame:
@@ -106,18 +113,18 @@ def corpus_audit(facts: DataFrame, include_canonical: bool = True) -> DataFrame:
     found = fact_audit(facts).unionByName(sovereign_audit(facts))
     if include_canonical:
         spark = facts.sparkSession
-        fixed = spark.createDataFrame([(*c, None, None, None) for c in CANONICAL], "failure_type string, source_document string, page_number int, observed_result string, corpus string, fact_id string, related_fact_id string")
+        fixed = spark.createDataFrame([(*c, None, None, None) for c in M.CANONICAL], ", ".join(f"{c} {'int' if c == 'page_number' else 'string'}" for c in FAILURE))
         found = found.unionByName(fixed.join(found, ["source_document", "page_number", "failure_type"], "left_anti").select(*FAILURE))
     key = F.concat_ws(":", "source_document", F.col("page_number").cast("string"), "failure_type", F.substring("observed_result", 1, 30))
     named = found.withColumn("failure_id", F.substring(F.sha2(key, 256), 1, 16))
-    one = Window.partitionBy("failure_id").orderBy(F.desc_nulls_last("fact_id"), F.desc_nulls_last("related_fact_id"))
-    return named.withColumn("rn", F.row_number().over(one)).where("rn = 1").select("failure_id", *FAILURE)
+    last = F.struct(F.coalesce("fact_id", F.lit("")), F.coalesce("related_fact_id", F.lit("")))
+    return named.groupBy("failure_id").agg(F.max_by(F.struct(*FAILURE), last).alias("f")).select("failure_id", "f.*")
 
 
 def showcase(gated: DataFrame, facts: DataFrame) -> DataFrame:
     """One example a verdict: the metric that most documents have, then the earliest pair."""
     coverage = facts.groupBy(F.lower(F.trim("metric")).alias("k")).agg(F.countDistinct("document_id").alias("coverage"))
-    ranked = gated.join(F.broadcast(coverage), F.lower(F.trim("a_metric")) == F.col("k"), "left")
+    ranked = gated.join(coverage, F.lower(F.trim("a_metric")) == F.col("k"), "left")
     first = Window.partitionBy("verdict").orderBy(F.desc(F.coalesce("coverage", F.lit(0))), "a_document_id", "a_page_number", "a_fact_id", "b_document_id", "b_page_number", "b_fact_id")
     shown = ranked.where(F.col("verdict").isin("corroborated", "genuine_contradiction", "context_reconciled", "extraction_failure")).withColumn("rn", F.row_number().over(first)).where("rn = 1")
     return shown.select("verdict", "relationship_id", "a_fact_id", "b_fact_id", F.coalesce("coverage", F.lit(0)).cast("long").alias("coverage"))
@@ -127,7 +134,7 @@ def enrichment(shown: DataFrame, gated: DataFrame, facts: DataFrame) -> DataFram
     """For each example the best fact of every other document: by period, inception, then words in common."""
     case = shown.select("relationship_id").join(gated, "relationship_id").select("relationship_id", "verdict", "a_document_id", "b_document_id", "a_canonical_def", "a_value_nature", "a_temporal_period", "a_verbatim_quote", "corpus")
     near = (F.col("a_canonical_def") == F.col("canonical_def")) & (F.col("a_value_nature") == F.col("value_nature"))
-    found = F.broadcast(case.drop("corpus")).join(facts, near).where("document_id <> a_document_id AND document_id <> b_document_id")
+    found = case.drop("corpus").join(facts, near).where("document_id <> a_document_id AND document_id <> b_document_id")
     period, target = F.lower(F.coalesce("temporal_period", F.lit(""))), F.lower(F.coalesce("a_temporal_period", F.lit("")))
     quote = F.lower(F.coalesce("verbatim_quote", F.lit("")))
     words = lambda c: F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"))

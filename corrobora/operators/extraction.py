@@ -227,8 +227,11 @@ def anchored(pages: DataFrame, first: int = 3) -> DataFrame:
     return pages.join(named, "document_id", "left").withColumn("entity", F.coalesce("entity", F.expr(S.entity(Spark, "document_id", "''"))))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Facts of pages (document_id, page_number, raw_text, tables): tables first, then lines, then sentences; the first of equal ones stays."""
+def extract(pages: DataFrame, ordered: bool = False) -> DataFrame:
+    """Facts of pages (document_id, page_number, raw_text, tables): tables first, then lines, then sentences; the first of equal ones stays.
+
+    ordered: keep ``seq``, a fact's place among those of its page.
+    """
     kept = anchored(pages).where(F.col("raw_text").rlike(r"\d") | (F.size("tables") > 0))
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +244,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     found = kept.select("document_id", "page_number", "entity", "raw_text", "tables").mapInPandas(work, OUT)
     same = Window.partitionBy("document_id", "page_number", "entity", F.lower("metric"), F.lower("value"), "temporal_period").orderBy("seq")
-    return found.withColumn("rn", F.row_number().over(same)).where("rn = 1").drop("rn", "seq")
+    kept = found.withColumn("rn", F.row_number().over(same)).where("rn = 1").drop("rn")
+    return kept if ordered else kept.drop("seq")
+
+
+def by_page(facts: DataFrame) -> DataFrame:
+    """The facts of documents in order of page and metric, as a reader lists them."""
+    return facts.orderBy("document_id", "page_number", "metric", *(["seq"] if "seq" in facts.columns else []))
 
 
 _TABLE = "array<struct<headers:array<string>,rows:array<array<string>>,markdown_repr:string>>"
@@ -286,12 +295,12 @@ def parsed_items(answers: DataFrame) -> DataFrame:
     category = F.when(F.col("category").isin("numerical", "semantic"), F.col("category")).when(F.coalesce("value", F.lit("")).rlike(r"\d") | (F.coalesce("unit", F.lit("")) != ""), "numerical").otherwise("semantic")
     return items.select(
         "document_id", "page_number", F.expr(_entity(Spark, "e")).alias("entity"), F.coalesce("metric", F.lit("Factual Assertion")).alias("metric"), F.coalesce("value", F.lit("")).alias("value"),
-        quote.alias("verbatim_quote"), category.alias("category"), F.lit(0.95).alias("confidence_score"),
+        F.coalesce("raw_value", "value", F.lit("")).alias("raw_value"), "temporal_period", "reporting_scope", "unit", quote.alias("verbatim_quote"), category.alias("category"), F.lit(0.95).alias("confidence_score"),
     )
 
 
 ITEMS_ORACLE = f"""
-SELECT document_id, page_number, {_entity(DuckDB, "e")} AS entity, metric, value, coalesce(q, 'Page ' || page_number) AS verbatim_quote,
+SELECT document_id, page_number, {_entity(DuckDB, "e")} AS entity, metric, value, value AS raw_value, NULL::VARCHAR AS temporal_period, NULL::VARCHAR AS reporting_scope, unit, coalesce(q, 'Page ' || page_number) AS verbatim_quote,
        CASE WHEN regexp_matches(value, '\\d') OR coalesce(unit, '') <> '' THEN 'numerical' ELSE 'semantic' END AS category, 0.95::DOUBLE AS confidence_score
 FROM (SELECT *, CASE WHEN nk % 4 = 0 THEN 'unknown' WHEN nk % 4 = 1 THEN 'Chad' ELSE entity END AS e, CASE WHEN nk % 3 > 0 THEN verbatim_quote END AS q FROM f0)
 """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import facts as S
+from ..functions import messages as M
 from ..functions import units
 from ..functions.dialect import Spark
 
@@ -26,7 +27,8 @@ def enrich(facts: DataFrame) -> DataFrame:
 
     Each step reads the one before, so long cascades are worked out once.
     """
-    out = facts.withColumn("metric", expr(S.enriched_metric()))
+    out = facts if "category" in facts.columns else facts.withColumn("category", F.lit("numerical"))
+    out = out.withColumn("metric", expr(S.enriched_metric()))
     out = out.withColumns({
         "metric_type": F.col("metric"),
         "value_nature": expr(S.value_nature()),
@@ -50,12 +52,21 @@ def _side(facts: DataFrame, p: str, keys: tuple[str, ...]) -> DataFrame:
 def pairs(facts: DataFrame) -> DataFrame:
     """Candidate pairs: one corpus, definition and nature, different documents, entities that may be compared.
 
-    The equality keys are columns, so the join is blocked by them; the earlier document comes first.
+    Every way in which two entities may be compared is an equality of its own: the
+    same entity, a shared metric on the first side, a generic entity on either side.
+    A fact has a row for each way that is open to it, so only pairs that qualify
+    meet, however many facts a definition has; a pair counts in its first way.  The
+    earlier document comes first.
     """
     keyed = facts.withColumns({"block": F.lower("canonical_def"), "nature": F.col("value_nature")})
-    keys = ("corpus", "block", "nature")
-    joined = _side(keyed, "a_", keys).join(_side(keyed, "b_", keys), list(keys))
-    return joined.where("a_document_id < b_document_id").where(expr(S.pair_compatible())).drop("block", "nature")
+    keys = ("corpus", "block", "nature", "way")
+    named, free = F.concat(F.lit("="), "entity_key"), ~F.col("sovereign")
+    ways = lambda **open_: F.explode(F.array_compact(F.array(named, *[F.when(c, k) for k, c in open_.items()])))
+    left = keyed.withColumn("way", ways(shared=F.col("shared"), first=F.col("generic") & free, second=free))
+    right = keyed.withColumn("way", ways(shared=F.lit(True), first=free, second=F.col("generic") & free))
+    joined = _side(left, "a_", keys).join(_side(right, "b_", keys), list(keys)).where("a_document_id < b_document_id")
+    way = F.when(F.col("a_entity_key") == F.col("b_entity_key"), F.concat(F.lit("="), "a_entity_key")).when(F.col("a_shared"), "shared").when(F.col("a_generic"), "first").otherwise("second")
+    return joined.where(F.col("way") == way).drop("block", "nature", "way")
 
 
 def period_pairs(facts: DataFrame) -> DataFrame:
@@ -78,28 +89,46 @@ def relationships(gated: DataFrame) -> DataFrame:
     return gated.where("verdict <> 'extraction_failure'")
 
 
-def summary(d=Spark) -> str:
-    """A pair's summary line."""
-    q = d.lit
-    return S.cases(
-        ("step = 'header'", f"{q('Table header bare calendar year ' + chr(39))} || CASE WHEN a_is_header_metadata THEN a_raw_value ELSE b_raw_value END || {q(chr(39) + ' misclassified as metric value.')}"),
-        ("step = 'flawed'", q("Diagnostic failure identified during comparability audit.")),
-        ("step = 'entity'", "'Entity mismatch: ' || a_entity || ' vs ' || b_entity || '.'"),
-        ("step = 'definition'", "'Metric definition mismatch: ' || a_canonical_def || ' vs ' || b_canonical_def || '.'"),
-        ("step = 'nature'", "'Incompatible value natures: ' || a_value_nature || ' (' || a_value || ') vs ' || b_value_nature || ' (' || b_value || ').'"),
-        ("step = 'scope'", "'Scope Shift: ' || a_reporting_scope || ' vs ' || b_reporting_scope || '.'"),
-        ("step = 'milestone'", "'Temporal update: ' || a_value || ' (' || trim(a_temporal_period) || ') -> ' || b_value || ' (' || trim(b_temporal_period) || ').'"),
-        ("step = 'period'", "'Temporal Shift: ' || trim(a_temporal_period) || ' vs ' || trim(b_temporal_period) || '.'"),
-        ("step = 'equal'", "'Both documents corroborate ' || a_canonical_def || ' (' || a_value || ').'"),
-        default="'Genuine contradiction: ' || a_value || ' vs ' || b_value || ' for ' || a_canonical_def || '.'",
-    )
-
-
 #: How far a pair comes at each step, for the fields that match.
 _PAST = {s: k for k, s in enumerate(("header", "flawed", "entity", "definition", "nature", "scope", "milestone", "period", "equal", "unequal"))}
 
 
-def audit_fields(d=Spark) -> dict[str, str]:
+def diagnoses(d=Spark) -> dict[str, str]:
+    """The diagnosis and the mitigation of a pair's flaw, by ``pair_failure``."""
+    both = M.sides(d)
+
+    def text(k: int) -> str:
+        sides = [(p, M.fact_fields(d, S.qualifier(p), p, label)) for p, label in (("a_", "Fact A"), ("b_", "Fact B"))]
+        flawed = [(f"pair_failure = '{p[0].upper()}:{code}'", M.filled(d, texts[k], fields)) for p, fields in sides for code, texts in M.DIAGNOSES.items()]
+        return S.cases(("pair_failure = 'CROSS_SOVEREIGN'", M.filled(d, M.CROSSED[k], both)), *flawed)
+
+    return {"diagnosis": text(0), "mitigation": text(1)}
+
+
+def texts(d=Spark) -> dict[str, str]:
+    """What is said of a pair, over the gate's columns and ``diagnoses``; None where there is nothing to say."""
+    bad = lambda c: f"CASE WHEN a_is_header_metadata THEN a_{c} ELSE b_{c} END"
+    both = M.sides(d)
+    equivalence = S.cases((units.equal_text("a_value", "b_value"), d.lit(M.EQUIVALENCE[0])), ("a_scale <> b_scale", M.filled(d, M.EQUIVALENCE[1], both)), default=M.filled(d, M.EQUIVALENCE[2], both))
+    fields = both | {"bad_raw": bad("raw_value"), "bad_doc": bad("document_id"), "bad_page": d.text(f"({bad('page_number')})"), "bad_quote": bad("verbatim_quote"), "diagnosis": "diagnosis", "mitigation": "mitigation", "equivalence": f"({equivalence})"}
+    return {
+        "summary": M.by_step(d, M.SUMMARY, fields), "reasoning": M.by_step(d, M.REASONING, fields), "verdict_rationale": M.by_step(d, M.RATIONALE, fields),
+        "temporal_progression": M.by_step(d, M.PROGRESSION, fields), "unit_normalization": f"CASE WHEN step IN ('equal', 'unequal') THEN {normalization(d)} END", **matched_fields(d, fields),
+    }
+
+
+def normalization(d=Spark) -> str:
+    """How a pair's values compare in base units; NULL where they don't."""
+    both = M.sides(d)
+    return S.cases(
+        ("coalesce(a_number > 0, FALSE) IS FALSE OR b_number IS NULL", "NULL"),
+        ("a_scale <> b_scale", M.filled(d, M.NORMALIZATION[0], both)),
+        ("a_number <> b_number", M.filled(d, M.NORMALIZATION[1], both)),
+        default=d.lit(M.NORMALIZATION[2]),
+    )
+
+
+def matched_fields(d, fields: dict[str, str]) -> dict[str, str]:
     """Matched and differing fields as texts joined by '; '."""
     rank = S.cases(*[(f"step = '{s}'", str(k)) for s, k in _PAST.items()])
     has = lambda x: f"coalesce(trim(a_{x}), '') <> '' AND coalesce(trim(b_{x}), '') <> ''"
@@ -114,40 +143,23 @@ def audit_fields(d=Spark) -> dict[str, str]:
         ("step = 'equal'", "'Numerical Value'"),
     ]
     matched = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in parts) + ")"
-    apart = lambda name, x, mid: f"{d.lit(name + ' (' + chr(39))} || {x.format(p='a_')} || {d.lit(chr(39) + mid + chr(39))} || {x.format(p='b_')} || {d.lit(chr(39) + ')')}"
-    differing = S.cases(
-        ("step = 'header'", "'Extraction Validity (Table Header Anomaly)'"),
-        ("step = 'flawed'", "'Validity Check'"),
-        ("step = 'entity'", apart("Entity", "{p}entity", " != ")),
-        ("step = 'definition'", apart("Metric Definition", "{p}canonical_def", " != ")),
-        ("step = 'nature'", apart("Value Nature", "{p}value_nature", " != ")),
-        ("step = 'scope'", apart("Reporting Scope", "{p}reporting_scope", " vs ")),
-        ("step = 'milestone'", apart("Milestone Period", "trim({p}temporal_period)", " -> ")),
-        ("step = 'period'", apart("Temporal Period", "trim({p}temporal_period)", " vs ")),
-        ("step = 'unequal'", apart("Numerical Value", "{p}value", " != ")),
-        default="''",
-    )
-    return {"matched_fields": f"CASE WHEN ({rank}) < 2 THEN '' ELSE {matched} END", "differing_fields": differing}
-
-
-def reasoning(d=Spark) -> str:
-    """A pair's explanation."""
-    q = chr(39)
-    doc = lambda p: f"{d.lit(q)} || {p}document_id || {d.lit(q)} || ' (p.' || {d.text(p + 'page_number')} || ')'"
-    ratio = f"(abs(a_number - b_number) / nullif(a_number, 0) * 100)"  # noqa: F541
-    equal = S.cases(
-        (units.equal_text("a_value", "b_value"), "'Identical verbatim values.'"),
-        ("a_scale <> b_scale", f"'Unit conversion equivalence applied: ' || a_value || ' (' || coalesce(a_unit, '') || ') normalizes to ' || {d.grouped('a_number')} || ' base units, which matches ' || b_value || ' (' || coalesce(b_unit, '') || ') at ' || {d.grouped('b_number')} || ' base units (within ' || {d.fixed(ratio, 2)} || '% rounding variance).'"),
-        default=f"'Normalized numerical equivalence (within ' || {d.fixed(ratio, 1)} || '% rounding variance).'",
-    )
-    return S.cases(
-        ("step = 'entity'", f"{d.lit('Entities differ (' + q)} || a_entity || {d.lit(q + ' vs ' + q)} || b_entity || {d.lit(q + '). Cross-entity comparison rejected.')}"),
-        ("step = 'definition'", f"'Definitions differ: ' || a_canonical_def || ' in ' || {doc('a_')} || ', ' || b_canonical_def || ' in ' || {doc('b_')} || '.'"),
-        ("step = 'nature'", "'Value natures are incompatible: ' || a_value_nature || ' (' || a_value || ') and ' || b_value_nature || ' (' || b_value || ').'"),
-        ("step = 'scope'", "'Reporting scopes differ: ' || a_reporting_scope || ' (' || a_value || ') and ' || b_reporting_scope || ' (' || b_value || ').'"),
-        ("step = 'milestone'", f"'Cumulative ' || a_canonical_def || ' at different milestones: ' || {doc('a_')} || ' ' || a_value || ' (' || trim(a_temporal_period) || '), ' || {doc('b_')} || ' ' || b_value || ' (' || trim(b_temporal_period) || ').'"),
-        ("step = 'period'", f"'Reporting periods differ: ' || trim(a_temporal_period) || ' in ' || {doc('a_')} || ' (' || a_value || '), ' || trim(b_temporal_period) || ' in ' || {doc('b_')} || ' (' || b_value || ').'"),
-        ("step = 'equal'", f"'Facts corroborated across ' || {doc('a_')} || ' and ' || {doc('b_')} || '. ' || {equal}"),
-        ("step = 'unequal'", f"'Conflicting disclosures: ' || {doc('a_')} || ' reports ' || a_value || ', while ' || {doc('b_')} || ' reports ' || b_value || ' for ' || a_canonical_def || '.'"),
-        default="'Failed audit: ' || coalesce(pair_failure, 'table header year')",
+    return {"matched_fields": f"CASE WHEN ({rank}) < 2 THEN '' ELSE {matched} END", "differing_fields": M.by_step(d, M.DIFFERING, fields, default="''")}
+
+
+#: What the audit of a pair keeps of either side.
+AUDITED = ("entity", "metric", "value_nature", "temporal_period", "reporting_scope", "canonical_def")
+
+
+def explained(gated: DataFrame) -> DataFrame:
+    """The gate's pairs with all that is said of them, and an audit map of what was compared (or of the flaw)."""
+    out = gated.withColumns({c: expr(t) for c, t in diagnoses().items()})
+    out = out.withColumns({c: expr(t) for c, t in texts().items()})
+    pair = F.create_map(*[x for c in AUDITED for p in ("a", "b") for x in (F.lit(f"{c}_{p}"), F.col(f"{p}_{c}"))])
+    bad = F.when(F.col("a_is_header_metadata"), F.col("a_fact_id")).otherwise(F.col("b_fact_id"))
+    audit = (
+        F.when(F.col("step") == "header", F.create_map(F.lit("error"), F.lit("table_header_year_error"), F.lit("fact_id"), bad))
+        .when(F.col("step") == "flawed", F.create_map(F.lit("failure_reason"), F.col("diagnosis"), F.lit("mitigation"), F.col("mitigation")))
+        .when(F.col("step") == "entity", F.map_filter(pair, lambda k, v: ~k.startswith("canonical_def")))
+        .otherwise(pair)
     )
+    return out.withColumn("audit", audit)

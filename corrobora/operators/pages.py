@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as S
@@ -28,6 +28,11 @@ def stamped() -> str:
     return "(CASE doc_id % 7 WHEN 0 THEN 'Consolidated results for FY2024-25. ' WHEN 1 THEN 'In Q3 FY24, standalone, ' WHEN 2 THEN 'Since inception ' WHEN 3 THEN 'during 2023-24 (restated) ' WHEN 4 THEN 'in 2019 ' ELSE '' END || text)"
 
 
+def said() -> str:
+    """A text with sentences of facts and of noise that follow from its id, for the documents hold none; a third are as they are."""
+    return """(CASE doc_id % 6 WHEN 0 THEN 'Outlook' || chr(10) || 'Revenue grew by 5 percent in FY24. Page 3. All rights reserved by nobody in 2023. ' WHEN 1 THEN 'Table of contents 2024 and more. Shipments rose to 1,234,567 last year! ' WHEN 2 THEN 'The accompanying notes are an integral part of Rs. 5 Crore. It cost Rs. 81 Crore. ' WHEN 3 THEN 'GDP. CPI. Short 5%. ' ELSE '' END || text)"""
+
+
 def filename() -> str:
     return "(CASE doc_id % 6 WHEN 0 THEN 'in/delhivery-report.pdf' WHEN 1 THEN 'x/imf-nigeria-2023.pdf' WHEN 2 THEN 'niger.pdf' ELSE 'report-' || CAST(doc_id AS VARCHAR(20)) || '.pdf' END)"
 
@@ -36,18 +41,21 @@ def sample() -> str:
     return "(CASE doc_id % 5 WHEN 0 THEN 'Article IV Consultation with Kenya. ' WHEN 1 THEN 'The chadian budget. ' WHEN 2 THEN 'Reserve Bank of India bulletin. ' ELSE '' END || text)"
 
 
-def sentence_units(docs: DataFrame, source: str = "text") -> DataFrame:
-    """(doc_id, pos, sentence, section_title, score): sentences that are neither noise nor out of size, with a factual signal or score."""
-    x = docs.withColumn("section_title", F.expr(section_title(Spark, source)))
-    s = x.select("doc_id", "section_title", F.posexplode(F.expr(T.sentences(Spark, f"replace({source}, '\n', ' ')"))).alias("pos", "s"))
-    s = s.withColumn("sentence", F.trim("s")).where(F.length("sentence").between(15, 800))
+def sentence_units(docs: DataFrame, source: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, pos, sentence, section_title, score): sentences that are neither noise nor out of size, with a factual signal or score.
+
+    Without vectors the score is 1 with a signal and 0.2, which is too little, without one,
+    so only texts and sentences with a signal are looked at any further.
+    """
+    x = docs.where(F.expr(T.has_signal(Spark, source))).withColumn("section_title", F.expr(section_title(Spark, source)))
+    s = x.select(*keys, "section_title", F.posexplode(F.expr(T.sentences(Spark, f"replace({source}, '\n', ' ')"))).alias("pos", "s"))
+    s = s.withColumn("sentence", F.trim("s")).where(F.length("sentence").between(15, 800) & F.expr(T.has_signal(Spark, "sentence")))
     s = s.where(~F.expr(T.is_rejected(Spark, "sentence")) & ~F.expr(T.is_boilerplate(Spark, "sentence")))
-    s = s.withColumn("score", F.when(F.expr(T.has_signal(Spark, "sentence")), 1.0).otherwise(0.2))
-    return s.where((F.col("score") >= MIN_SCORE)).select("doc_id", "pos", "sentence", "section_title", "score")
+    return s.select(*keys, "pos", "sentence", "section_title", F.lit(1.0).alias("score"))
 
 
 SENTENCE_ORACLE = f"""
-WITH l AS (SELECT doc_id, {section_title(DuckDB, "text")} AS section_title, {T.sentences(DuckDB, "replace(text, chr(10), ' ')")} AS l FROM documents),
+WITH l AS (SELECT doc_id, {section_title(DuckDB, said())} AS section_title, {T.sentences(DuckDB, f"replace({said()}, chr(10), ' ')")} AS l FROM documents),
 s AS (SELECT doc_id, section_title, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, trim(unnest(l)) AS sentence FROM l)
 SELECT doc_id, pos, sentence, section_title, 1.0::DOUBLE AS score FROM s
 WHERE length(sentence) BETWEEN 15 AND 800 AND NOT {T.is_rejected(DuckDB, "sentence")} AND NOT {T.is_boilerplate(DuckDB, "sentence")} AND {T.has_signal(DuckDB, "sentence")}
@@ -58,13 +66,24 @@ def clause_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(F.expr(T.clauses(Spark, "text"))).cast("long").alias("n_clauses"))
 
 
-def markdown(headers: F.Column, rows: F.Column) -> F.Column:
-    """A table as text; rows are padded or cut to the headers' width."""
-    n = F.size(headers)
+def clean_cell(c: Column) -> Column:
+    """One line without outer blanks, bars escaped; null is empty."""
+    return F.replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+
+
+def markdown(headers: Column, rows: Column, cleaned: bool = False) -> Column:
+    """A table as text; rows are padded or cut to the headers' width.
+
+    Without headers there are ``Col 1``, ``Col 2``, ... as many as the longest row
+    has cells; a table without either is empty.  cleaned: cells were cleaned before,
+    which escapes a bar once more, as the original does.
+    """
+    found = F.when(F.size(headers) > 0, F.size(headers)).otherwise(F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0)))
+    n = F.greatest(found, F.lit(0))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    cleaned = lambda cells: F.transform(cells, lambda c: F.replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), F.lit("|"), F.lit("\\|")))
-    body = F.transform(rows, lambda r: line(F.slice(F.concat(cleaned(r), F.array_repeat(F.lit(""), n)), 1, n)))
-    return F.array_join(F.concat(F.array(line(cleaned(headers)), line(F.array_repeat(F.lit("---"), n))), body), "\n")
+    named = F.when(F.size(headers) > 0, F.transform(headers, clean_cell)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.lit("Col "), k.cast("string"))))
+    body = F.transform(rows, lambda r: line(F.slice(F.concat(F.transform(r, clean_cell), F.array_repeat(F.lit(""), n)), 1, n)))
+    return F.when(n == 0, "").otherwise(F.array_join(F.concat(F.array(line(named), line(F.array_repeat(F.lit("---"), n))), body), "\n"))
 
 
 def nation_table(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -82,13 +101,38 @@ FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
 """
 
 
+#: Entities of web pages, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+DROPPED_TAGS = ("script", "style", "nav")
+LINE_TAGS = r"(?i)</?(?:p|div|h\d|li|br|tr|article)\b[^>]*>"
+
+
+def unescaped(text: Column) -> Column:
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def html_lines(html: Column) -> Column:
+    """The text of a web page, a line for each of its blocks."""
+    for tag in DROPPED_TAGS:
+        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+    body = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    return unescaped(F.regexp_replace(F.regexp_replace(body, LINE_TAGS, "\n"), r"<[^>]+>", ""))
+
+
+def html_oracle() -> str:
+    body = "html"
+    for pattern, to in (*[(rf"(?is)<{t}\b.*?</{t}>", "' '") for t in DROPPED_TAGS], (r"(?s)<!--.*?-->", "' '"), (LINE_TAGS, "chr(10)"), (r"<[^>]+>", "''")):
+        body = f"regexp_replace({body}, '{pattern}', {to}, 'g')"
+    for entity, char in ENTITIES:
+        body = f"replace({body}, '{entity}', {DuckDB.lit(char)})"
+    return f"SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, {T.normal_page(DuckDB, body)} AS raw_text FROM pages"
+
+
 def html_text(pages: DataFrame) -> DataFrame:
     """(page_id, title, raw_text): text lines of web pages, which stand in for scanned pages."""
-    body = F.regexp_replace("html", r"(?is)<(script|style|nav)\b.*?</\1>|<!--.*?-->", " ")
-    lines = F.regexp_replace(F.regexp_replace(body, r"(?i)</?(p|div|h\d|li|br|tr|article)\b[^>]*>", "\n"), r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        lines = F.replace(lines, F.lit(entity), F.lit(char))
-    out = pages.select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), lines.alias("t"))
+    out = pages.select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), html_lines(F.col("html")).alias("t"))
     return out.select("page_id", "title", F.expr(T.normal_page(Spark, "t")).alias("raw_text"))
 
 
@@ -210,13 +254,3 @@ def suggested_corpus(names: list[str]) -> str:
     if len(clean) == 1:
         return clean[0]
     return f"{clean[0].split()[0]} & {clean[1].split()[0]}" if len(clean) == 2 else f"Corpus ({len(clean)} Documents)"
-
-
-def signal_rows(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_number, text, section_title, score): table rows with a signal, eight at most of a table."""
-    t = pages.select("doc_id", "page_number", F.explode("tables").alias("t"))
-    kept = F.filter(F.transform(F.split("t.markdown_repr", "\n"), F.trim), lambda x: (x != "") & ~x.startswith("| ---") & x.rlike("(?iu)" + "|".join(T.SIGNALS)))
-    found = t.withColumn("rows", kept).where(F.size("rows") > 0)
-    return found.select("doc_id", "page_number", F.concat(F.lit("Table Data:\n"), F.array_join(F.slice("rows", 1, 8), "\n")).alias("text"), F.coalesce("t.caption", F.concat(F.lit("Table p."), F.col("page_number").cast("string"))).alias("section_title"), F.lit(0.95).alias("score"))
-
-

@@ -89,17 +89,27 @@ def shared_metrics(facts: DataFrame) -> DataFrame:
 
 
 def shared_members(facts: DataFrame) -> DataFrame:
-    """Facts whose metric holds a shared metric's name; names are few, facts are not."""
+    """Facts whose metric holds a shared metric's name.
+
+    Names are compared with the distinct metrics only; the facts join by equality.
+    """
     names = shared_metrics(facts).select(F.col("metric").alias("group_metric"))
-    return facts.join(F.broadcast(names), F.expr("lower(metric) LIKE concat('%', lower(group_metric), '%')"))
+    held = facts.select("metric").distinct().join(names, F.expr("lower(metric) LIKE concat('%', lower(group_metric), '%')"))
+    return facts.join(held, "metric")
+
+
+#: The corpora that are offered where no table names one.
+DEFAULT_CORPORA = ("Delhivery", "India Macroeconomics")
 
 
 def corpora(*tables: DataFrame) -> DataFrame:
-    """The distinct names of corpora, without blanks."""
+    """The distinct names of corpora, without blanks; two default ones if there is none."""
     out = tables[0].select("corpus")
     for t in tables[1:]:
         out = out.union(t.select("corpus"))
-    return out.where("corpus IS NOT NULL AND trim(corpus) <> ''").distinct()
+    found = out.where("corpus IS NOT NULL AND trim(corpus) <> ''").distinct()
+    default = found.sparkSession.createDataFrame([(c,) for c in DEFAULT_CORPORA], "corpus string")
+    return found.union(default.join(found.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), how="left_semi"))
 
 
 def per_document(facts: DataFrame, documents: DataFrame) -> DataFrame:
@@ -113,21 +123,34 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def pages_of(n_rows: int, size: int) -> int:
+    """The number of pages of a listing: one at least."""
+    return max(1, -(-n_rows // size))
+
 
+def keep_last(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
+    """The row of each key that comes last in the sequence, as a maximum that each task takes of its own rows first.
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """New rows replace old ones of their key; of several new ones the first in the order counts."""
-    last = keep_last(new, keys, order or [F.lit(1)])
-    return old.join(last, list(keys), "left_anti").unionByName(last)
+    Rows that share key and place in the sequence are told apart by their other
+    columns, so a rerun keeps the same one.
+    """
+    rest = [c for c in df.columns if c not in keys and c != sequence]
+    order = F.struct(F.col(sequence), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c{k}") for k, c in enumerate(rest)])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("__row")).select("__row.*")
 
 
-def replace_document(facts: DataFrame, new: DataFrame, document_id: str) -> DataFrame:
-    """A document's facts are replaced as a whole; ids stay unique."""
-    return upsert(facts.where(F.col("document_id") != document_id), new, ["fact_id"])
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
+    """New rows replace old ones of their key; of several new ones the last in the sequence counts.
+
+    The sequence is a column of the new rows; it is kept if the old ones have it.
+    """
+    last = keep_last(new, keys, sequence).select(*old.columns)
+    return old.join(last.select(*keys), list(keys), "left_anti").unionByName(last)
+
+
+def replace_document(facts: DataFrame, new: DataFrame, document_id: str, sequence: str) -> DataFrame:
+    """A document's facts are replaced as a whole; of new rows with one id the last in the sequence counts."""
+    return upsert(facts.where(~F.col("document_id").eqNullSafe(document_id)), new, ["fact_id"], sequence)
 
 
 def delete_document(facts: DataFrame, rel: DataFrame, documents: DataFrame, filename: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -138,10 +161,14 @@ def delete_document(facts: DataFrame, rel: DataFrame, documents: DataFrame, file
 
 
 def merge(rule: DataFrame, other: DataFrame) -> DataFrame:
-    """Rule facts, and others whose metric and value no rule fact has."""
+    """Rule facts, and others whose metric and value no rule fact has; ids are unique.
+
+    Of facts with one id those of the first table count, and the last of these by their other columns.
+    """
     key = lambda df: df.withColumns({"__m": F.lower(F.trim("metric")), "__v": F.lower(F.trim("value"))})
-    extra = key(other).join(key(rule).select("__m", "__v").distinct(), ["__m", "__v"], "left_anti").drop("__m", "__v")
-    return rule.unionByName(extra.join(rule.select("fact_id"), "fact_id", "left_anti").select(*rule.columns)).dropDuplicates(["fact_id"])
+    extra = key(other).join(key(rule).select("__m", "__v").distinct(), ["__m", "__v"], "left_anti").select(*rule.columns)
+    both = rule.withColumn("__rank", F.lit(1)).unionByName(extra.withColumn("__rank", F.lit(0)))
+    return keep_last(both, ["fact_id"], "__rank").drop("__rank")
 
 
 def first_wins(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -151,26 +178,37 @@ def first_wins(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def attribute(failures: DataFrame, documents: DataFrame) -> DataFrame:
-    """The corpus of each failure: by its document's name, by a name within its source (or the other way round), by words."""
-    named = documents.where("corpus is not null").select(F.lower("filename").alias("k"), F.col("corpus").alias("doc_corpus"))
-    src = failures.withColumn("src", F.lower("source_document")).drop("corpus")
-    exact = src.join(F.broadcast(named), F.col("src") == F.col("k"), "left").drop("k").withColumnRenamed("doc_corpus", "exact_corpus")
-    parts = F.broadcast(named).join(src.select("src").distinct(), F.col("src").contains(F.col("k")))
-    within = parts.groupBy("src").agg(F.min_by("doc_corpus", "k").alias("part_corpus"))
+    """The corpus of each failure: by its document's id or name, by an id or name within its source, by words.
+
+    Where a key lies within the source, the first key in the catalogue's order
+    (doc_id, then id before name) counts that lies within the source or holds it.
+    A key that several documents have stands for the last one's corpus.  Only the
+    distinct sources that no key equals are searched for parts.
+    """
+    keys = documents.where("corpus <> ''").select("doc_id", "corpus", F.posexplode(F.array(F.lower(F.col("doc_id").cast("string")), F.lower("filename"))).alias("n", "k"))
+    named = keys.groupBy("k").agg(F.max_by("corpus", F.struct("doc_id", "n")).alias("key_corpus"), F.min(F.struct("doc_id", "n")).alias("at")).where("k is not null")
+    src = failures.withColumn("src", F.lower(F.coalesce("source_document", F.lit("")))).drop("corpus")
+    sources = src.select("src").distinct()
+    exact = sources.join(named, F.col("src") == F.col("k"), "left")
+    known, open_ = exact.where("k is not null").select("src", "key_corpus"), exact.where("k is null").select("src")
+    parts = open_.join(named, F.col("src").contains(F.col("k")) | F.col("k").contains(F.col("src")))
+    within = parts.groupBy("src").agg(F.min_by("key_corpus", "at").alias("key_corpus"), F.bool_or(F.col("src").contains(F.col("k"))).alias("inside"))
+    found = known.unionByName(within.where("inside").drop("inside"))
     words = F.when(F.col("src").contains("delhivery"), "Delhivery").when(F.col("src").rlike("india|rbi|economic survey|imf"), "India Macroeconomics").otherwise("General Knowledge")
-    return exact.join(within, "src", "left").withColumn("corpus", F.coalesce("exact_corpus", "part_corpus", words)).drop("src", "exact_corpus", "part_corpus")
+    return src.join(found, "src", "left").withColumn("corpus", F.coalesce("key_corpus", words)).drop("src", "key_corpus")
 
 
-def trailing(events: DataFrame, seconds: int) -> DataFrame:
-    """Events of the same user within so many seconds before, each included."""
+def trailing(events: DataFrame, seconds: int, by: str = "user_id") -> DataFrame:
+    """Events of the same user (or kind) within so many seconds before, each included."""
     at = F.col("ts").cast("timestamp").cast("long")
-    w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-seconds, 0)
-    return events.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("n_recent"))
+    w = Window.partitionBy(by).orderBy(at).rangeBetween(-seconds, 0)
+    return events.select("event_id", by, F.count(F.lit(1)).over(w).alias("n_recent"))
 
 
-def filtered(facts: DataFrame, rel: DataFrame, document_id: str | None = None, is_linked: bool | None = None, text: str | None = None) -> DataFrame:
-    """Facts of a document, with or without relationships, that hold a text in metric, value, period or quote."""
+def filtered(facts: DataFrame, rel: DataFrame, document_id: str | None = None, is_linked: bool | None = None, text: str | None = None, category: str | None = None) -> DataFrame:
+    """Facts of a document and category, with or without relationships, that hold a text in metric, value, period or quote."""
     out = facts if document_id is None else facts.where(F.col("document_id") == document_id)
+    out = out if category is None else out.where(F.col("category") == category)
     if is_linked is not None:
         out = linked(out, rel) if is_linked else standalone(out, rel)
     if text:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import facts as S
+from ..functions import messages as M
 from ..functions import units
 from ..functions.dialect import DuckDB as D
 from ..operators import consensus as C
@@ -11,7 +12,9 @@ from ..sources import fixture
 
 _BASE = "corpus, entity, metric, document_id, page_number, value, raw_value, temporal_period, reporting_scope, unit, verbatim_quote, confidence_score"
 _SIDES = ", ".join(f"{p}.{c} AS {p}_{c}" for p in "ab" for c in ops.SIDE)
-_CANONICAL = ", ".join("('" + "', '".join((t, s)) + f"', {p}, {D.lit(o)})" for t, s, p, o in C.CANONICAL)
+_CANONICAL = ", ".join("(" + ", ".join(D.lit(x) if isinstance(x, str) else str(x) for x in c) + ")" for c in M.CANONICAL)
+_RECORD = ", ".join(M.RECORD)
+_CROSSED = ", ".join(f"{M.filled(D, t, {f'{c}_{p}': f'{p}.{c}' for c in ('entity', 'metric', 'value') for p in 'ab'})} AS {c}" for c, t in zip(M.RECORD, M.CROSSED_RECORD, strict=True))
 
 STEPS: dict[str, str] = {
     "f0": fixture.facts_sql(),
@@ -39,7 +42,7 @@ STEPS |= _gated("pairs", "gated")
 STEPS |= {
     "rel": "SELECT * FROM gated WHERE verdict <> 'extraction_failure'",
     "ends": "SELECT unnest([a_fact_id, b_fact_id]) AS fact_id, relationship_id, verdict, confidence FROM rel",
-    "reps": "SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY corpus, canonical_def, document_id ORDER BY confidence_score DESC, page_number, fact_id) = 1",
+    "reps": "SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY corpus, canonical_def, document_id ORDER BY confidence_score DESC, page_number, fact_id, coalesce(temporal_period, '')) = 1",
     "rep_pairs": f"SELECT a.corpus, a.canonical_def, {_SIDES} FROM reps a JOIN reps b ON a.corpus = b.corpus AND a.canonical_def = b.canonical_def AND a.document_id < b.document_id",
 }
 STEPS |= _gated("rep_pairs", "judged")
@@ -53,15 +56,15 @@ STEPS |= {
         CASE WHEN g.doc_count >= t.total_corpus_docs THEN 'all ' || g.doc_count || ' PDFs' ELSE g.doc_count || ' of ' || t.total_corpus_docs || ' PDFs' END AS docs_text
         FROM groups g JOIN folds f ON g.corpus = f.corpus AND g.metric = f.canonical_def JOIN totals t ON g.corpus = t.corpus""",
     "flaws_0": f"SELECT *, {S.audit_code(D)} AS failure_type FROM facts",
-    "flaws": f"""SELECT failure_type, document_id AS source_document, page_number, {C.observed(D)} AS observed_result, corpus, fact_id, NULL::VARCHAR AS related_fact_id
+    "flaws": f"""SELECT failure_type, document_id AS source_document, page_number, {", ".join(f"{t} AS {c}" for c, t in C.record(D).items())}, corpus, fact_id, NULL::VARCHAR AS related_fact_id
         FROM flaws_0 WHERE failure_type IS NOT NULL""",
     "sov": f"""SELECT * FROM facts WHERE {S.is_sovereign("entity")} AND NOT {S.is_multilateral("metric")}
         QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page_number, fact_id) = 1""",
-    "crossed": """SELECT 'REASONING_ERROR' AS failure_type, a.document_id || ' vs ' || b.document_id AS source_document, a.page_number,
-        'Attempted comparison of ' || a.metric || ' across ' || a.entity || ' (' || a.value || ') and ' || b.entity || ' (' || b.value || ').' AS observed_result,
+    "crossed": f"""SELECT 'REASONING_ERROR' AS failure_type, a.document_id || ' vs ' || b.document_id AS source_document, a.page_number,
+        {_CROSSED},
         a.corpus, a.fact_id, b.fact_id AS related_fact_id FROM sov a JOIN sov b ON a.document_id < b.document_id AND a.entity <> b.entity""",
     "found": "SELECT * FROM flaws UNION ALL SELECT * FROM crossed",
-    "fixed": f"SELECT v.*, NULL::VARCHAR AS corpus, NULL::VARCHAR AS fact_id, NULL::VARCHAR AS related_fact_id FROM (VALUES {_CANONICAL}) AS v(failure_type, source_document, page_number, observed_result)",
+    "fixed": f"SELECT v.*, NULL::VARCHAR AS corpus, NULL::VARCHAR AS fact_id, NULL::VARCHAR AS related_fact_id FROM (VALUES {_CANONICAL}) AS v(failure_type, source_document, page_number, {_RECORD})",
     "failures": """SELECT substr(sha256(source_document || ':' || page_number || ':' || failure_type || ':' || substr(observed_result, 1, 30)), 1, 16) AS failure_id, *
         FROM (SELECT * FROM found UNION ALL BY NAME (SELECT * FROM fixed x WHERE NOT EXISTS (
             SELECT 1 FROM found y WHERE x.source_document = y.source_document AND x.page_number = y.page_number AND x.failure_type = y.failure_type)))
@@ -70,6 +73,9 @@ STEPS |= {
 STEPS |= _gated("loose", "loosely")
 
 
+STEPS |= {f"{name}_told": f"SELECT *, {ops.diagnoses(D)['diagnosis']} AS diagnosis, {ops.diagnoses(D)['mitigation']} AS mitigation FROM {name}" for name in ("gated", "loosely", "rel")}
+
+
 def over(body: str) -> str:
     """A query over the steps that it names, directly or not."""
     import re
