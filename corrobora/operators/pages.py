@@ -225,7 +225,7 @@ SELECT vec_id, round(max(list_dot_product(v, av) / (sqrt(list_dot_product(v, v))
 def badges(facts: DataFrame, groups: DataFrame) -> DataFrame:
     """Each fact's group verdict by its metric's name."""
     g = groups.select(F.col("corpus").alias("c"), F.lower("metric").alias("k"), F.col("verdict").alias("badge"))
-    return facts.join(F.broadcast(g), (F.col("corpus") == F.col("c")) & (F.lower(F.trim("metric")) == F.col("k")), "left").select("fact_id", "badge")
+    return facts.join(g, (F.col("corpus") == F.col("c")) & (F.lower(F.trim("metric")) == F.col("k")), "left").select("fact_id", "badge")
 
 
 def context_shift(d: Dialect) -> str:
