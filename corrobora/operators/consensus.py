@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def sovereign_conflicts(facts: DataFrame) -> DataFrame:
 
 def corpus_audit(facts: DataFrame, include_canonical: bool = True) -> DataFrame:
     """All failures with their ids; the ones on record are added unless the key is taken, and ids collapse."""
-    found = fact_audit(facts).unionByName(sovereign_audit(facts))
+    found = fact_audit(facts).unionByName(sovereign_audit(facts)).persist(StorageLevel.MEMORY_AND_DISK)  # read for what is on record too
     if include_canonical:
         spark = facts.sparkSession
         fixed = spark.createDataFrame([(*c, None, None, None) for c in M.CANONICAL], ", ".join(f"{c} {'int' if c == 'page_number' else 'string'}" for c in FAILURE))

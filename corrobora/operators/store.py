@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,7 +188,7 @@ def attribute(failures: DataFrame, documents: DataFrame) -> DataFrame:
     """
     keys = documents.where("corpus <> ''").select("doc_id", "corpus", F.posexplode(F.array(F.lower(F.col("doc_id").cast("string")), F.lower("filename"))).alias("n", "k"))
     named = keys.groupBy("k").agg(F.max_by("corpus", F.struct("doc_id", "n")).alias("key_corpus"), F.min(F.struct("doc_id", "n")).alias("at")).where("k is not null")
-    src = failures.withColumn("src", F.lower(F.coalesce("source_document", F.lit("")))).drop("corpus")
+    src = failures.withColumn("src", F.lower(F.coalesce("source_document", F.lit("")))).drop("corpus").persist(StorageLevel.MEMORY_AND_DISK)  # looked at from several sides
     sources = src.select("src").distinct()
     exact = sources.join(named, F.col("src") == F.col("k"), "left")
     known, open_ = exact.where("k is not null").select("src", "key_corpus"), exact.where("k is null").select("src")
