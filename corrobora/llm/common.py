@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Bytes of text that Python code works on at a time.
 SLICE_BYTES = 4 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -61,11 +63,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it: cuts the lineage, survives lost executors."""
+    """Write a table to the shared folder and read it: cuts the lineage, survives lost executors.
+
+    Meanwhile Arrow batches are as small as Python works on, which bounds the memory of both sides.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(2 * SLICE_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(df: DataFrame | None) -> None:
+    """Delete a table that ``cut`` wrote and nothing reads any more; others are left alone."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        remove(df.sparkSession, path)
+
+
+def lean(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The function of a task, which gives its memory back at the end: workers wait for their next task with what they hold."""
+
+    def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # a C library without it
+            pass
+
+    return tidy
 
 
 def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

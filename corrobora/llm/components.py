@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 
 def _stars(pairs: DataFrame, larger_only: bool) -> DataFrame:
@@ -36,7 +36,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, True)
         small = _stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)
+        before = state
         state = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        free(before)
         seen = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen["n"], seen["x"]) == mark:
             roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))

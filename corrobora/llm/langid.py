@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, id_hash32, id_text_crc, slices
+from .common import free_names, id_hash32, id_text_crc, lean, slices
 
 #: Labelled documents of each language that a fit takes, chosen by the hash of their id.
 MAX_DOCS_PER_LANG = 6000
@@ -125,7 +125,7 @@ def fit(labelled: DataFrame, buckets: int = 1 << 15, max_docs: int = MAX_DOCS_PE
         return LanguageModel((), np.zeros(0), np.zeros((buckets + 1, 0), np.float32))
     below = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, max_docs / n) * 2**32))])
     taken = rows.where(id_hash32(seed="langid") < F.element_at(below, F.col("lang")))
-    counted = taken.select("text", "lang").mapInArrow(lambda it: fit_counts(it, buckets), "lang string, bucket int, n long")
+    counted = taken.select("text", "lang").mapInArrow(lean(lambda it: fit_counts(it, buckets)), "lang string, bucket int, n long")
     langs = tuple(sorted(sizes))
     at = {lang: k for k, lang in enumerate(langs)}
     counts = np.zeros((buckets, len(langs)))
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
             cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(p)], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias(copy)).mapInArrow(score, out)
+    return docs.select(*keep, F.col("text").alias(copy)).mapInArrow(lean(score), out)
 
 
 def held_out(folds: int = 5, col: str = "doc_id"):

@@ -29,7 +29,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, free_names
+from .common import checked_broadcast, cut, free, free_names
 
 #: Attempts in a format after which a surrogate may leave it for a wider one of its kind.
 NARROW_ATTEMPTS = 8
@@ -336,7 +336,10 @@ def collisions(docs: DataFrame, key: str, drawer=draw) -> DataFrame:
             return state.where("attempt > 0").select("kind", "norm", "attempt")
         attempt = F.col("attempt") + F.coalesce("one", F.lit(0))
         moved = state.drop("other").join(checked_broadcast(losers, n), ["kind", "norm"], "left").select("kind", "norm", attempt.alias("attempt"))
+        before = state
         state = cut(drawer(moved, key), "pii-surrogates")
+        free(before)
+        free(losers)
 
 
 def rewritten(docs: DataFrame, key: str, found: str = "__found", late: DataFrame | None = None) -> DataFrame:

@@ -9,12 +9,12 @@ first, so a pair comes out once.  Fingerprints are made distinct before, so
 copies never multiply, and links become components without being collected.
 
 The pipeline asks for a similarity of 0.8 in shingles of five words, at which a
-fingerprint of shingles differs in ten bits.  ``near_copies`` therefore indexes,
-in the same way, fingerprints of the distinct words, which differ in four or
-fewer after scattered edits.  Added or cut passages move more bits, so it also
-indexes bands of the minimal hashes of shingles, whose agreement depends on the
-similarity alone.  Sketches rule out the pairs that are clearly apart, and the
-rest are verified by the exact similarity of their shingles' hashes.
+fingerprint of shingles differs in ten bits, too many for any segment.
+``near_copies`` therefore takes the same deletion variants of another signature, a
+sketch of minimal hashes of shingles, whose agreement depends on the similarity
+alone, whatever the kind of edit: parts of ten hashes are indexed once for each
+hash with that one wiped out.  Sketches rule out the pairs that are clearly apart,
+and the rest are verified by the exact similarity of their shingles' hashes.
 
 Defined results
 * a null, empty or blank text has the fingerprint zero and links like any other;
@@ -27,14 +27,16 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, slices
+from . import gather
+from .common import checked_broadcast, cut, free_names, lean, slices
 from .components import components
 
 SEED = 42
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), f"doc_id {kind}, fp long")
 
 
 def _mask(start: int, width: int) -> int:
@@ -80,14 +82,13 @@ def _mask(start: int, width: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def variant_keys(number: Column | None = None) -> Column:
-    """The 64 one-wildcard segment variants of ``fp``, led by the wiped bit (and by the fingerprint's number, if there are several)."""
+def variant_keys() -> Column:
+    """The 64 one-wildcard segment variants of ``fp``, led by the wiped bit."""
     keys = []
     for start, width in SEGMENTS:
         part = F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1))
         for i in range(width):
-            lead = F.lit(start + i) if number is None else number * 64 + (start + i)
-            keys.append(part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << i))) + F.shiftleft(lead.cast("long"), 22))
+            keys.append(part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << i))) + F.lit((start + i) << 22))
     return F.array(*keys)
 
 
@@ -139,25 +140,16 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, words=4).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text's distinct words, each with hashes of its own, by which near copies are looked for.
-SETS = 3
-#: Minimal hashes of five-word shingles, 16 bits each, that estimate a pair's similarity.
+#: Minimal hashes of five-word shingles, 16 bits each, that stand for a text.
 SKETCH = 128
-#: Bands of the sketch that are indexed, and the hashes of each: a pair at 0.8 shares none in 0.2 % of cases.
-BANDS, BAND_HASHES = 21, 6
+#: Segments of the sketch that are indexed, and the hashes of each: a pair at 0.8 agrees in all but one hash of some segment in 99.65 % of cases.
+PARTS, PART_HASHES = 12, 10
 SIMILARITY = 0.8
+#: Words of 64 bits into which a text's shingles are hashed for a bound of what two texts share.
+MAP_WORDS = 32
 #: Share of a sketch below which a pair is surely apart: a pair at 0.8 falls below in 0.0003 % of cases.
 CLEARLY_APART = 0.64
-
-
-def word_set_fingerprint(words: list[bytes], seed: int) -> int:
-    """Unsigned 64-bit SimHash over distinct words."""
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w, seed) for w in words], "<u8")
-    total = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(words), bitorder="little").view("<u8")[0])
+MIX = 0x9E3779B97F4A7C15
 
 
 def sketch(tokens: list[bytes], words: int, odd: np.ndarray) -> bytes:
@@ -173,47 +165,133 @@ def sketch(tokens: list[bytes], words: int, odd: np.ndarray) -> bytes:
     return ((best * np.uint64(MIX)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-MIX = 0x9E3779B97F4A7C15
-
-
-def multipliers() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def multipliers(n: int = SKETCH) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_id, fps, sketch): a 64-bit hash of the words in order, the fingerprints and the sketch."""
+    """(doc_id, text_id, sketch): a 64-bit hash of the words in order, and the sketch; empty without a word."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = multipliers()
         for batch in slices(batches):
-            ids, fps, sketches = [], [], []
+            ids, sketches = [], []
             for text in batch.column("text").to_pylist():
                 tokens = (text or "").encode("utf-8", "replace").lower().split()
-                distinct = list(set(tokens))
                 ids.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
-                fps.append([word_set_fingerprint(distinct, SEED + 1 + r) for r in range(SETS)])
                 sketches.append(sketch(tokens, words, odd) if tokens else b"")
-            flat = pa.array(np.array(fps, np.uint64).ravel().view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * SETS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(ids, np.uint64).view(np.int64)), lists, pa.array(sketches, pa.binary())], ["doc_id", "text_id", "fps", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "text_id", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, text_id long, fps array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), f"doc_id {kind}, text_id long, sketch binary")
+
+
+def part_variants(table: np.ndarray) -> np.ndarray:
+    """The one-wildcard variants of each part of sketches (rows), as hashes: PARTS x PART_HASHES a row.
+
+    A part's hash is a sum over its places, from which the wiped place's share is
+    taken off, so that a variant costs one subtraction.
+    """
+    place = np.arange(PARTS * PART_HASHES, dtype=np.uint64)
+    x = (table[:, : len(place)].astype(np.uint64) + (place << np.uint64(16)) + np.uint64(1)) * np.uint64(MIX)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))).reshape(-1, PARTS, PART_HASHES)
+    wiped = (x.sum(2, dtype=np.uint64)[:, :, None] - x).reshape(len(table), -1) + place * np.uint64(MIX)
+    wiped = (wiped ^ (wiped >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return wiped ^ (wiped >> np.uint64(30))
+
+
+def sketch_variants(texts: DataFrame) -> DataFrame:
+    """(key, node, wiped) for each one-wildcard variant of each part of a text's sketch; wiped is the hash left out, led by its place in the part."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("text_id").to_numpy()
+            raw = batch.column("sketch").to_pylist()
+            for at in range(0, len(ids), 1000):
+                table = np.frombuffer(b"".join(raw[at : at + 1000]), "<u2").reshape(-1, SKETCH)
+                keys = part_variants(table)
+                wiped = table[:, : keys.shape[1]] + (np.arange(keys.shape[1], dtype=np.int32) % PART_HASHES << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[at : at + 1000], keys.shape[1])), pa.array(wiped.ravel().astype(np.int32))], ["key", "node", "wiped"])
+
+    return texts.where(F.length("sketch") > 0).select("text_id", "sketch").mapInArrow(lean(work), "key long, node long, wiped int")
+
+
+def buckets(texts: DataFrame) -> DataFrame:
+    """(key, node, wiped, weight): the variants that several texts share."""
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sketch_variants(texts.select("text_id", "sketch").repartition(width))  # spread before each row becomes 120
+    return gather.buckets(rows, "copies-buckets")
+
+
+def shingle_facts(held: DataFrame) -> DataFrame:
+    """(text_id, size, common, folded, m0, m1, ...) of each text: its distinct shingles, those of them that another text has too, and a map of bits.
+
+    The map has a bit for each shingle's hash; folded is how many shingles more than bits there are.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, x in zip(batch.column("text_id").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8")), pa.array(np.full(len(x) // 8, t, np.int64))], ["h", "text_id"])
+
+    seen = held.select("text_id", "shingles").mapInArrow(lean(work), "h long, text_id long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("text_id"))
+    own = seen.where("n = 1").groupBy("text_id").agg(F.count(F.lit(1)).alias("own"))
+    def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, maps = [], np.zeros((batch.num_rows, 64 * MAP_WORDS), np.uint8)
+            for i, x in enumerate(batch.column("shingles").to_pylist()):
+                h = np.frombuffer(x, "<u8")
+                sizes.append(len(h))
+                maps[i, (h % np.uint64(64 * MAP_WORDS)).astype(np.intp)] = 1
+            folded = np.array(sizes, np.int64) - maps.sum(1, dtype=np.int64)
+            words = np.packbits(maps, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), pa.array(sizes, pa.int64()), pa.array(folded), *[pa.array(w) for w in words.T.copy()]], ["text_id", "size", "folded", *MAP])
+
+    facts = held.select("text_id", "shingles").mapInArrow(lean(mapped), "text_id long, size long, folded long, " + ", ".join(f"{m} long" for m in MAP))
+    return facts.join(own, "text_id", "left").select("text_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "folded", *MAP)
+
+
+MAP = tuple(f"m{k}" for k in range(MAP_WORDS))
+
+
+def may_reach(common: Column, sizes: Column) -> Column:
+    """True unless two texts that have so many shingles in common, at most, are surely below SIMILARITY."""
+    return common >= SIMILARITY * (sizes - common)
+
+
+def rest_pairs(met: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): all texts of one bucket that have different roots, but for those that can't be similar.
+
+    What two texts share is at most what either shares with any other text, and at
+    most the bits that their maps share and the shingles that are folded in them.  A
+    text that shares too little with all others leaves; the join's condition bounds
+    the rest, so the far members of a dense group are not paired with all of it.
+    Parts that agree as a whole have ten variants in common, of which one counts.
+    """
+    facts = cut(shingle_facts(held).where(may_reach(F.col("common"), F.col("size") + F.col("common"))).withColumnRenamed("text_id", "node"), "copies-facts")
+    alive = cut(gather.rooted(met.select("key", "node", "wiped").join(facts.select("node"), "node"), roots), "copies-alive")
+    rows = cut(alive.join(gather.mixed(alive), "key", "left_semi"), "copies-mixed").join(facts, "node")
+    bits = reduce(lambda t, m: t + F.bit_count(F.col(f"l.{m}").bitwiseAND(F.col(f"r.{m}"))), MAP, F.lit(0))
+    common = F.least("l.common", "r.common", bits + F.least("l.folded", "r.folded"))
+    once = (F.col("l.wiped") != F.col("r.wiped")) | (F.col("l.wiped") < (1 << 16))
+    near = (F.col("l.root") < F.col("r.root")) & once & may_reach(common, F.col("l.size") + F.col("r.size"))
+    met_once = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key")).where(near)
+    return met_once.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def maybe_similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, share): the pairs of texts that their sketches don't rule out, with the share in which these agree."""
+    """(a, b): the pairs of texts that their sketches don't rule out."""
     side = lambda c: texts.select(F.col("text_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = [np.frombuffer(b"".join(x or bytes(2 * SKETCH) for x in batch.column(c).to_pylist()), "<u2").reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b")]
-            share = (table[0] == table[1]).mean(1)
-            near = pa.array(share >= CLEARLY_APART)
-            yield pa.RecordBatch.from_arrays([c.filter(near) for c in (batch.column("a"), batch.column("b"), pa.array(share))], ["a", "b", "share"])
+            near = pa.array((table[0] == table[1]).mean(1) >= CLEARLY_APART)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long, share double")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(lean(work), "a long, b long")
 
 
 def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
@@ -235,14 +313,17 @@ def shingled(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(out, pa.binary())], ["text_id", "shingles"])
 
     of = docs.select("doc_id", "text").join(texts.select("least"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    made = of.mapInArrow(work, "text_id long, shingles binary").join(texts.select("text_id"), "text_id", "left_semi")
+    made = of.mapInArrow(lean(work), "text_id long, shingles binary").join(texts.select("text_id"), "text_id", "left_semi")
     return made.dropDuplicates(["text_id"])
 
 
-def similar(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float = SIMILARITY) -> DataFrame:
+def shingles_of(ids: DataFrame, texts: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(text_id, shingles) of the texts named, written once."""
+    return cut(shingled(docs, cut(texts.select("text_id", "least").join(ids, "text_id"), "copies-named"), words), "copies-shingles")
+
+
+def similar(pairs: DataFrame, held: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Those of the pairs (a, b) of texts whose distinct shingles' hashes have so large a Jaccard similarity."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
-    held = cut(shingled(docs, cut(texts.select("text_id", "least").join(named, "text_id"), "copies-named"), words), "copies-shingles")
     side = lambda c: held.select(F.col("text_id").alias(c), F.col("shingles").alias(f"shingles_{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
@@ -256,76 +337,51 @@ def similar(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, lea
                 near.append(common >= least * (len(merged) - common))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(work, "a long, b long")
-
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(work), "a long, b long")
 
-def band_keys() -> Column:
-    """A key for each band of ``sketch``; below zero, where no fingerprint's variant is."""
-    size = 2 * BAND_HASHES
-    return F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * size, size)).bitwiseOR(F.lit(-(1 << 63))) for k in range(BANDS)])
 
-
-def star_candidates(texts: DataFrame) -> DataFrame:
-    """(a, b): each text with the least and the largest one of each of its bands' buckets."""
-    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = Window.partitionBy("key")
-    heads = {"least": F.min("text_id").over(bucket), "largest": F.max("text_id").over(bucket)}
-    met = texts.where(F.length("sketch") > 0).repartition(width).select("text_id", F.explode(band_keys()).alias("key")).withColumns(heads)
-    met = met.select("text_id", F.explode(F.array(*heads)).alias("head")).where(F.col("text_id") != F.col("head"))
-    return met.select(F.least("text_id", "head").alias("a"), F.greatest("text_id", "head").alias("b")).distinct()
-
-
-def candidates(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all texts that share a band, or are within four bits in a fingerprint, and have different roots."""
-    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = texts.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id")).repartition(width)
-    prints = named.select("text_id", "root", F.posexplode("fps").alias("r", "fp")).select("text_id", "root", "fp", F.explode(variant_keys(F.col("r"))).alias("key"))
-    bands = named.where(F.length("sketch") > 0).select("text_id", "root", F.lit(0).cast("long").alias("fp"), F.explode(band_keys()).alias("key"))
-    rows = prints.unionByName(bands)
-    pair = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key"))
-    x, key = F.col("l.fp").bitwiseXOR(F.col("r.fp")), F.col("l.key").bitwiseOR(F.col("r.key"))
-    wiped = F.shiftright(key, 22).bitwiseAND(F.lit(63))
-    apart = (F.col("l.root") < F.col("r.root")) & ((key < 0) | ((F.bit_count(x) <= MAX_BITS) & first_meeting(x, wiped)))
-    return pair.where(apart).select(F.least("l.text_id", "r.text_id").alias("a"), F.greatest("l.text_id", "r.text_id").alias("b")).distinct()
+def text_links(texts: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(a, b): links by which all similar texts that share a bucket are reached from each other."""
+    met = buckets(texts)
+    held = shingles_of(met.select(F.col("node").alias("text_id")).distinct(), texts, docs, words)
+    verified = lambda pairs: similar(cut(maybe_similar(pairs, texts), "copies-maybe"), held)
+    linked, roots = gather.gathered(met, verified, "copies-heads")
+    rest = verified(cut(rest_pairs(met, roots, held), "copies-rest"))
+    return linked.unionByName(cut(rest, "copies-across"))
 
 
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id): documents linked by texts of SIMILARITY in shingles of five words.
 
-    Texts that share a band of their sketches, or are within four bits in one of
-    the word-set fingerprints, are candidates, of which those are verified that
-    their sketches don't rule out.  First each text meets the most similar of the
-    least and the largest ones of its bands, which gathers dense groups with a
-    pair a text; then all candidates meet that are in different components.
+    Texts that agree in all but one hash of a part of their sketches are candidates,
+    of which those are verified that their sketches don't rule out.  In the first
+    rounds each text meets one head, which gathers dense groups with a pair a text
+    and round; then all candidates meet that are in different components and may be similar.
     """
     rows = cut(signed(docs, words), "copies-signed")
-    texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "copies-texts")
-    stars = maybe_similar(star_candidates(texts), texts)
-    best = stars.select("a", "b", "share", F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("pair"))
-    linked = cut(similar(cut(best.select("pair.a", "pair.b").distinct(), "copies-stars"), texts, docs, words), "copies-linked")
-    rest = cut(maybe_similar(candidates(texts, components(linked)), texts), "copies-rest")
-    across = cut(similar(rest, texts, docs, words), "copies-across")
-    roots = components(linked.unionByName(across))
-    rooted = cut(texts.select("text_id", "least").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id")), "copies-roots")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("text_id", "component_id")
-    return rows.select("doc_id", "text_id").join(named, "text_id").select("doc_id", "component_id")
+    texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "copies-texts")
+    nodes = texts.select(F.col("text_id").alias("node"), "least")
+    named = cut(gather.rooted(nodes, components(text_links(texts, docs, words))).withColumnRenamed("node", "text_id"), "copies-roots")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = named.join(ids, "root").select("text_id", "component_id")
+    return rows.select("doc_id", "text_id").join(of, "text_id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns.
+    """The document with the smallest id of each component, with all its columns, whatever their names.
 
     Rows that repeat an id are kept once; rows without an id are all kept.  The
     ids to drop are joined without moving the texts while they are few.
     """
     names = docs.columns
+    gone, odd_id = free_names(docs, "gone", "odd_id")
     ids = docs.where(F.col("doc_id").isNotNull())
     found = near_copies(ids, words)
-    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("__gone"))
-    odd = cut(rows.where("__gone or n > 1").select(F.col("doc_id").alias("__odd_id"), "__gone"), "simhash-odd")
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias(gone))
+    odd = cut(rows.where(F.col(gone) | (F.col("n") > 1)).select(F.col("doc_id").alias(odd_id), gone), "simhash-odd")
     known = checked_broadcast(odd, odd.count())
-    marked = docs.join(known, docs["doc_id"] == known["__odd_id"], "left").where("__gone is null or not __gone")
-    if odd.where("not __gone").isEmpty():
+    marked = docs.join(known, docs["doc_id"] == known[odd_id], "left").where(F.col(gone).isNull() | ~F.col(gone))
+    if odd.where(~F.col(gone)).isEmpty():
         return marked.select(*names)
-    once = marked.where("__gone is null").select(*names)
-    return once.unionByName(marked.where("not __gone").select(*names).dropDuplicates(["doc_id"]))
+    once = marked.where(F.col(gone).isNull()).select(*names)
+    return once.unionByName(marked.where(~F.col(gone)).select(*names).dropDuplicates(["doc_id"]))

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -64,21 +67,46 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def exact_links(texts):
+    """All pairs of texts whose sets of five-word shingles are as similar as asked for."""
+    sets = []
+    for text in texts:
+        tokens = (text or "").lower().split()
+        sets.append({tuple(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))})
+    holders, common = {}, {}
+    for i, s in enumerate(sets):
+        for x in s:
+            for j in holders.setdefault(x, []):
+                common[i, j] = common.get((i, j), 0) + 1
+            holders[x].append(i)
+    return [(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+
+
 def test_near_copies_match_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 700")
-    rows = sorted((r["doc_id"], r["text_id"], r["fps"], r["sketch"]) for r in simhash.signed(docs, 5).collect())
-    m, links = (1 << 64) - 1, []
-    table = [np.frombuffer(r[3], "<u2") for r in rows]
-    for i, (_, t, fps, _) in enumerate(rows):
-        for j in range(i):
-            same = t == rows[j][1]
-            if same or (any(((a ^ b) & m).bit_count() <= 4 for a, b in zip(fps, rows[j][2])) and (table[i] == table[j]).mean() >= 0.8):
-                links.append((i, j))
-    want = {(rows[i][0], rows[r][0]) for i, r in enumerate(least_reachable(len(rows), links))}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = {(rows[i][0], rows[r][0]) for i, r in enumerate(least_reachable(len(rows), exact_links([t for _, t in rows])))}
     assert {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs).collect()} == want
     assert len({c for _, c in want}) < len(rows) - 20
 
 
+def test_near_copies_of_a_dense_group(spark):
+    """Copies at all distances from one text: some are linked through others only, some to none."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(240):
+        copy = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 10)), replace=False):
+            copy[at] = f"x{k}y{at}"
+        texts.append(" ".join(copy))
+    want = dict(enumerate(least_reachable(len(texts), exact_links(texts))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    wrong = [d for d in want if got[d] != want[d]]
+    assert 20 < len(set(want.values())) < 200 and len(wrong) <= 1, wrong
+
+
 def test_near_copies_catch_edits_and_leave_others(spark):
     rng = np.random.default_rng(7)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)]
@@ -92,7 +120,7 @@ def test_near_copies_catch_edits_and_leave_others(spark):
             rows.append((d, " ".join(copy)))
             group[d] = 10 * k
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[d] != g for d, g in group.items()) <= 6 and all(got[d] // 10 == d // 10 for d in group)
+    assert all(got[d] == g for d, g in group.items())
 
 
 def shingle_jaccard(a, b):
@@ -124,12 +152,15 @@ def test_candidates_catch_appended_truncated_and_scattered_copies(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     signed = simhash.cut(simhash.signed(docs, 5), "test")
     of = {r["doc_id"]: r["text_id"] for r in signed.collect()}
-    met = {(r["a"], r["b"]) for r in simhash.candidates(signed, spark.createDataFrame([], "node long, root long")).collect()}
+    keys = {}
+    for r in simhash.buckets(signed).collect():
+        keys.setdefault(r["key"], []).append(r["node"])
+    met = {(a, b) for held in keys.values() for a in held for b in held if a < b}
     for kind in ("appended", "truncated", "scattered"):
         true = [k for k, v in kinds.items() if v == kind and shingle_jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8]
         found = sum(tuple(sorted((of[2 * k], of[2 * k + 1]))) in met for k in true)
         print(kind, found, len(true))
-        assert len(true) >= 50 and found >= 0.9 * len(true), (kind, found, len(true))
+        assert len(true) >= 50 and found >= 0.98 * len(true), (kind, found, len(true))
 
 
 def test_near_copies_are_those_of_exact_similarity(spark):
@@ -159,7 +190,7 @@ ODD = [
 
 
 def test_simhash_on_odd_rows(spark):
-    docs = spark.createDataFrame(ODD, DOC).selectExpr("*", "1 as fp", "2 as component_id", "3 as key")
+    docs = spark.createDataFrame(ODD, DOC).selectExpr("*", "1 as fp", "2 as component_id", "3 as key", "4 as __gone", "5 as __ODD_ID", "6 as __lang", "7 as __text")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.report(docs).collect())
     assert [g[0] for g in got] == [-1, 1, 2, 3, 3, 4, 5]
     assert dict(got)[2] == 1 and dict(got)[1] == 1
@@ -184,13 +215,53 @@ def test_langid_pieces_add_up():
     model = langid.LanguageModel(("a", "b"), np.zeros(2), np.vstack([rng.normal(size=(1024, 2)), np.zeros((1, 2))]).astype(np.float32))
     text = "héllo wörld, this is a test. " * 50
     whole, letters = langid.evidence([text], model)
-    old, langid.PIECE = langid.PIECE, 100
+    for size in (100, 101, len(text), len(text) + 5):
+        total, n = langid.long_evidence(text, model, size)
+        assert n == letters[0] == sum(c.isalpha() for c in text)
+        assert total == pytest.approx(whole[0], rel=1e-6)
+    counted = next(langid.fit_counts([pa.RecordBatch.from_pydict({"text": [text], "lang": ["x"]})], 1024)).to_pydict()
+    old, langid.PIECE = langid.PIECE, 97
     try:
-        parts = [langid.evidence([p], model) for p in langid.pieces(text)]
+        assert next(langid.fit_counts([pa.RecordBatch.from_pydict({"text": [text], "lang": ["x"]})], 1024)).to_pydict() == counted
+        cut_up = langid.predict_texts([text, "x", text[:50]], model)
     finally:
         langid.PIECE = old
-    assert letters[0] == sum(c.isalpha() for c in text) and len(parts) > 5
-    assert whole[0] == pytest.approx(whole[0])
+    assert cut_up[0] == langid.predict_texts([text, "x", text[:50]], model)[0]
+
+
+def plain_fit(rows, buckets=1 << 15):
+    """Counts by gram from a dictionary, the plain way; rows of (text, lang)."""
+    counts = {}
+    for text, lang in rows:
+        points = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        held = counts.setdefault(lang, Counter())
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                gram = points[i : i + n]
+                if gram != [" "] and not any(a == b == " " for a, b in zip(gram, gram[1:])):
+                    held["".join(gram)] += 1
+    return counts
+
+
+def test_langid_counts_match_plain_ones(spark):
+    rows = [("Hello, wörld! Hello 你好", "en"), ("das ist  ein Test", "de"), ("Привет мир", "ru"), ("hello hello", "en")]
+    model = langid.fit(spark.createDataFrame([(i, t, la) for i, (t, la) in enumerate(rows)], "doc_id long, text string, lang string"))
+    want = plain_fit(rows)
+    made = {la: {} for la in want}
+    for la, held in want.items():
+        for gram, n in held.items():
+            _, *by = langid.grams(gram, 1 << 15)
+            b = int(by[len(gram) - 1][0])
+            made[la][b] = made[la].get(b, 0) + n
+    logs = np.log(np.array([[made[la].get(b, 0) + 0.5 for la in model.langs] for b in range(1 << 15)]))
+    logs -= np.log(np.array([sum(made[la].values()) + 0.5 * (1 << 15) for la in model.langs]))
+    assert np.allclose(model.weights[:-1], logs - logs.mean(1, keepdims=True), atol=1e-4)
+
+
+def test_langid_many_languages(spark):
+    rows = [(i, f"text {i}", f"l{i % 1500}") for i in range(3001)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), buckets=64)
+    assert len(model.langs) == langid.MAX_LANGS and "l0" in model.langs
 
 
 def test_langid_held_out_accuracy(spark):
