@@ -242,10 +242,14 @@ def context_shift(d: Dialect) -> str:
 
 
 def enriched_text(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_number, text): page text, then its tables, then its figures, parted by blank lines."""
-    tables = F.when(F.size("tables") > 0, F.concat(F.lit("--- EXTRACTED TABLES ---\n"), F.array_join(F.transform("tables", lambda t: t["markdown_repr"]), "\n\n")))
-    figures = F.when(F.size("images") > 0, F.concat(F.lit("--- EXTRACTED FIGURES ---\n"), F.array_join(F.transform("images", lambda i: i["caption"]), "\n")))
-    return pages.select("doc_id", "page_number", F.concat_ws("\n\n", "raw_text", tables, figures).alias("text"))
+    """(doc_id, page_number, text): page text, then its tables below their captions, then its figures' captions, parted by blank lines."""
+    text = F.when(F.coalesce("raw_text", F.lit("")) != "", F.array("raw_text")).otherwise(F.array().cast("array<string>"))
+    caption = lambda t: F.when(F.coalesce(t["caption"], F.lit("")) != "", F.array(F.concat(F.lit("\n### "), t["caption"]))).otherwise(F.array().cast("array<string>"))
+    tables = F.flatten(F.transform("tables", lambda t: F.concat(caption(t), F.array(t["markdown_repr"]))))
+    shown = F.filter("images", lambda i: F.coalesce(i["caption"], F.lit("")) != "")
+    figures = F.transform(shown, lambda i: F.concat(F.lit("- [Figure on Page "), F.col("page_number").cast("string"), F.lit("]: "), i["caption"]))
+    headed = lambda title, column, parts: F.when(F.size(column) > 0, F.concat(F.array(F.lit(f"\n--- EXTRACTED {title} ---")), parts)).otherwise(F.array().cast("array<string>"))
+    return pages.select("doc_id", "page_number", F.array_join(F.concat(text, headed("TABLES", "tables", tables), headed("FIGURES", "images", figures)), "\n\n").alias("text"))
 
 
 def suggested_corpus(names: list[str]) -> str:

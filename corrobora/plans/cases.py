@@ -12,7 +12,7 @@ from ..functions import facts as S
 from ..functions import text as T
 from ..functions import units as U
 from ..functions.dialect import DuckDB, Spark
-from ..operators import admin, answers, extraction, store
+from ..operators import admin, answers, extraction, pages, store
 from ..operators import consensus as C
 from ..operators import facts as ops
 from ..sources import readers
@@ -246,6 +246,12 @@ golden("case_html_tables", "document_id string, html string", [("w", _HTML), ("n
 _EXTRACTED = "document_id string, metric string, value string, raw_value string, temporal_period string, reporting_scope string, unit string, confidence_score double"
 golden("case_html_facts", "document_id string, html string", [("w", _HTML)], lambda df: extraction.extract(readers.html_pages(df)), _EXTRACTED, [
     ("w", "Real GDP Growth", "6.1%", "6.1", "FY23", None, "%", 0.95), ("w", "Real GDP Growth", "6.5\\|", "6.5", "FY24", None, "%", 0.95), ("w", "Real GDP Growth", "9%", "9", "FY23", None, "%", 0.95), ("w", "Revenue from Operations", "8,142 Cr", "8,142", "FY24", None, "Cr", 0.92)])
+golden(
+    "case_enriched_text", "doc_id string, page_number int, raw_text string, tables array<struct<caption:string,markdown_repr:string>>, images array<struct<caption:string,width:int,height:int>>",
+    [("a", 2, "text", [("Table 1 on Page 2", "| a |"), (None, "| b |")], [(" two\nlines ", 200, 120), ("small", 119, 500), (None, 300, 300)]), ("b", 1, "", [], []), ("c", 1, None, [], None)],
+    lambda df: pages.enriched_text(readers.large_images(df)), "doc_id string, text string",
+    [("a", "text\n\n\n--- EXTRACTED TABLES ---\n\n\n### Table 1 on Page 2\n\n| a |\n\n| b |\n\n\n--- EXTRACTED FIGURES ---\n\n- [Figure on Page 2]: two lines\n\n- [Figure on Page 2]: Figure/Image 3 on Page 2"), ("b", ""), ("c", "")],
+)
 _PAGES = f"document_id string, page_number int, raw_text string, tables {readers.TABLES.lower()}"
 
 

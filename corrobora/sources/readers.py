@@ -82,7 +82,8 @@ def seed_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def large_images(pages: DataFrame, least: int = 120) -> DataFrame:
-    """Pages whose images are at least so wide and high; captions default to a number."""
-    kept = F.filter("images", lambda i: (i["width"] >= least) & (i["height"] >= least))
-    captioned = F.transform(kept, lambda i, k: i.withField("caption", F.coalesce(i["caption"], F.concat(F.lit("Figure/Image "), (k + 1).cast("string"), F.lit(" on Page "), F.col("page_number").cast("string")))))
-    return pages.withColumn("images", captioned)
+    """Pages whose images are at least so wide and high; a caption is one line, and defaults to the image's number among all."""
+    line = lambda i: F.trim(F.regexp_replace(F.coalesce(i["caption"], F.lit("")), r"\s+", " "))
+    number = lambda k: F.concat(F.lit("Figure/Image "), (k + 1).cast("string"), F.lit(" on Page "), F.col("page_number").cast("string"))
+    captioned = F.transform("images", lambda i, k: i.withField("caption", F.when(line(i) != "", line(i)).otherwise(number(k))))
+    return pages.withColumn("images", F.filter(captioned, lambda i: (i["width"] >= least) & (i["height"] >= least)))
