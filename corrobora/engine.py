@@ -69,6 +69,10 @@ class Engine:
     def showcase(self) -> DataFrame:
         return consensus.showcase(ops.gate(ops.pairs(self.facts)), self.facts)
 
+    def failure_example(self) -> DataFrame:
+        """What a showcase without a failing pair shows instead."""
+        return consensus.failure_example(self.facts)
+
     def list_facts(self, entity: str | None = None, metric: str | None = None, limit: int = 50) -> DataFrame:
         return store.listed(self.facts, entity, metric, limit)
 
@@ -98,7 +102,8 @@ class Engine:
 
     def sync(self, root: str) -> None:
         """Write the derived tables; each is replaced as a whole."""
-        ops.relationships(self.reconciliations()).write.mode("overwrite").partitionBy("corpus").parquet(f"{root}/relationships")
+        rel = store.keep_last(ops.relationships(self.reconciliations()), ["relationship_id"], "confidence")  # facts that differ by period only share an id
+        rel.write.mode("overwrite").partitionBy("corpus").parquet(f"{root}/relationships")
         self.audited().write.mode("overwrite").parquet(f"{root}/failures")
         consensus.consensus(self.facts).write.mode("overwrite").parquet(f"{root}/consensus")
 

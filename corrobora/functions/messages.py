@@ -181,6 +181,11 @@ CANONICAL = (
 )
 
 
+# What is said of a flawed fact that stands for the failures where no pair does.
+FALLBACK_REASONING = "Table Layout Flattening Extraction Anomaly: {diagnosis} Observed in '{doc_a}' (p.{page_a}) when benchmarked against clean corpus disclosures. {mitigation}"
+FALLBACK_SUMMARY = "Extraction layout anomaly diagnosed in '{doc_a}' (p.{page_a})."
+
+
 def filled(d: Dialect, template: str, fields: dict[str, str]) -> str:
     """A template as SQL text; a missing value is printed as None."""
     parts = re.split(r"\{(\w+)\}", template)

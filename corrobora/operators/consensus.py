@@ -131,6 +131,30 @@ def showcase(gated: DataFrame, facts: DataFrame) -> DataFrame:
     return shown.select("verdict", "relationship_id", "a_fact_id", "b_fact_id", F.coalesce("coverage", F.lit(0)).cast("long").alias("coverage"))
 
 
+def failure_example(facts: DataFrame) -> DataFrame:
+    """An example of a failure where no pair is one: the first flawed fact beside one fact of every other document.
+
+    (a_fact_id, b_fact_id, participants, summary, reasoning); of another document the
+    first fact of the same metric counts, else its first.  No row without a flawed fact.
+    """
+    found = facts.where("flaw IS NOT NULL").orderBy("document_id", "page_number", "fact_id").limit(1)
+    key = found.select("document_id", "metric", "fact_id").first()
+    if key is None:
+        found = facts.limit(0)
+        key = {"document_id": None, "metric": None}
+    order = F.struct(~F.col("metric").eqNullSafe(F.lit(key["metric"])), F.col("page_number"), F.col("fact_id"))
+    side = F.struct(*facts.columns)
+    others = facts.where(~F.col("document_id").eqNullSafe(F.lit(key["document_id"]))).groupBy("document_id").agg(F.min_by(side, order).alias("f")).select("f.*")
+    told = found.select("corpus", *[F.col(c).alias(f"a_{c}") for c in ops.SIDE]).withColumn("pair_failure", F.concat(F.lit("A:"), "a_flaw"))
+    told = told.withColumns({f"b_{c}": F.col(f"a_{c}") for c in ops.SIDE}).withColumns({c: F.expr(t) for c, t in ops.diagnoses().items()})
+    fields = M.sides(Spark) | {"diagnosis": "diagnosis", "mitigation": "mitigation"}
+    told = told.select(F.col("a_fact_id"), F.expr(M.filled(Spark, M.FALLBACK_SUMMARY, fields)).alias("summary"), F.expr(M.filled(Spark, M.FALLBACK_REASONING, fields)).alias("reasoning"))
+    row = lambda df: df.select("document_id", "fact_id")
+    beside = row(others).unionByName(row(found)).agg(F.array_sort(F.collect_list(F.struct("document_id", "fact_id"))).alias("all"))  # a row a document
+    ids = F.transform("all", lambda x: x["fact_id"])
+    return told.join(beside).select("a_fact_id", F.coalesce(F.get(ids, F.lit(1)), F.col("a_fact_id")).alias("b_fact_id"), ids.alias("participants"), "summary", "reasoning")
+
+
 def enrichment(shown: DataFrame, gated: DataFrame, facts: DataFrame) -> DataFrame:
     """For each example the best fact of every other document: by period, inception, then words in common."""
     case = shown.select("relationship_id").join(gated, "relationship_id").select("relationship_id", "verdict", "a_document_id", "b_document_id", "a_canonical_def", "a_value_nature", "a_temporal_period", "a_verbatim_quote", "corpus")

@@ -200,6 +200,14 @@ golden(
 )
 
 
+_SHOWN = [fact("c", d, metric=m, verbatim_quote="all of it", value=v, page_number=p) for d, m, v, p in (("b.pdf", "Assets", "5.4 6.5", 2), ("a.pdf", "Debts", "3", 1), ("a.pdf", "Assets", "4", 9), ("c.pdf", "Debts", "2", 1), ("b.pdf", "Debts", "7", 1))]
+golden(
+    "case_failure_example", FACT, _SHOWN,
+    lambda df: C.failure_example(ops.enrich(df)).join(ops.enrich(df).select("fact_id", F.concat_ws(" ", "document_id", "metric").alias("of")), F.array_contains("participants", F.col("fact_id"))).select("of", "summary", "reasoning"), "of string, summary string, reasoning string",
+    [(of, "Extraction layout anomaly diagnosed in 'b.pdf' (p.2).", "Table Layout Flattening Extraction Anomaly: Fact A (b.pdf, p.2) exhibits table layout flattening: ungridlined table rows were parsed as flat text, collapsing adjacent numeric columns into an unsegmented string ('all of it...'). Observed in 'b.pdf' (p.2) when benchmarked against clean corpus disclosures. Mitigation: Employ coordinate-based table cell bounding box alignment or column-position segmentation instead of raw string concatenation.") for of in ("a.pdf Assets", "b.pdf Assets", "c.pdf Debts")],
+)
+
+
 def _attributed(failures: DataFrame) -> DataFrame:
     rows = [("d77", "very-long-report-2024.pdf", "Acme"), ("d78", "part.pdf", "Partly"), ("d79", "none.pdf", None), ("d80", "part.pdf", "Later")]
     return store.attribute(failures, failures.sparkSession.createDataFrame(rows, "doc_id string, filename string, corpus string"))
