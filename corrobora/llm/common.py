@@ -19,6 +19,7 @@ BROADCAST_ROWS = 200_000
 #: Bytes of text that Python code works on at a time.
 SLICE_BYTES = 4 << 20
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH = "67108864b"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -62,22 +63,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it: cuts the lineage, survives lost executors.
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches as small as Python works on, which bounds the memory of both sides; a session's own setting stays."""
+    if spark.conf.get(BATCH, DEFAULT_BATCH) in (DEFAULT_BATCH, DEFAULT_BATCH.rstrip("b"), "64m", "64mb"):
+        spark.conf.set(BATCH, str(2 * SLICE_BYTES))
 
-    Meanwhile Arrow batches are as small as Python works on, which bounds the memory of both sides.
-    """
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write a table to the shared folder and read it: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(BATCH, None)
-    spark.conf.set(BATCH, str(2 * SLICE_BYTES))
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(BATCH)
-        else:
-            spark.conf.set(BATCH, before)
+    small_batches(spark)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -145,4 +142,5 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, id_hash32, id_text_crc, lean, slices
+from .common import free_names, id_hash32, id_text_crc, lean, slices, small_batches
 
 #: Labelled documents of each language that a fit takes, chosen by the hash of their id.
 MAX_DOCS_PER_LANG = 6000
@@ -185,6 +185,7 @@ def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[s
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Columns ``keep`` of each document with its language and score under ``names``."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep)
     (copy,) = free_names(docs, "text")
     out = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])

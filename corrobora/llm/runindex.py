@@ -103,7 +103,8 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 def joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places starts[i], ..., starts[i] + sizes[i] - 1, one after another."""
     ends = np.cumsum(sizes)
-    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int32)
+    wide = len(ends) > 0 and max(int(ends[-1]), int((starts + sizes).max())) >= 2**31
+    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int64 if wide else np.int32)
     if len(out):
         out[0] = starts[0]
         out[ends[:-1]] = starts[1:] - (starts[:-1] + sizes[:-1] - 1)
