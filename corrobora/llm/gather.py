@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 from .components import components
 
 ROUNDS = 3
@@ -47,12 +47,12 @@ def mixed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
 
 
-def head_pairs(met: DataFrame, roots: DataFrame | None, used: DataFrame | None, least: int) -> DataFrame:
+def head_pairs(state: DataFrame, used: DataFrame | None, least: int) -> DataFrame:
     """(a, b): each node that isn't of its bucket's head's root, with the head it shares most buckets with, ``least`` at least.
 
-    The head of a bucket is its heaviest node; heads of former rounds step back.
+    state: (key, node, weight, root).  The head of a bucket is its heaviest node;
+    heads of former rounds step back.
     """
-    state = rooted(met.select("key", "node", "weight"), roots)
     if used is not None:
         state = state.join(used, state["node"] == used["head"], "left").withColumn("weight", F.when(F.col("head").isNull(), F.col("weight")).otherwise(-1)).drop("head")
     heads = state.groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("h"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -70,7 +70,10 @@ def gathered(met: DataFrame, verified: Callable[[DataFrame], DataFrame], name: s
     linked = met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     roots, used = None, None
     for _ in range(rounds):
-        pairs = cut(head_pairs(met, roots, used, least), name)
+        state = rooted(met.select("key", "node", "weight"), roots)
+        state = state if roots is None else cut(state, name)  # looked at twice
+        pairs = cut(head_pairs(state, used, least), name)
+        free(state)
         if pairs.isEmpty():
             break
         found = cut(verified(pairs), name)

@@ -4,11 +4,11 @@ A media column is (media_id, width, height, pixels): grey pixels as bytes, row b
 row.  Corners are found on several scales; around each, the direction of the
 patch's centre of mass turns a fixed pattern of pixel pairs, and which pixel of a
 pair is brighter gives a 128-bit descriptor.  Five pieces of 25 bits index a
-descriptor; two that agree in a piece meet in an equality join, which verifies
-their distance.  Each match votes for a change of scale, a rotation and a shift,
-and two pictures with enough votes in one cell are linked.  Links become classes
-without being collected: a first join gathers dense groups around one corner of
-each bucket, a second one matches all pictures that are not in one class yet.
+descriptor; pictures of which two corners agree in a piece meet in an equality
+join.  Of pictures that meet, all corners are compared: each pair of corners within
+the distance votes for a change of scale, a rotation and a shift, and two pictures
+with enough votes in one cell are linked.  Links become classes without being
+collected, and dense groups are gathered around heads first (``gather``).
 
 Equal pictures are one picture in all of this: they join their class at the end, so
 copies never multiply.  Corners compete within a few pixels, so their number
@@ -18,7 +18,9 @@ Defined results
 * a null, empty or ill-sized picture, and one without a corner, has no feature and
   is equal only to pictures of the same size and bytes; a null is alone;
 * repeated rows share their class; a class is named by its smallest media_id;
+* rows without a media_id are left out;
 * an empty table gives an empty result; other columns are neither read nor returned.
+A picture is worked on whole, in about 60 bytes a pixel of one task's memory.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import gather
 from .common import cut
 from .components import components
 
@@ -47,7 +50,8 @@ VOTES = 8
 #: Cells of the vote: shift in pixels and as a share of the matches' spread, whichever is more; rotation in degrees.
 SHIFT, SPREAD, TURN = 8.0, 0.04, 30.0
 DESCRIPTOR_SEED = 10
-FEATURES = "media_id long, a long, b long, x double, y double, scale int, angle double"
+#: A corner: its descriptor in two words, its place in the picture's pixels, its scale and angle.
+CORNER = np.dtype([("a", "<u8"), ("b", "<u8"), ("x", "<f4"), ("y", "<f4"), ("scale", "<i4"), ("angle", "<f4")])
 
 
 def pattern() -> np.ndarray:
@@ -148,7 +152,7 @@ def features(images: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def extract(media: DataFrame) -> DataFrame:
-    """A row for each corner of each picture: FEATURES."""
+    """(media_id, n, corners) of each picture that has a corner: their number, and CORNER records as bytes."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,144 +164,153 @@ def extract(media: DataFrame) -> DataFrame:
                 step = max(1, 3_000_000 // (h * w))
                 for at in range(0, len(group), step):
                     part = group[at : at + step]
-                    n, a, b, x, y, scale, angle = features(np.frombuffer(b"".join(p for _, p in part), np.uint8).reshape(-1, h, w))
-                    ids = np.array([m for m, _ in part], np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[n]), pa.array(a), pa.array(b), pa.array(x.astype(float)), pa.array(y.astype(float)), pa.array(scale.astype(np.int32)), pa.array(angle.astype(float))],
-                        ["media_id", "a", "b", "x", "y", "scale", "angle"],
-                    )
+                    n, *fields = features(np.frombuffer(b"".join(p for _, p in part), np.uint8).reshape(-1, h, w))
+                    corner = np.empty(len(n), CORNER)
+                    for name, values in zip(CORNER.names, fields, strict=True):
+                        corner[name] = values.view(np.uint64) if name in "ab" else values
+                    corner = corner[np.argsort(n, kind="stable")]
+                    counts = np.bincount(n, minlength=len(part))
+                    held = np.flatnonzero(counts)
+                    blobs = [c.tobytes() for c in np.split(corner, np.cumsum(counts)[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array([part[k][0] for k in held], pa.int64()), pa.array(counts[held].astype(np.int64)), pa.array([blobs[k] for k in held], pa.binary())], ["media_id", "n", "corners"])
 
-    return media.select("media_id", "width", "height", "pixels").mapInArrow(work, FEATURES)
+    return media.select("media_id", "width", "height", "pixels").mapInArrow(work, "media_id long, n long, corners binary")
 
 
-def piece(k: int) -> Column:
-    """The k-th 25 bits of a descriptor, marked with k: two of either word, and one of what is left of both."""
-    part = lambda word, at, n: F.shiftrightunsigned(word, at).bitwiseAND(F.lit((1 << n) - 1))
-    if k < 4:
-        bits = part("ab"[k // 2], k % 2 * PIECE_BITS, PIECE_BITS)
-    else:
-        bits = part("a", 50, 14) + F.shiftleft(part("b", 50, 11), 14)
-    return bits + F.lit(k << PIECE_BITS)
+def pieces(corner: np.ndarray) -> np.ndarray:
+    """The five pieces of each descriptor, marked with their number: two of either word, and one of what is left of both."""
+    a, b, mask = corner["a"], corner["b"], np.uint64((1 << PIECE_BITS) - 1)
+    shifted = lambda word, n: word >> np.uint64(n)
+    last = shifted(a, 2 * PIECE_BITS) | (shifted(b, 2 * PIECE_BITS) << np.uint64(64 - 2 * PIECE_BITS))
+    parts = [a, shifted(a, PIECE_BITS), b, shifted(b, PIECE_BITS), last]
+    return np.stack([(x & mask) + np.uint64(k << PIECE_BITS) for k, x in enumerate(parts)], 1).astype(np.int64)
 
 
-#: Steps of a packed angle, and of a packed pixel.
-ANGLES, SUBPIXEL = 4096, 16
-
-
-def packed() -> Column:
-    """Place, scale and angle in one long: what is shuffled for a corner is this, its bits and its picture."""
-    x, y = (F.round(F.col(c) * SUBPIXEL).cast("long") for c in ("x", "y"))
-    angle = F.floor((F.col("angle") + np.pi) / (2 * np.pi) * ANGLES).cast("long").bitwiseAND(F.lit(ANGLES - 1))
-    return F.shiftleft(x, 40) + F.shiftleft(y, 16) + F.shiftleft(F.col("scale").cast("long"), 12) + angle
-
-
-def unpacked(g: str, media: str) -> Column:
-    field = lambda at, bits: F.shiftrightunsigned(g, at).bitwiseAND(F.lit((1 << bits) - 1))
-    angle = field(0, 12) * (2 * np.pi / ANGLES) - np.pi
-    return F.struct(F.col(media).alias("media_id"), (field(40, 24) / SUBPIXEL).alias("x"), (field(16, 24) / SUBPIXEL).alias("y"), field(12, 4).cast("int").alias("scale"), angle.alias("angle"))
-
-
-CORNER = ("media_id", "a", "b", "g")
+def hamming_rows(found: DataFrame) -> DataFrame:
+    """(key, node, a, b): a row for each piece of each corner."""
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, blob in zip(batch.column("media_id").to_pylist(), batch.column("corners").to_pylist(), strict=True):
+                corner = np.frombuffer(blob, CORNER)
+                keys = pieces(corner)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.full(keys.size, m, np.int64)), *[pa.array(np.repeat(corner[c].astype(np.int64), PIECES)) for c in "ab"]],
+                    ["key", "node", "a", "b"],
+                )
 
-def near() -> Column:
-    """Corners p and q within the distance, p of the picture with the smaller media_id."""
-    bits = F.bit_count(F.col("p_a").bitwiseXOR(F.col("q_a"))) + F.bit_count(F.col("p_b").bitwiseXOR(F.col("q_b")))
-    return (F.col("p_media_id") < F.col("q_media_id")) & (bits <= MAX_DISTANCE)
+    width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.select("media_id", "corners").repartition(width).mapInArrow(work, "key long, node long, a long, b long")
 
 
 def bucketed(found: DataFrame) -> DataFrame:
-    """(key, media_id, a, b, g, head, twin): a row for each piece of each corner.
+    """(key, node, a, b, weight): the pieces that several pictures share, but for chance meetings of two or three corners.
 
-    head is the corner with the smallest media_id of its bucket, twin that of the
-    corners of the bucket that share the next piece too.  Buckets of one corner
-    are left out; of what remains every later join starts.
+    Of two rows the smallest and the largest are all; of three the one between
+    follows from these and the exclusive or of all.  Where no two of them are within
+    the distance, the key says nothing.
     """
-    width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = F.array(*[F.struct(piece(k).alias("key"), piece((k + 1) % PIECES).alias("also")) for k in range(PIECES)])
-    rows = found.repartition(width).select("media_id", "a", "b", packed().alias("g"), F.explode(keys).alias("k")).select(*CORNER, "k.*")
-    bucket, finer = Window.partitionBy("key"), Window.partitionBy("key", "also")
-    least = F.min(F.struct(*CORNER))
-    met = rows.withColumns({"head": least.over(bucket), "n": F.count(F.lit(1)).over(bucket)}).where("n > 1")
-    return cut(met.withColumn("twin", least.over(finer)).drop("n", "also"), "media-buckets")
-
+    row = F.struct("node", "a", "b")
+    facts = {"least": F.min(row), "most": F.max(row), "xa": F.bit_xor("a"), "xb": F.bit_xor("b")}
+    bits = lambda p, q: F.bit_count(p[0].bitwiseXOR(q[0])) + F.bit_count(p[1].bitwiseXOR(q[1]))
+    low, high = ((F.col(f"{c}.a"), F.col(f"{c}.b")) for c in ("least", "most"))
+    between = tuple(F.col(f"x{w}").bitwiseXOR(F.col(f"least.{w}")).bitwiseXOR(F.col(f"most.{w}")) for w in "ab")
+    near = bits(low, high) <= MAX_DISTANCE
+    three = near | (bits(low, between) <= MAX_DISTANCE) | (bits(high, between) <= MAX_DISTANCE)
+    kept = F.when(F.col("n") == 2, near).when(F.col("n") == 3, three).otherwise(True)
+    return gather.buckets(hamming_rows(found), "media-buckets", facts, kept)
+
+
+def matched(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All corners i of one picture and j of another within MAX_DISTANCE bits."""
+    step, found = max(1, (1 << 22) // max(1, len(q))), []
+    for at in range(0, len(p), step):
+        part = p[at : at + step]
+        bits = np.bitwise_count(part["a"][:, None] ^ q["a"][None]) + np.bitwise_count(part["b"][:, None] ^ q["b"][None])
+        i, j = np.nonzero(bits <= MAX_DISTANCE)
+        found.append((i + at, j))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+
+
+def agreeing(l: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray) -> int:  # noqa: E741
+    """Corners of either picture at least that agree on a change of scale, a rotation and a shift; l and r are matching corners, i and j their numbers.
+
+    The shift is that of the middle of the matches, so noisy angles move it
+    little, in cells that grow with the matches' spread.  A match votes for the
+    two nearest cells of its rotation, for four of its shift, and for its change of
+    scale and half a step to either side, each with the shift that it means.  A
+    corner that matches many others counts once.
+    """
+    lx, ly, rx, ry = (c.astype(float) for c in (l["x"], l["y"], r["x"], r["y"]))
+    cell = max(SHIFT, SPREAD * float(np.hypot(rx.std(), ry.std())))
+    lx, ly, rx, ry = lx - lx.mean(), ly - ly.mean(), rx - rx.mean(), ry - ry.mean()
+    turn = (r["angle"].astype(float) - l["angle"]) % (2 * np.pi)
+    cos, sin = np.cos(turn), np.sin(turn)
 
-def corner_pairs(pairs: DataFrame) -> DataFrame:
-    """(l, r): each pair of corners once, however many pieces they share."""
-    once = pairs.select("p_media_id", "p_g", "q_media_id", "q_g").distinct()
-    return once.select(unpacked("p_g", "p_media_id").alias("l"), unpacked("q_g", "q_media_id").alias("r"))
+    def cells(q: np.ndarray) -> list[np.ndarray]:
+        """The cell of a value and the nearer neighbour."""
+        low = np.floor(q)
+        return [low.astype(np.int64), (low + np.where(q - low < 0.5, -1, 1)).astype(np.int64)]
 
+    codes = []
+    turns = [t % int(360 / TURN) for t in cells(np.degrees(turn) / TURN)]
+    for s in (2 * (r["scale"] - l["scale"]).astype(np.int64) + d for d in (-1, 0, 1)):
+        ratio = STEP ** (s / 2)
+        across, down = cells((rx - ratio * (cos * lx - sin * ly)) / cell), cells((ry - ratio * (sin * lx + cos * ly)) / cell)
+        codes += [(((s + 32) * 16 + t) << 48) + ((x + (1 << 23)) << 24) + (y + (1 << 23)) for t in turns for x in across for y in down]
+    code, best = np.concatenate(codes), []
+    for own in (i, j):
+        held = np.stack([code, np.tile(own, len(codes))], 1)
+        best.append(np.unique(np.unique(held, axis=0)[:, 0], return_counts=True)[1])
+    return int(np.minimum(*best).max())
 
-def star_matches(buckets: DataFrame) -> DataFrame:
-    """Corners that match the first corner of one of their buckets, or of the finer ones: two rows a piece at most."""
-    to = lambda head: buckets.select(*[F.col(f"{head}.{c}").alias(f"p_{c}") for c in CORNER], *[F.col(c).alias(f"q_{c}") for c in CORNER]).where(near())
-    return corner_pairs(to("head").unionByName(to("twin")))
 
+def votes(p: np.ndarray, q: np.ndarray) -> int:
+    """Agreeing corners of two pictures."""
+    i, j = matched(p, q)
+    return agreeing(p[i], q[j], i, j) if len(i) >= VOTES else 0
 
-def matches(buckets: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """(l, r): all corners of two pictures, l.media_id < r.media_id, that share a piece within MAX_DISTANCE bits.
 
-    With classes (node, root), only those of pictures that are not in one class.
-    """
-    rows = buckets.drop("head", "twin")
-    if classes is None:
-        named = rows.withColumn("class_id", F.col("media_id"))
-    else:
-        named = rows.join(classes, F.col("media_id") == F.col("node"), "left").select("key", *CORNER, F.coalesce("root", "media_id").alias("class_id"))
-    width = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda p: named.repartition(width, "key").select("key", *[F.col(c).alias(f"{p}_{c}") for c in (*CORNER, "class_id")])
-    return corner_pairs(side("p").join(side("q"), "key").where(near() & (F.col("p_class_id") != F.col("q_class_id"))))
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of pictures of whose corners enough agree; all corners of both are compared."""
+    side = lambda c: found.select(F.col("media_id").alias(c), F.col("corners").alias(f"corners_{c}"))
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(side("a"), "a").join(side("b"), "b")
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c).to_pylist() for c in ("corners_a", "corners_b"))
+            near = [votes(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) >= VOTES for x, y in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-def links(matched: DataFrame) -> DataFrame:
-    """(a, b, votes): pictures whose matches agree on a change of scale, a rotation and a shift.
+    return both.select("a", "b", "corners_a", "corners_b").mapInArrow(work, "a long, b long")
 
-    The shift is that of the middle of the pair's matches, so noisy angles move it
-    little, in cells that grow with the matches' spread.  A match votes for the
-    two nearest cells of its rotation, for four of its shift, and for its change of
-    scale and half a step to either side, each with the shift that it means.
-    """
-    pair = Window.partitionBy(F.col("l.media_id"), F.col("r.media_id"))
-    middle = {f"{s}{c}": F.avg(f"{s}.{c}").over(pair) for s in "lr" for c in "xy"}
-    spread = {f"{s}{c}2": F.coalesce(F.stddev_pop(f"{s}.{c}").over(pair), F.lit(0.0)) for s in "lr" for c in "xy"}
-    turn = F.pmod((F.col("r.angle") - F.col("l.angle")) * (180 / np.pi), F.lit(360.0))
-    m = matched.select("l", "r", *[v.alias(k) for k, v in (middle | spread).items()], turn.alias("turn"))
-    cell = F.greatest(F.lit(SHIFT), F.lit(SPREAD) * F.sqrt(F.col("rx2") * F.col("rx2") + F.col("ry2") * F.col("ry2")))
-    change = 2 * (F.col("r.scale") - F.col("l.scale"))
-    m = m.withColumns({"cell": cell, "s": F.explode(F.array(change - 1, change, change + 1))})
-    t, ratio = F.radians(F.col("turn")), F.pow(F.lit(STEP), F.col("s") / 2)
-    x, y = F.col("l.x") - F.col("lx"), F.col("l.y") - F.col("ly")
-    sx = F.col("r.x") - F.col("rx") - ratio * (F.cos(t) * x - F.sin(t) * y)
-    sy = F.col("r.y") - F.col("ry") - ratio * (F.sin(t) * x + F.cos(t) * y)
-
-    def cells(q: Column) -> Column:
-        """The cell of a value and the nearer neighbour."""
-        return F.array(F.floor(q), F.floor(q) + F.when(q - F.floor(q) < 0.5, -1).otherwise(1))
 
-    votes = m.select(
-        F.col("l.media_id").alias("a"), F.col("r.media_id").alias("b"), "s",
-        cells(F.col("turn") / TURN).alias("t"), cells(sx / F.col("cell")).alias("x"), cells(sy / F.col("cell")).alias("y"),
-    )
-    votes = votes.withColumn("t", F.explode("t")).withColumn("t", F.pmod("t", F.lit(int(360 / TURN)))).withColumn("x", F.explode("x")).withColumn("y", F.explode("y"))
-    agreed = votes.groupBy("a", "b", "s", "t", "x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
-    return agreed.groupBy("a", "b").agg(F.max("n").alias("votes"))
+def rest_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all pictures in different classes of which two corners share a piece within MAX_DISTANCE bits."""
+    state = cut(gather.rooted(met.drop("weight"), roots), "media-rooted")
+    rows = cut(state.join(gather.mixed(state), "key", "left_semi"), "media-rest")
+    bits = F.bit_count(F.col("l.a").bitwiseXOR(F.col("r.a"))) + F.bit_count(F.col("l.b").bitwiseXOR(F.col("r.b")))
+    pair = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key")).where((F.col("l.root") < F.col("r.root")) & (bits <= MAX_DISTANCE))
+    return pair.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def picture_classes(found: DataFrame) -> DataFrame:
     """(node, root) of the pictures that are linked.
 
-    First every corner meets one of its bucket, which gathers dense groups with as
-    many rows as corners; then all pairs of pictures are matched that are not in
-    one class yet, so no two classes stay apart that a link joins.
+    First each picture meets one head of its buckets a round, which gathers dense
+    groups; then all pairs that share a piece and are not in one class yet, so no
+    two classes stay apart that a link joins.
     """
-    buckets = bucketed(found)
-    close = cut(links(star_matches(buckets)), "media-links")
-    across = cut(links(matches(buckets, components(close))), "media-across")
-    return components(close.unionByName(across))
+    met = bucketed(found)
+    check = lambda pairs: verified(pairs, found)
+    linked, roots = gather.gathered(met, check, "media-heads", least=2)
+    across = cut(check(cut(rest_pairs(met, roots), "media-rest-pairs")), "media-across")
+    return components(linked.unionByName(across))
 
 
 def copies(media: DataFrame) -> DataFrame:
     """(media_id, class_id, class_size, n_features) of every picture; a class counts its rows."""
+    media = media.where(F.col("media_id").isNotNull())
     rows = cut(media.select(F.col("media_id").cast("long").alias("media_id"), "width", "height", F.xxhash64("pixels").alias("p"), F.crc32(F.coalesce("pixels", F.lit(b""))).alias("c"), F.col("pixels").isNull().alias("none")), "media-rows")
     same = ["width", "height", "p", "c", "none"]
     # nulls are no pictures, so each stands for itself
@@ -307,21 +320,21 @@ def copies(media: DataFrame) -> DataFrame:
     chosen = media.select(F.col("media_id").cast("long").alias("media_id"), "width", "height", "pixels").join(firsts.select(F.col("first").alias("media_id")), "media_id", "left_semi").dropDuplicates(["media_id"])
     found = cut(extract(chosen), "media-features")
     roots = picture_classes(found)
-    size = found.groupBy(F.col("media_id").alias("first")).agg(F.count(F.lit(1)).alias("f"))
+    size = found.select(F.col("media_id").alias("first"), F.col("n").alias("f"))
     pictures = firsts.join(roots.withColumnRenamed("node", "first"), "first", "left").join(size, "first", "left")
     out = cut(named.join(pictures, "picture").select("media_id", F.coalesce("root", "first").alias("class_id"), F.coalesce("f", F.lit(0)).cast("long").alias("n_features")), "media-classes")
     members = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     return out.join(members, "class_id").select("media_id", "class_id", "class_size", "n_features")
 
 
-#: Side of a drawn picture, and the dimensions that have a texture.
-SIDE, TEXTURES = 64, 256
+#: Side of a drawn picture, and the components whose textures are made at once.
+SIDE, BLOCK = 64, 256
 
 
-def textures(dim: int) -> np.ndarray:
-    """A fixed texture for each component: smooth noise, made by rule."""
-    rng = np.random.default_rng(DESCRIPTOR_SEED)
-    return blurred(rng.normal(0, 1, (dim, SIDE, SIDE)).astype(np.float32))
+def textures(block: int) -> np.ndarray:
+    """A fixed texture for each component of a block: smooth noise, made by rule."""
+    rng = np.random.default_rng([DESCRIPTOR_SEED, block])
+    return blurred(rng.normal(0, 1, (BLOCK, SIDE, SIDE)).astype(np.float32)).reshape(BLOCK, -1)
 
 
 def drawn(vectors: DataFrame) -> DataFrame:
@@ -332,13 +345,18 @@ def drawn(vectors: DataFrame) -> DataFrame:
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = textures(TEXTURES).reshape(TEXTURES, -1)
+        base: dict[int, np.ndarray] = {}
         for batch in batches:
             pixels: list[bytes | None] = []
             for v in batch.column("embedding").to_pylist():
                 v = np.nan_to_num(np.array([0.0 if c is None else c for c in v or []], np.float32), posinf=0, neginf=0)
-                n = min(len(v), TEXTURES)
-                picture = v[:n] @ base[:n] if n else np.zeros(1)
+                picture = np.zeros(SIDE * SIDE, np.float32)
+                for at in range(0, len(v), BLOCK):
+                    k = at // BLOCK
+                    if k not in base:
+                        base = (base if len(base) < 16 else {}) | {k: textures(k)}
+                    part = v[at : at + BLOCK]
+                    picture += part @ base[k][: len(part)]
                 low, high = picture.min(), picture.max()
                 pixels.append(np.rint((picture - low) / (high - low) * 255).astype(np.uint8).tobytes() if high > low else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *[pa.array(np.full(len(pixels), SIDE, np.int32))] * 2, pa.array(pixels, pa.binary())], ["media_id", "width", "height", "pixels"])

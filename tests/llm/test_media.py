@@ -67,23 +67,59 @@ def test_equal_and_odd_pictures(spark):
     assert media.copies(df.limit(0)).count() == 0
 
 
-def test_matches_against_brute_force(spark):
-    pics = [picture(k, 90, 90) for k in range(3)] + [np.clip(picture(0, 90, 90) * 0.8 + 9, 0, 255)]
-    found = media.extract(spark.createDataFrame([row(i, p) for i, p in enumerate(pics)], SCHEMA))
-    rows = found.collect()
-    m = (1 << 64) - 1
-    mask, want = (1 << 25) - 1, set()
-    corner = lambda r: (r["media_id"], round(r["x"] * 16), round(r["y"] * 16), r["scale"])
-    def cells(r):
-        a, b = r["a"] & m, r["b"] & m
-        return [a & mask, a >> 25 & mask, b & mask, b >> 25 & mask, (a >> 50) + ((b >> 50 & 2047) << 14)]
-
-    for a in rows:
-        for b in rows:
-            if a["media_id"] < b["media_id"] and ((a["a"] ^ b["a"]) & m).bit_count() + ((a["b"] ^ b["b"]) & m).bit_count() <= media.MAX_DISTANCE and any(p == q for p, q in zip(cells(a), cells(b))):
-                want.add((*corner(a), *corner(b)))
-    got = {(*corner(r["l"]), *corner(r["r"])) for r in media.matches(media.bucketed(found)).collect()}
-    assert got == want and len(want) > 5
+def corner_sets(pics):
+    out = []
+    for p in pics:
+        _, *fields = media.features(np.rint(p).astype(np.uint8)[None])
+        held = np.empty(len(fields[0]), media.CORNER)
+        for name, values in zip(media.CORNER.names, fields):
+            held[name] = values.view(np.uint64) if name in "ab" else values
+        out.append(held)
+    return out
+
+
+def test_matched_corners_are_all_within_the_distance():
+    p, q = corner_sets([picture(0, 90, 90), np.clip(picture(0, 90, 90) * 0.8 + 9, 0, 255)])
+    want = {(i, j) for i in range(len(p)) for j in range(len(q)) if sum(int(p[c][i] ^ q[c][j]).bit_count() for c in "ab") <= media.MAX_DISTANCE}
+    assert set(zip(*(x.tolist() for x in media.matched(p, q)))) == want and len(want) > 5
+    corner = p[:1].copy()
+    corner["a"], corner["b"] = 0x123456789ABCDEF0, 0x0FEDCBA987654321
+    whole = 0x123456789ABCDEF0 + (0x0FEDCBA987654321 << 64)
+    mask = (1 << 25) - 1
+    first = [whole & mask, whole >> 25 & mask, whole >> 64 & mask, whole >> 89 & mask]
+    last = (whole >> 50 & (1 << 14) - 1) | (whole >> 114 << 14 & mask)
+    assert [int(k) & mask for k in media.pieces(corner)[0]] == [*first, last] and [int(k) >> 25 for k in media.pieces(corner)[0]] == [0, 1, 2, 3, 4]
+
+
+def test_classes_against_brute_force(spark):
+    """All pairs of pictures, compared without an index: the share of links whose pictures meet in it, and the classes."""
+    pics = []
+    for k in range(10):
+        img = picture(k)
+        pics += [img, *edits(img).values()]
+    sets = corner_sets(pics)
+    links = {(i, j) for i in range(len(pics)) for j in range(i + 1, len(pics)) if media.votes(sets[i], sets[j]) >= media.VOTES}
+    found = media.extract(spark.createDataFrame([row(i, p) for i, p in enumerate(pics)], SCHEMA)).cache()
+    assert {r["media_id"]: r["corners"] for r in found.collect()} == {i: s.tobytes() for i, s in enumerate(sets) if len(s)}
+    met = media.bucketed(found)
+    every = media.gather.buckets(media.hamming_rows(found), "test")
+    none = spark.createDataFrame([], "node long, root long")  # all are apart
+    pairs = {(r["a"], r["b"]) for r in media.rest_pairs(met, none).collect()}
+    assert pairs == {(r["a"], r["b"]) for r in media.rest_pairs(every, none).collect()} and met.count() < every.count()
+    assert len(links) > 80 and len(links & pairs) >= 0.97 * len(links)
+    root = list(range(len(pics)))
+    for i, j in sorted(links):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r["media_id"]: r["class_id"] for r in media.copies(spark.createDataFrame([row(i, p) for i, p in enumerate(pics)], SCHEMA)).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_pictures_of_long_vectors_depend_on_all_components(spark):
+    one = [0.5] * 300
+    rows = [(1, one), (2, one[:-1] + [9.0]), (3, one), (4, None), (5, []), (6, [0.0] * 700)]
+    got = {r["media_id"]: r["pixels"] for r in media.drawn(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got[1] == got[3] != got[2] and got[4] is got[5] is got[6] is None
 
 
 def warped(img, degrees=0.0, factor=1.0):
@@ -121,10 +157,17 @@ def vote_sets():
     return out
 
 
-def test_votes_of_turned_and_reduced_pictures_agree(spark):
-    side = "struct<media_id:long,x:double,y:double,scale:int,angle:double>"
-    got = {(r["a"], r["b"]): r["votes"] for r in media.links(spark.createDataFrame(vote_sets(), f"l {side}, r {side}")).collect()}
-    assert set(got) == {(2 * k, 2 * k + 1) for k in range(5)}, got
+def test_votes_of_turned_and_reduced_pictures_agree():
+    pairs = vote_sets()
+    for k in range(5):
+        sides = []
+        for side in zip(*[p for p in pairs if p[0][0] == 2 * k]):
+            held = np.zeros(16, media.CORNER)
+            for c, values in zip(("x", "y", "scale", "angle"), list(zip(*side))[1:]):
+                held[c] = values
+            sides.append(held)
+        at = np.arange(16)
+        assert media.agreeing(*sides, at, at) >= media.VOTES, k
 
 
 def test_turned_and_reduced_copies_of_large_pictures_are_found(spark):
