@@ -47,14 +47,11 @@ def mixed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
 
 
-def head_pairs(state: DataFrame, used: DataFrame | None, least: int) -> DataFrame:
+def head_pairs(state: DataFrame, least: int) -> DataFrame:
     """(a, b): each node that isn't of its bucket's head's root, with the head it shares most buckets with, ``least`` at least.
 
-    state: (key, node, weight, root).  The head of a bucket is its heaviest node;
-    heads of former rounds step back.
+    state: (key, node, weight, root).  The head of a bucket is its heaviest node; one of weight -1 is none.
     """
-    if used is not None:
-        state = state.join(used, state["node"] == used["head"], "left").withColumn("weight", F.when(F.col("head").isNull(), F.col("weight")).otherwise(-1)).drop("head")
     heads = state.groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("h"), F.min("root").alias("low"), F.max("root").alias("high"))
     heads = heads.where("low < high and h.weight >= 0").select("key", F.col("h.node").alias("head"), F.col("h.root").alias("head_root"))
     meets = state.join(heads, "key").where("root != head_root").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -71,8 +68,10 @@ def gathered(met: DataFrame, verified: Callable[[DataFrame], DataFrame], name: s
     roots, used = None, None
     for _ in range(rounds):
         state = rooted(met.select("key", "node", "weight"), roots)
-        state = state if roots is None else cut(state, name)  # looked at twice
-        pairs = cut(head_pairs(state, used, least), name)
+        if used is not None:  # heads of former rounds step back
+            state = state.join(used, state["node"] == used["head"], "left").withColumn("weight", F.when(F.col("head").isNull(), F.col("weight")).otherwise(-1)).drop("head")
+            state = cut(state, name)  # looked at twice
+        pairs = cut(head_pairs(state, least), name)
         free(state)
         if pairs.isEmpty():
             break
