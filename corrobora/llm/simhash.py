@@ -112,14 +112,16 @@ def first_meeting(x: Column, wiped: Column) -> Column:
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints that differ in four bits or fewer, once each.
 
-    Both sides of the join are one plan, so the variants are shuffled once.
+    Both sides of the join are one plan, so the variants are shuffled once.  Spark
+    takes them for as small as the fingerprints and would collect them on the driver
+    to broadcast them, so the join is named.
     """
     v = variants(nodes)
     a, b = F.col("l.fp"), F.col("r.fp")
     x = a.bitwiseXOR(b)
     # of both sides, though they are equal: a condition on one side would be pushed below its shuffle
     wiped = F.shiftright(F.col("l.key").bitwiseOR(F.col("r.key")), 22)
-    joined = v.alias("l").join(v.alias("r"), F.col("l.key") == F.col("r.key")).where((a < b) & (F.bit_count(x) <= MAX_BITS) & first_meeting(x, wiped))
+    joined = v.alias("l").join(v.alias("r").hint("merge"), F.col("l.key") == F.col("r.key")).where((a < b) & (F.bit_count(x) <= MAX_BITS) & first_meeting(x, wiped))
     return joined.select(a.alias("a"), b.alias("b"))
 
 

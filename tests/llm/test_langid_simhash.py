@@ -61,6 +61,22 @@ def test_simhash_links_lose_none(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_variants_are_not_broadcast(spark):
+    """A fingerprint's 64 variants count as one row in Spark's estimate, so few fingerprints would be collected on the driver."""
+    plan = simhash.links(spark.range(1000).selectExpr("id as fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_components_of_many_links_are_not_broadcast(spark, monkeypatch):
+    rows = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)]
+    links, many = spark.createDataFrame(rows, "a long, b long"), []
+    stars = components.__globals__["_stars"]
+    monkeypatch.setitem(components.__globals__, "BROADCAST_ROWS", 10)
+    monkeypatch.setitem(components.__globals__, "_stars", lambda *a: many.append("Broadcast" in (out := stars(*a))._jdf.queryExecution().executedPlan().toString()) or out)
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 130)} and many and not any(many)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (3, 4)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
