@@ -59,13 +59,13 @@ def head_pairs(state: DataFrame, least: int) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("m.head").alias("b"))
 
 
-def gathered(met: DataFrame, verified: Callable[[DataFrame], DataFrame], name: str, least: int = 1, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of the rounds, and the roots (node, root) that they give.
+def gathered(met: DataFrame, verified: Callable[[DataFrame], DataFrame], name: str, least: int = 1, rounds: int = ROUNDS, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the rounds and those known before, and the roots (node, root) that they give.
 
     verified: gives those of pairs (a, b) that are links.
     """
-    linked = met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    roots, used = None, None
+    linked = met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if known is None else known
+    roots, used = None if known is None else components(known), None
     for _ in range(rounds):
         state = rooted(met.select("key", "node", "weight"), roots)
         if used is not None:  # heads of former rounds step back

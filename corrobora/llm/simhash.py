@@ -8,13 +8,14 @@ The join's condition verifies the distance and keeps a pair only where it meets
 first, so a pair comes out once.  Fingerprints are made distinct before, so
 copies never multiply, and links become components without being collected.
 
-The pipeline asks for a similarity of 0.8 in shingles of five words, at which a
-fingerprint of shingles differs in ten bits, too many for any segment.
-``near_copies`` therefore takes the same deletion variants of another signature, a
-sketch of minimal hashes of shingles, whose agreement depends on the similarity
-alone, whatever the kind of edit: parts of ten hashes are indexed once for each
-hash with that one wiped out.  Sketches rule out the pairs that are clearly apart,
-and the rest are verified by the exact similarity of their shingles' hashes.
+The pipeline asks for a similarity of 0.8 in shingles of five words.  ``near_copies``
+first takes the links of fingerprints, as above, and verifies each by the exact
+similarity of the shingles' hashes.  At 0.8 fingerprints differ in ten bits, too many
+for any segment, so for the pairs that these links leave apart it takes the same
+deletion variants of another signature, a sketch of minimal hashes of shingles, whose
+agreement depends on the similarity alone, whatever the kind of edit: parts of ten
+hashes are indexed once for each hash with that one wiped out.  Sketches rule out the
+pairs that are clearly apart, and the rest are verified in the same exact way.
 
 Defined results
 * a null, empty or blank text has the fingerprint zero and links like any other;
@@ -47,6 +48,16 @@ MAX_BITS = 4
 BLOCK = 1 << 16
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(sums: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n hashes."""
+    return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """Unsigned 64-bit SimHash over word shingles, repeats included."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
@@ -61,8 +72,8 @@ def fingerprint(text: str | None, words: int) -> int:
     digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + BLOCK)].tolist(), last[at : at + BLOCK].tolist(), strict=True)], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        total += bit_sums(h)
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -154,17 +165,20 @@ CLEARLY_APART = 0.64
 MIX = 0x9E3779B97F4A7C15
 
 
-def sketch(tokens: list[bytes], words: int, odd: np.ndarray) -> bytes:
-    """The minimal hash of the text's shingles under each multiplier, cut to 16 bits."""
+def signature(tokens: list[bytes], words: int, odd: np.ndarray) -> tuple[int, bytes]:
+    """The text's fingerprint, and its sketch: the minimal hash of its shingles under each multiplier, cut to 16 bits."""
+    if not tokens:
+        return 0, b""
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
-    digest, best = xxhash.xxh64_intdigest, np.full(len(odd), 2**64 - 1, np.uint64)
+    digest, best, total = xxhash.xxh64_intdigest, np.full(len(odd), 2**64 - 1, np.uint64), np.zeros(64, np.int64)
     for at in range(0, len(last), 4096):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : min(len(last), at + 4096)].tolist(), last[at : at + 4096].tolist(), strict=True)], np.uint64)
         best = np.minimum(best, (h[:, None] * odd[None]).min(0, initial=2**64 - 1))
-    return ((best * np.uint64(MIX)) >> np.uint64(48)).astype("<u2").tobytes()
+        total += bit_sums(h)
+    return majority(total, len(last)), ((best * np.uint64(MIX)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def multipliers(n: int = SKETCH) -> np.ndarray:
@@ -172,20 +186,23 @@ def multipliers(n: int = SKETCH) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_id, sketch): a 64-bit hash of the words in order, and the sketch; empty without a word."""
+    """(doc_id, text_id, fp, sketch): a 64-bit hash of the words in order, the fingerprint, and the sketch; empty without a word."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = multipliers()
         for batch in slices(batches):
-            ids, sketches = [], []
+            ids, fps, sketches = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = (text or "").encode("utf-8", "replace").lower().split()
                 ids.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
-                sketches.append(sketch(tokens, words, odd) if tokens else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "text_id", "sketch"])
+                fp, held = signature(tokens, words, odd)
+                fps.append(fp)
+                sketches.append(held)
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(sketches, pa.binary())], ["doc_id", "text_id", "fp", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(work), f"doc_id {kind}, text_id long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), f"doc_id {kind}, text_id long, fp long, sketch binary")
 
 
 def part_variants(table: np.ndarray) -> np.ndarray:
@@ -342,12 +359,26 @@ def similar(pairs: DataFrame, held: DataFrame, least: float = SIMILARITY) -> Dat
     return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(work), "a long, b long")
 
 
+def print_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): each text with the least of its fingerprint, and the least texts of any two fingerprints within four bits."""
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = cut(texts.groupBy("fp").agg(F.min("text_id").alias("head"), F.count(F.lit(1)).alias("n")), "copies-prints")
+    several = heads.where("n > 1").select(F.col("fp").alias("p"), "head")
+    same = texts.join(several, F.col("fp") == F.col("p")).where("text_id != head").select(F.col("text_id").alias("a"), F.col("head").alias("b"))
+    side = lambda c: heads.select(F.col("fp").alias(f"fp_{c}"), F.col("head").alias(c))
+    near = links(heads.select("fp").repartition(width)).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return same.unionByName(near.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b"))
+
+
 def text_links(texts: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(a, b): links by which all similar texts that share a bucket are reached from each other."""
+    """(a, b): links by which all similar texts whose fingerprints are near or that share a bucket are reached from each other."""
+    near = cut(print_pairs(texts), "copies-near-prints")
     met = buckets(texts)
-    held = shingles_of(met.select(F.col("node").alias("text_id")).distinct(), texts, docs, words)
+    named = reduce(DataFrame.union, [near.select("a"), near.select("b"), met.select("node")]).toDF("text_id").distinct()
+    held = shingles_of(named, texts, docs, words)
     verified = lambda pairs: similar(cut(maybe_similar(pairs, texts), "copies-maybe"), held)
-    linked, roots = gather.gathered(met, verified, "copies-heads")
+    known = cut(similar(near, held), "copies-known")
+    linked, roots = gather.gathered(met, verified, "copies-heads", known=known)
     rest = verified(cut(rest_pairs(met, roots, held), "copies-rest"))
     return linked.unionByName(cut(rest, "copies-across"))
 
@@ -355,13 +386,14 @@ def text_links(texts: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id): documents linked by texts of SIMILARITY in shingles of five words.
 
-    Texts that agree in all but one hash of a part of their sketches are candidates,
-    of which those are verified that their sketches don't rule out.  In the first
-    rounds each text meets one head, which gathers dense groups with a pair a text
+    Texts whose fingerprints are within four bits are linked first, where they are
+    that similar.  Texts that agree in all but one hash of a part of their sketches
+    are the further candidates, of which those are verified that their sketches don't
+    rule out.  In the first rounds each text meets one head, which gathers dense groups with a pair a text
     and round; then all candidates meet that are in different components and may be similar.
     """
     rows = cut(signed(docs, words), "copies-signed")
-    texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "copies-texts")
+    texts = cut(rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "copies-texts")
     nodes = texts.select(F.col("text_id").alias("node"), "least")
     named = cut(gather.rooted(nodes, components(text_links(texts, docs, words))).withColumnRenamed("node", "text_id"), "copies-roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -139,6 +139,23 @@ def test_near_copies_catch_edits_and_leave_others(spark):
     assert all(got[d] == g for d, g in group.items())
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Without a shared part of the sketches, fingerprints within four bits link the texts that are similar, and only these."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    loop = [f"v{i}" for i in range(10)] * 60
+    texts = [words, [*words[:200], "edit", *words[201:]], loop, [*loop, *(f"t{i}" for i in range(20))], [f"u{i}" for i in range(300)]]
+    fps = [simhash.fingerprint(" ".join(t), 5) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 4 and (fps[2] ^ fps[3]).bit_count() <= 4 and shingle_jaccard(*(" ".join(t) for t in texts[2:4])) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(9, " ".join(texts[0]).upper())], "doc_id long, text string")
+    signed = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in simhash.signed(docs, 5).collect()}
+    assert signed == dict(enumerate(fps)) | {9: fps[0]}
+    none = spark.createDataFrame([], "key long, node long, wiped int, weight long")
+    monkeypatch.setattr(simhash, "buckets", lambda texts: none)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 9: 0}
+
+
 def shingle_jaccard(a, b):
     sets = []
     for text in (a, b):
