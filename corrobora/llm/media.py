@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gather
@@ -285,12 +285,25 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("a", "b", "corners_a", "corners_b").mapInArrow(work, "a long, b long")
 
 
+def first_piece(x: Column, y: Column, key: Column) -> Column:
+    """True in the first of the pieces in which two descriptors with differences x and y agree."""
+    mask, piece, first = F.lit((1 << PIECE_BITS) - 1), F.shiftright(key, PIECE_BITS), F.lit(True)
+    for k, word in enumerate((x, F.shiftrightunsigned(x, PIECE_BITS), y, F.shiftrightunsigned(y, PIECE_BITS))):
+        first = first & ((piece <= k) | (word.bitwiseAND(mask) != 0))
+    return first
+
+
 def rest_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all pictures in different classes of which two corners share a piece within MAX_DISTANCE bits."""
+    """(a, b): all pictures in different classes of which two corners share a piece within MAX_DISTANCE bits.
+
+    Two corners that agree in several pieces meet in the first of these only; near
+    as they are, none of their keys has been left out as a chance meeting.
+    """
     state = cut(gather.rooted(met.drop("weight"), roots), "media-rooted")
     rows = cut(state.join(gather.mixed(state), "key", "left_semi"), "media-rest")
-    bits = F.bit_count(F.col("l.a").bitwiseXOR(F.col("r.a"))) + F.bit_count(F.col("l.b").bitwiseXOR(F.col("r.b")))
-    pair = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key")).where((F.col("l.root") < F.col("r.root")) & (bits <= MAX_DISTANCE))
+    x, y = (F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")) for c in "ab")
+    near = (F.col("l.root") < F.col("r.root")) & (F.bit_count(x) + F.bit_count(y) <= MAX_DISTANCE) & first_piece(x, y, F.col("l.key"))
+    pair = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key")).where(near)
     return pair.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 

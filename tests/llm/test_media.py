@@ -194,3 +194,21 @@ def test_query(spark):
     vectors = {r["vec_id"]: tuple(r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     assert sorted(r["media_id"] for r in got) == sorted(vectors)
     assert all(r["class_id"] <= r["media_id"] for r in got) and np.mean([r["n_features"] for r in got]) > 5
+
+
+def test_corners_meet_in_the_first_piece_they_share(spark):
+    """Over the pieces of near descriptors: one meeting a pair that shares any, whatever the number shared."""
+    rng = np.random.default_rng(4)
+    rows, shared = [], []
+    for pair in range(200):
+        corner = np.zeros(2, media.CORNER)
+        corner["a"], corner["b"] = rng.integers(0, 1 << 63, dtype=np.uint64), rng.integers(0, 1 << 63, dtype=np.uint64)
+        for bit in rng.choice(128, int(rng.integers(0, 15)), replace=False).tolist():
+            corner["ab"[bit >> 6]][1] ^= np.uint64(1 << (bit & 63))
+        keys = media.pieces(corner)
+        x, y = (int(corner[c].astype(np.int64)[0] ^ corner[c].astype(np.int64)[1]) for c in "ab")
+        rows += [(pair, int(k), x, y) for k in keys[0][keys[0] == keys[1]]]
+        shared.append(int((keys[0] == keys[1]).sum()))
+    df = spark.createDataFrame(rows, "pair int, key long, x long, y long")
+    got = [r["pair"] for r in df.where(media.first_piece(df["x"], df["y"], df["key"])).collect()]
+    assert max(shared) > 1 and min(shared) < 5 and sorted(got) == [p for p, n in enumerate(shared) if n]
