@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def of_corpus(df: DataFrame, corpus: str | None) -> DataFrame:
@@ -199,9 +200,16 @@ def attribute(failures: DataFrame, documents: DataFrame) -> DataFrame:
     return src.join(found, "src", "left").withColumn("corpus", F.coalesce("key_corpus", words)).drop("src", "key_corpus")
 
 
-def trailing(events: DataFrame, seconds: int, by: str = "user_id") -> DataFrame:
-    """Events of the same user (or kind) within so many seconds before, each included."""
-    at = F.col("ts").cast("timestamp").cast("long")
+def epoch(events: DataFrame) -> Column:
+    """Column ``ts`` as DuckDB's ``epoch``: seconds with their fraction; times without a zone count in UTC, whatever the session's zone."""
+    if isinstance(events.schema["ts"].dataType, TimestampNTZType):
+        return F.expr("cast(1000000 * cast(cast(ts - timestamp_ntz'1970-01-01' as interval second) as decimal(20, 6)) as bigint) / 1e6")
+    return F.col("ts").cast("timestamp").cast("double")
+
+
+def trailing(events: DataFrame, seconds: int, by: str = "user_id", whole: Callable[[Column], Column] = F.floor) -> DataFrame:
+    """Events of the same user (or kind) within so many seconds before, each included; ``whole`` makes whole seconds of fractions."""
+    at = whole(epoch(events)).cast("long")
     w = Window.partitionBy(by).orderBy(at).rangeBetween(-seconds, 0)
     return events.select("event_id", by, F.count(F.lit(1)).over(w).alias("n_recent"))
 

@@ -318,7 +318,7 @@ register(
 # --- events and extraction ----------------------------------------------------------------------------------------
 register(
     "rate_window",
-    lambda spark, d: store.trailing(table(spark, d, "events"), 86400),
+    lambda spark, d: store.trailing(table(spark, d, "events"), 86400, whole=F.rint),  # a cast to BIGINT rounds, halves to even
     "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n_recent FROM events",
 )
 register(

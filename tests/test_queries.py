@@ -32,6 +32,31 @@ def test_matches_duckdb(spark, con, name):
     assert plain(map(tuple, df.collect())) == plain(rel.select(*[f'"{c}"' for c in df.columns]).fetchall())
 
 
+@pytest.mark.parametrize("name, seconds", [("rate_window", 86400), ("rate_window_minute", 60)])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_windows_end_where_duckdb_ends_them(spark, tmp_path, name, seconds, zone):
+    """Fractions, halves at even and odd seconds, times before 1970, nights when clocks change, times and users that are null."""
+    con, s = duckdb.connect(), spark.newSession()
+    s.conf.set("spark.sql.session.timeZone", zone)
+    con.execute(f"""CREATE VIEW events AS SELECT row_number() OVER (ORDER BY ts, u) AS event_id, ts, u AS user_id, 'kind ' || u AS event_type FROM (
+        SELECT day + to_seconds(past) + to_microseconds(part) AS ts, u
+        FROM (VALUES (TIMESTAMP '2024-01-01 00:00:00'), ('1969-12-30 12:00:01'), ('2024-03-09 20:00:00'), ('2024-11-02 22:00:00')) a(day),
+            (VALUES (0), (1), ({seconds - 3600}), ({seconds} - 1), ({seconds}), ({seconds} + 1), ({seconds} + 1800)) b(past), (VALUES (0), (400000), (500000), (600000)) c(part), (VALUES (1), (NULL)) d(u)
+        UNION ALL SELECT NULL, u FROM (VALUES (1), (1), (NULL)) e(u))""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    df = catalogue.QUERIES[name](s, str(tmp_path))
+    want = con.sql(catalogue.ORACLES[name])
+    assert plain(map(tuple, df.collect())) == plain(want.select(*df.columns).fetchall())
+
+
+def test_window_rounds_its_times(spark, tmp_path):
+    times = [("00:00:00.4", "00:00:00.6", 1), ("00:00:00.6", "00:00:01.4", 2), ("00:00:00.5", "00:00:01.0", 1), ("00:00:01.5", "00:00:02.5", 2)]
+    rows = ", ".join(f"({u}, {u}, TIMESTAMP '2024-01-01 {a}'), ({u + 10}, {u}, TIMESTAMP '2024-01-02 {b}')" for u, (a, b, _) in enumerate(times))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, user_id, ts)) TO '{tmp_path}/events.parquet'")
+    got = {r["event_id"]: r["n_recent"] for r in catalogue.QUERIES["rate_window"](spark, str(tmp_path)).collect()}
+    assert got == {u: 1 for u in range(4)} | {u + 10: n for u, (_, _, n) in enumerate(times)}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES.keys() - catalogue.ORACLES.keys()))
 def test_others_have_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
